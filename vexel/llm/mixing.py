@@ -104,6 +104,6 @@ c AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.slope, sum(size) OVER
 k AS (SELECT *, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE target / source_size END AS ratio, CASE WHEN target > 0 THEN least(1.0::DOUBLE, before / target) ELSE 0.0::DOUBLE END AS share FROM c),
 x AS (SELECT *, least(3, floor(ratio)::INT + CASE WHEN size > 0 AND before + size / 2 < (ratio - floor(ratio)) * source_size THEN 1 ELSE 0 END)::INT AS copies FROM k)
 SELECT doc_id, size::BIGINT AS size, source_size, target, (copies * size)::BIGINT AS taken, copies,
-  CASE WHEN copies > 0 THEN round(CASE WHEN slope = 0 THEN share ELSE ((slope + 1) - sqrt(greatest((slope + 1) * (slope + 1) - slope * 4 * share, 0.0::DOUBLE))) / (slope * 2) END, 6) END AS position
+  CASE WHEN copies > 0 THEN 0.0::DOUBLE + round(CASE WHEN slope = 0 THEN share ELSE ((slope + 1) - sqrt(greatest((slope + 1) * (slope + 1) - slope * 4 * share, 0.0::DOUBLE))) / (slope * 2) END, 6) END AS position
 FROM x
 """
