@@ -57,20 +57,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[flo
     columns with the added names are replaced. Needs doc_id, text and source.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken", "start", "slope")
-    key, bucket, src, none, before, total = fresh(docs.columns, "key", "bucket", "src", "none", "before", "total")
+    key, bucket, src, none, crc, before, total = fresh(docs.columns, "key", "bucket", "src", "none", "crc", "before", "total")
     n_buckets = buckets_for(docs.count())
-    out = docs.withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), key: seeded_key(seed, F.col("doc_id")), src: F.coalesce("source", F.lit("")), none: F.col("source").isNull().cast("int")})
+    out = docs.withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), key: seeded_key(seed, F.col("doc_id")), src: F.coalesce("source", F.lit("")), none: F.col("source").isNull().cast("int"), crc: F.crc32(F.col("text").cast("binary"))})
     out = out.withColumn(bucket, key_bucket(F.col(key), n_buckets))
     sums = out.groupBy("source", none, src).agg(F.sum("size").alias("source_size")).select("source", "source_size")
     targets = source_targets(sums, weights, max_repeats).select(F.coalesce("source", F.lit("")).alias(src), F.col("source").isNull().cast("int").alias(none), "target", pick(slopes, F.col("rank")).alias("slope"))
-    order = [F.col(key), F.col("doc_id"), F.col("size"), F.crc32(F.col("text").cast("binary"))]
+    order = [F.col(key), F.col("doc_id"), F.col("size"), F.col(crc)]
     out = running(out, [none, src], bucket, order, "size", before, total, targets).withColumnRenamed(total, "source_size")
     ratio = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.col("target") / F.col("source_size"))
     whole = F.floor(ratio)
     once_more = (F.col(before) + F.col("size") / 2) < (ratio - whole) * F.col("source_size")
     out = out.withColumn("copies", F.least(F.lit(max_repeats), whole + F.when(once_more & (F.col("size") > 0), 1).otherwise(0)).cast("int"))
     out = out.withColumn("taken", F.col("copies") * F.col("size")).withColumnRenamed(before, "start")
-    return out.drop(key, bucket, src, none)
+    return out.drop(key, bucket, src, none, crc)
 
 
 def positions(mixed: DataFrame) -> DataFrame:
