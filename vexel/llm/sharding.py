@@ -24,12 +24,12 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, seed: str = "shards") ->
     stay empty. Input columns named shard or slot are replaced. Needs doc_id, text and source.
     """
     docs = docs.drop("shard", "slot")
-    key, bucket, src, none, one, rank, n, part, frac, pos, rows = fresh(docs.columns, "key", "bucket", "src", "none", "one", "rank", "n", "part", "frac", "pos", "rows")
+    key, bucket, src, none, one, crc, rank, n, part, frac, pos, rows = fresh(docs.columns, "key", "bucket", "src", "none", "one", "crc", "rank", "n", "part", "frac", "pos", "rows")
     n_rows = docs.count()
     n_buckets = buckets_for(n_rows)
-    out = docs.withColumns({key: seeded_key(seed, F.col("doc_id")), src: F.coalesce("source", F.lit("")), none: F.col("source").isNull().cast("int"), one: F.lit(1).cast("long")})
+    out = docs.withColumns({key: seeded_key(seed, F.col("doc_id")), src: F.coalesce("source", F.lit("")), none: F.col("source").isNull().cast("int"), one: F.lit(1).cast("long"), crc: F.crc32(F.col("text").cast("binary"))})
     out = out.withColumn(bucket, key_bucket(F.col(key), n_buckets))
-    order = [F.col(key), F.col("doc_id"), F.crc32(F.col("text").cast("binary")), F.octet_length("text")]
+    order = [F.col(key), F.col("doc_id"), F.col(crc)]
     out = running(out, [none, src], bucket, order, one, rank, n)
     # (2 r + 1) / 2 n lies in (0, 1): its range, in whole numbers
     out = out.withColumns({frac: (F.col(rank) * 2 + 1) / (F.col(n) * 2).cast("double"), part: F.expr(f"((`{rank}` * 2 + 1) * {n_buckets}) div (`{n}` * 2)")})
@@ -37,16 +37,18 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, seed: str = "shards") ->
     shard = F.expr(f"(`{pos}` * {n_shards}) div `{rows}`")
     first = F.expr(f"(`shard` * `{rows}` + {n_shards - 1}) div {n_shards}")
     out = out.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col(pos) - first).cast("long"))
-    return out.drop(key, bucket, src, none, one, rank, n, part, frac, pos, rows)
+    return out.drop(key, bucket, src, none, one, crc, rank, n, part, frac, pos, rows)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    # sizes and sums of the texts go on from here, so the texts themselves are in no shuffle
+    docs = docs.withColumns({"size": (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long"), "text_crc32": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))})
     out = assign_shards(docs, n_shards=40)
     return out.select(
         "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        "size",
+        "text_crc32",
         F.lit("rows").alias("law"),
         "shard",
         "slot",
