@@ -1,10 +1,30 @@
 """The queries of this folder and their SQL, for __spark_entry__.py."""
 
-from . import mixing, sharding
+from functools import wraps
+
+from . import bpe, langid, mixing, quality, sharding, toxicity
+from .common import on_workers
+
+
+def query(fn):
+    @wraps(fn)
+    def run(spark, sf_dir):
+        on_workers(spark)
+        return fn(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
-    "op2_sharding": sharding.op2_sharding,
-    "op9_mixing": mixing.op9_mixing,
+    f.__name__: query(f)
+    for f in (
+        sharding.op2_sharding,
+        toxicity.op4_toxicity,
+        bpe.op5_bpe,
+        quality.op6_quality,
+        langid.op7_langid,
+        mixing.op9_mixing,
+    )
 }
 
 ORACLES = {
