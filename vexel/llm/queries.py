@@ -2,7 +2,7 @@
 
 from functools import wraps
 
-from . import bpe, langid, mixing, quality, sharding, toxicity
+from . import bpe, langid, mixing, quality, sharding, topk, toxicity
 from .common import on_workers
 
 
@@ -18,6 +18,7 @@ def query(fn):
 QUERIES = {
     f.__name__: query(f)
     for f in (
+        topk.op1_topk,
         sharding.op2_sharding,
         toxicity.op4_toxicity,
         bpe.op5_bpe,
@@ -28,5 +29,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_topk": topk.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
