@@ -2,7 +2,7 @@
 
 from functools import wraps
 
-from . import bpe, langid, mixing, quality, sharding, topk, toxicity
+from . import bpe, jaccard, langid, mixing, quality, sharding, substrings, suffixes, topk, toxicity
 from .common import on_workers
 
 
@@ -20,11 +20,14 @@ QUERIES = {
     for f in (
         topk.op1_topk,
         sharding.op2_sharding,
+        substrings.op3_substrings,
         toxicity.op4_toxicity,
         bpe.op5_bpe,
         quality.op6_quality,
         langid.op7_langid,
+        suffixes.op8_suffixes,
         mixing.op9_mixing,
+        jaccard.op10_jaccard,
     )
 }
 
