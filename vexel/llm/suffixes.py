@@ -202,8 +202,9 @@ def answer_earlier(messages: list[bytes], depth: int) -> list[bytes | None]:
     return out
 
 
-def remove_earlier(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Adds n_bytes, n_removed, spans (first byte and byte after the last of each removed stretch) and kept (binary) to every row.
+def remove_earlier(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, text: str = "text", id_col: str = "doc_id", as_text: bool = False) -> DataFrame:
+    """Adds n_bytes, n_removed, spans (first byte and byte after the last of each removed stretch) and kept to every row. kept is
+    binary; as_text: a string, without what is left of characters that lost a byte.
 
     A byte of the UTF-8 text goes if a string of depth bytes covers it that also starts in a row with a smaller id.
     Strings are taken from the input, not from what is left; none runs over the end of a row.
@@ -260,11 +261,11 @@ def remove_earlier(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, text:
             a, b = int(at[i]), int(at[i + 1])
             spans.append([{"first": x - o, "end": y - o} for x, y in zip(first[a:b].tolist(), end[a:b].tolist())])
             kept.append(runs.data[o : o + n] if a == b else buf[o : o + n][~gone[o : o + n]].tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs.lengths, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=[*batch.schema.names, "n_bytes", "n_removed", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs.lengths, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=[*batch.schema.names, "n_bytes", "n_removed", "spans", "kept"])
 
     grams = packs.ask(ask_grams, answer_repeated, "grams")
     earlier = packs.ask(ask_earlier, lambda m: answer_earlier(m, depth), "earlier", grams)
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))), ("kept", T.BinaryType()))]])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))), ("kept", T.StringType() if as_text else T.BinaryType()))]])
     return packs.finish(finish, schema, grams, earlier)
 
 
