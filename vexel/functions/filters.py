@@ -89,6 +89,9 @@ class VariantField:
         member = F.exists(self.cast("array<variant>"), lambda v: VariantField(v).same(x))
         return F.coalesce(F.when(self.is_array(), member).otherwise(self.same(x)), no())
 
+    def bound(self, x: float) -> Column:
+        return F.lit(float(x))
+
     def number(self) -> Column:
         return F.when((self.kind() == "BIGINT") | self.is_float(), self.cast("double"))
 
@@ -112,6 +115,10 @@ class ColumnField:
             return F.array_contains(self.column, x) if fits.get(self.type, False) else no()
         return self.same(x)
 
+    def bound(self, x: float) -> Column:
+        """Of the column's own type where it can be, since a cast around the column would keep it from the scan."""
+        return F.lit(int(x)).cast(self.type) if self.type in ("bigint", "int") and abs(x) < 1 << 31 and x == int(x) else F.lit(float(x))
+
     def number(self) -> Column:
         return self.column if self.type in ("bigint", "int", "double", "float") else F.lit(None).cast("double")
 
@@ -159,7 +166,9 @@ class Compiler:
         bounds = {op: x[op] for op in RANGES if op in x and is_number(x[op])}
         if bounds:
             n = field.number()
-            return F.coalesce(reduce(lambda a, b: a & b, [RANGES[op](n, F.lit(float(v))) for op, v in bounds.items()]), no())
+            out = reduce(lambda a, b: a & b, [RANGES[op](n, field.bound(v)) for op, v in bounds.items()])
+            # null fails a filter as false does; without coalesce() a typed column's bound reaches the scan
+            return out if isinstance(field, ColumnField) else F.coalesce(out, no())
         unknown = [k for k in x if k.startswith("$") and k not in RANGES]
         if unknown:
             raise FilterError(f"unsupported operator {unknown[0]}")

@@ -26,16 +26,17 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
-def same_dimension(a: Column, b: Column) -> Column:
-    """0, or an error if the dimensions differ; added to a result so that the check isn't optimised away."""
-    return F.when(F.size(a) == F.size(b), F.lit(0.0)).otherwise(F.raise_error(F.concat(F.lit("vectors of dimensions "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"))).cast("double"))
+def checked(a: Column, b: Column, value: Column) -> Column:
+    """value, or an error if the dimensions differ."""
+    message = F.concat(F.lit("vectors of dimensions "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"))
+    return F.when(F.size(a) != F.size(b), F.raise_error(message).cast("double")).otherwise(value)
 
 
 def dot(a: Column | str, b: Column | str, truncate: bool = False) -> Column:
     """Inner product; truncate: of the first elements that both have."""
     a, b = col(a), col(b)
     product = total(F.zip_with(a, b, lambda x, y: F.coalesce(x.cast("double") * y.cast("double"), F.lit(0.0))))
-    return product if truncate else product + same_dimension(a, b)
+    return product if truncate else checked(a, b, product)
 
 
 def magnitude(e: Column | str) -> Column:
@@ -53,7 +54,7 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     """0 if either is a zero vector."""
     a, b = col(a), col(b)
     n = magnitude(a) * magnitude(b)
-    return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
+    return checked(a, b, F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b, truncate=True) / n))
 
 
 def cosine_distance(a: Column | str, b: Column | str) -> Column:
@@ -67,7 +68,7 @@ def angular_distance(a: Column | str, b: Column | str) -> Column:
 def euclidean(a: Column | str, b: Column | str) -> Column:
     a, b = col(a), col(b)
     squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.sqrt(total(squares)) + same_dimension(a, b)
+    return checked(a, b, F.sqrt(total(squares)))
 
 
 def inner_product_to_cosine(ip: Column | str, a: Column | str, b: Column | str) -> Column:

@@ -73,7 +73,7 @@ def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "
         n_queries, n_rows = queries.count(), corpus.count()
         blocks, buckets = -(-n_queries // BATCH_QUERIES), max(1, -(-n_rows // BLOCK_ROWS))
         left = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-        right = corpus.select("id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"))
+        right = corpus.select("id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"))
         pair = lambda a, b: kernels.rank_batch(b.column("id").to_numpy(), kernels.matrix(b.column("embedding")), a.column("query_id").to_numpy(), kernels.matrix(a.column("q")), k, metric)
         found = left.groupBy("block", "bucket").cogroup(right.groupBy("block", "bucket")).applyInArrow(pair, FOUND)
     out = top_k_each(found, "query_id", [F.col("distance"), F.col("id")], k)

@@ -65,9 +65,9 @@ class VectorSession:
     def _rows(self, rows: list[dict] | DataFrame) -> DataFrame:
         if isinstance(rows, DataFrame):
             return rows.select(*[F.col(f.name).cast(f.dataType) if f.name != "metadata" else F.col("metadata") for f in SCHEMA])
-        data = [(r["id"], [float(x) for x in r["vector"]], json.dumps(r.get("metadata", {})), r.get("ts", self.as_of)) for r in rows]
-        df = self.spark.createDataFrame(data, "id string, embedding array<float>, metadata string, ts timestamp")
-        return df.withColumn("metadata", F.parse_json("metadata"))
+        data = [(r["id"], [float(x) for x in r["vector"]], json.dumps(r.get("metadata", {})), str(r.get("ts", self.as_of))) for r in rows]
+        df = self.spark.createDataFrame(data, "id string, embedding array<float>, metadata string, ts string")
+        return df.withColumns({"metadata": F.parse_json("metadata"), "ts": F.col("ts").cast("timestamp")})
 
     def add(self, rows: list[dict] | DataFrame) -> dict:
         """Appends the good rows: {"added": n, "failed": [(id, reason)]} (the first 1000 failures)."""
