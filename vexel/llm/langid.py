@@ -158,7 +158,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text"
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])
     names = docs.columns
     langs = sorted(k for k, v in learned.items() if np.any(v))
-    unit = np.array([learned[k] / np.linalg.norm(learned[k]) for k in langs]).reshape(len(langs), -1)
+    unit = np.array([learned[k] / np.linalg.norm(learned[k]) for k in langs]).reshape(len(langs), dimensions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = of_worker(dimensions, seed)

@@ -33,6 +33,9 @@ def search(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     score for each candidate; where a list has every candidate, it is added as it stands. Then the k-th best score is
     found by partition, and what lies above it, with as many at it as are left to take, by the smaller ids.
     """
+    if "id" not in queries.column_names or "id" not in candidates.column_names or not queries.num_rows or not candidates.num_rows:  # a side without rows comes without columns
+        none = pa.array([], pa.int64())
+        return pa.table({c: none for c in ("query_row", "query_id", "vec_id", "row", "score")})
     candidates = candidates.sort_by([("id", "ascending"), ("row", "ascending")])
     n = candidates.num_rows
     row, term, weight = rows_of(candidates)
