@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import list_array, slices
+from .common import worker_state
 
 #: Entries of the memories of a worker. They are emptied when full, so that no vocabulary of the data can fill a worker.
 PIECES, PAIRS, LONGEST_PIECE = 250_000, 500_000, 48
@@ -152,15 +153,9 @@ class Pieces(dict):
         return out
 
 
-_OWN: dict[bytes, Pieces] = {}
-
-
 def of_worker(ranks: bytes) -> Pieces:
     """A Python worker keeps one vocabulary, and what it has encoded with it, from task to task."""
-    if ranks not in _OWN:
-        _OWN.clear()
-        _OWN[ranks] = Pieces(Encoder(read_ranks(ranks)))
-    return _OWN[ranks]
+    return worker_state(("bpe", ranks), lambda: Pieces(Encoder(read_ranks(ranks))))
 
 
 #: Unicode's white space, as the pattern's own engine has it; Python's \s also has 1C to 1F.

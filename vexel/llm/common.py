@@ -111,3 +111,16 @@ def on_workers(spark: SparkSession) -> None:
                     z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
     spark.sparkContext.addPyFile(package)
     spark.sparkContext._vexel_sent = True
+
+
+_STATE: dict = {}
+
+
+def worker_state(key, build=None):
+    """What a Python worker keeps from task to task: one thing, that of the operator it works for now. Another operator's is
+    dropped, so the memories of a pipeline's stages don't add up. key None: keep nothing."""
+    if key not in _STATE:
+        _STATE.clear()
+        if key is not None:
+            _STATE[key] = build()
+    return _STATE.get(key)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import slices
+from .common import worker_state
 
 #: Components of a vector, and the seed of the letters' vectors.
 DIMENSIONS, SEED = 1024, 7
@@ -111,15 +112,9 @@ class Space:
         return out
 
 
-_OWN: dict[tuple[int, int], Space] = {}
-
-
 def of_worker(dimensions: int, seed: int) -> Space:
     """A Python worker keeps its space from task to task."""
-    if (dimensions, seed) not in _OWN:
-        _OWN.clear()
-        _OWN[dimensions, seed] = Space(dimensions, seed)
-    return _OWN[dimensions, seed]
+    return worker_state(("langid", dimensions, seed), lambda: Space(dimensions, seed))
 
 
 def prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:

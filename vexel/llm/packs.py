@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import slices
-from .common import written
+from .common import worker_state, written
 
 #: Bytes of text in a pack (a longer text is a pack of its own), and about as many of its table to a part.
-PACK_BYTES, PART_BYTES = 4 << 20, 8 << 20
+PACK_BYTES, PART_BYTES = 2 << 20, 8 << 20
 
 Messages = Iterator[tuple[int, bytes]]
 
@@ -77,6 +77,7 @@ class Packs:
         spark = df.sparkSession
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_state(None)
             first = TaskContext.get().partitionId() << 32
             for k, part in enumerate(slices(batches, text, PACK_BYTES)):
                 data = to_ipc(part)
@@ -90,6 +91,7 @@ class Packs:
         """fn(record batch, pack, {part: answer} for each of answers) over all packs; it yields record batches."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_state(None)
             for batch in batches:
                 for row in batch.to_pylist():
                     replies = [{x["part"]: x["answer"] for x in row[a] or []} for a in answers]
@@ -115,6 +117,7 @@ class Packs:
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([pack] * len(got), pa.int64()), pa.array([m for _, m in got], pa.binary())], names=["part", "pack", "message"])
 
         def reduce(table: pa.Table) -> pa.Table:
+            worker_state(None)
             out = answer(table.column("message").to_pylist())
             there = pa.array([x is not None for x in out])
             return pa.table({"pack": table.column("pack"), "part": table.column("part"), "answer": pa.array(out, pa.binary())}).filter(there)
