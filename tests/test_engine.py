@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vexel.operators import dml, graph, hybrid, ivf, knn, rank, stats
-from vexel.plans.session import SessionError, VectorSession
+from vexel.plans.session import SearchCache, SessionError, VectorSession
 from vexel.sources import store
 from vexel.streaming import streams
 
@@ -88,6 +88,17 @@ def test_seeds_balance_and_tables(blobs):
         ivf.balance(blobs, c, 1.5)
 
 
+def test_codebooks(blobs):
+    from vexel.functions import vectors as V
+
+    book = ivf.pq_train(blobs, 2, 3)
+    assert [len(b) for b in book] == [3, 3] and ivf.pq_train(blobs.limit(0), 2, 3) == []
+    errors = blobs.select(V.euclidean(V.pq_decode(V.pq_encode("embedding", book, 2), book), "embedding").alias("e")).collect()
+    assert max(r.e for r in errors) < 1
+    c, a = ivf.cluster_evenly(blobs.where("id <> 0 and id <> 1 and id <> 2"), 2)
+    assert c.converged and ivf.cluster_sizes(a, c).agg(F.sum("n")).first()[0] == 6
+
+
 def test_tiers(blobs):
     assert tuple(stats.tier_counts(blobs, NOW).first()) == (6, 3, 9)
     assert ids(hybrid.search(blobs, [5.0, 5.0], 3, NOW)) == [3, 4, 5]
@@ -213,7 +224,10 @@ def test_session(spark, tmp_path):
         assert ids(s.search([3.0, 0.0], 2, threshold=0.9)) == ["v3"]
         with pytest.raises(SessionError):
             s.search([1.0], 1)
+        cache = SearchCache(capacity=1)
+        assert cache.search(s, [3.0, 0.0], 3) == cache.search(s, [3.0, 0.0], 3) and cache.stats()["hits"] == 1
         s.delete("v3")
+        assert "v3" not in [r.id for r in cache.search(s, [3.0, 0.0], 3)] and cache.stats()["entries"] == 1
         assert "v3" not in ids(s.search([3.0, 0.0], 3)) and s.stats()["deleted"] == 1
         assert s.delete_by_metadata({"n": {"$gte": 10}}) == {"count": 2, "ids": ["v10", "v11"]}
         s.update_metadata("v1", {"kind": "new"})

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import kernels, vectors
 from . import knn
@@ -238,3 +239,47 @@ def balance(assigned: DataFrame, c: Centroids, threshold: float) -> DataFrame:
     for p in parts[1:]:
         total = total.unionByName(p)
     return total
+
+
+def cluster_evenly(corpus: DataFrame, k: int, max_iter: int = 20, metric: str = "cosine") -> tuple[Centroids, DataFrame]:
+    """Clusters without chance: evenly seeded, at most max_iter rounds; clusters without rows are left out."""
+    c = lloyd(corpus, evenly_seeded(corpus, k, metric), max_iter, tol=0.0)
+    assigned = assign(corpus, c)
+    there = sorted(r.cluster_id for r in assigned.select("cluster_id").distinct().collect())
+    kept = [c.ids.index(i) for i in there]
+    return Centroids(c.vectors[kept], metric, c.iterations, c.converged, c.initial_error, c.final_error, there), assigned
+
+
+def pq_train(corpus: DataFrame, subspaces: int, centroids: int, iterations: int = 10, seed: int = 0) -> list[list[list[float]]]:
+    """A codebook for vectors.pq_encode(): k-means of each subspace over all rows. centroids is cut to the number of rows."""
+    n, dimensions = corpus.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if not n:
+        return []
+    k, book = min(centroids, n), []
+    for first, length in vectors.pq_split(dimensions, subspaces):
+        part = corpus.select("id", F.slice("embedding", first + 1, length).alias("embedding"))
+        book.append(train(part, k, max_iter=iterations, tol=0.0, seed=seed).vectors.tolist())
+    return book
+
+
+def balance_report(assigned: DataFrame, c: Centroids, threshold: float = 0.5) -> DataFrame:
+    """One row: the largest and smallest cluster over the mean size, clusters beyond (1 + threshold) times it, and whether
+    balancing is called for."""
+    mean = F.avg("n")
+    sizes = cluster_sizes(assigned, c)
+    limit = sizes.agg((mean * (1 + threshold)).alias("limit"))
+    out = sizes.crossJoin(limit).agg((F.max("n") / mean).alias("largest"), (F.min("n") / mean).alias("smallest"), F.count_if(F.col("n") > F.col("limit")).alias("n_over"))
+    return out.withColumn("needed", F.col("n_over") > 0)
+
+
+def weighted_draw(weights: DataFrame, share: float, weight: str = "weight", order: str = "id") -> DataFrame:
+    """The first row at which the running sum of weights reaches share of their total. Sums of ranges of the order are
+    added first, so that no task runs over all rows."""
+    from ..sources.store import number_chunks
+
+    rows = number_chunks(weights, order, rows=4096)
+    sums = rows.groupBy("chunk").agg(F.sum(weight).alias("s"))
+    w = Window.orderBy("chunk")
+    sums = sums.select("chunk", (F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy()).alias("total"))
+    upto = F.col("before") + F.sum(weight).over(Window.partitionBy("chunk").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(sums, "chunk").withColumn("upto", upto).where(F.col("upto") >= F.lit(share) * F.col("total")).orderBy("row").limit(1).select(*weights.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .hybrid import WEEK, age_seconds, is_recent, with_tier
 
@@ -61,8 +62,6 @@ def latency_stats(runs: DataFrame, value: str = "ms", results: str | None = None
 
     The values are ranked by how many are at or below them, by value, so no task sorts them all in an array."""
     by = runs.groupBy(value).agg(F.count("*").alias("n"))
-    from pyspark.sql.window import Window
-
     ranked = by.withColumn("upto", F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy()))
     at = lambda share: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("all") * share), F.col("all") - 1), F.col(value)))
     return ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"), at(0.5).alias("p50"), at(0.99).alias("p99"))
@@ -82,3 +81,14 @@ def health(corpus: DataFrame, as_of, most_recent: int = 1000, most_bytes: int =
 def orphans(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
     """Keys of left that right doesn't have."""
     return left.select(key).distinct().join(right.select(key), key, "left_anti")
+
+
+def running_means(log: DataFrame, value: str, order: str, by: str) -> DataFrame:
+    """Adds the mean of the values so far, of each group in its order."""
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return log.withColumn("mean", F.avg(value).over(w))
+
+
+def stored_bytes(blobs: DataFrame) -> DataFrame:
+    """blobs: as BlobStore.table() or the binaryFile source give them; the contents are not read."""
+    return blobs.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))

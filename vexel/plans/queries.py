@@ -350,6 +350,22 @@ def ivf_balance(spark, sf):
     return ivf.balance(a, centroids, 0.1).groupBy("cluster_id").agg(F.count("*").alias("n"), F.count_if("moved").alias("moved"))
 
 
+@query("video_cluster")
+def video_cluster(spark, sf):
+    return ivf.cluster_sizes(ivf.cluster_evenly(corpus(spark, sf), N_CLUSTERS)[1])
+
+
+@query("balance_report", IVF + ", s AS (SELECT m.cluster_id, count(a.id) AS n FROM m LEFT JOIN a USING (cluster_id) GROUP BY m.cluster_id) SELECT round(max(n) / avg(n), 6) AS largest, round(min(n) / avg(n), 6) AS smallest, count(*) FILTER (n > (SELECT avg(n) * 1.1 FROM s)) AS n_over, count(*) FILTER (n > (SELECT avg(n) * 1.1 FROM s)) > 0 AS needed FROM s")
+def balance_report(spark, sf):
+    _, c, a = clustered(spark, sf)
+    return ivf.balance_report(a, c, 0.1).select(r6("largest").alias("largest"), r6("smallest").alias("smallest"), "n_over", "needed")
+
+
+@query("weighted_draw", ", w AS (SELECT id, sum(k) OVER (ORDER BY id) AS upto, sum(k) OVER () AS total FROM c) SELECT id FROM w WHERE upto >= 0.5 * total ORDER BY id LIMIT 1")
+def weighted_draw(spark, sf):
+    return ivf.weighted_draw(corpus(spark, sf).select("id", "k"), 0.5, "k").select("id")
+
+
 # --- quantization
 
 
@@ -519,6 +535,11 @@ def cache_stats(spark, sf):
     return stats.cache_stats(log).select("hits", "misses", r6("hit_rate").alias("hit_rate"))
 
 
+@query("running_means", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id) + 1e-9, 6) AS mean FROM events", base=False)
+def running_means(spark, sf):
+    return stats.running_means(table(spark, sf, "events"), "value", "event_id", "event_type").select("event_id", r6(F.col("mean") + 1e-9).alias("mean"))
+
+
 # --- changes
 
 
@@ -618,6 +639,21 @@ def save_load(spark, sf):
     return out(knn.nearest(dml.active(back["corpus"], back["tombstones"]), q_of(c), K))
 
 
+@query("compact", f"SELECT id FROM c WHERE NOT {DEAD}")
+def compact(spark, sf):
+    c, path = corpus(spark, sf), streams.scratch(spark)
+    store.save(c, path, tombstones=c.where(DEAD).select("id"))
+    store.compact(spark, path, chunk_rows=200)
+    return store.load(spark, path, verify=True)["corpus"].select("id")
+
+
+@query("chunk_overlap", ", r AS (SELECT id // 100 AS chunk, min(label) AS a, max(label) AS b FROM c GROUP BY 1) SELECT x.chunk, y.chunk AS other FROM r x JOIN r y ON x.chunk < y.chunk WHERE x.a <= y.b AND y.a <= x.b")
+def chunk_overlap(spark, sf):
+    r = corpus(spark, sf).groupBy(F.floor(F.col("id") / 100).alias("chunk")).agg(F.min("label").alias("a"), F.max("label").alias("b"))
+    x, y = r, r.select(F.col("chunk").alias("other"), F.col("a").alias("c"), F.col("b").alias("d"))
+    return x.join(y, (F.col("chunk") < F.col("other")) & store.overlaps(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).select("chunk", "other")
+
+
 @query("backup_increment", f"SELECT id FROM c WHERE ts > TIMESTAMP '{BEFORE}'")
 def backup_increment(spark, sf):
     return store.increment(corpus(spark, sf), BEFORE).select("id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import OrderedDict
 from datetime import datetime, timezone
 from typing import Any
 
@@ -35,6 +36,7 @@ class VectorSession:
         self.tombstones = spark.createDataFrame([], "id string")
         self.schema: dict | None = None
         self.dimensions: int | None = None
+        self.version = 0
 
     def __enter__(self) -> VectorSession:
         return self
@@ -83,6 +85,7 @@ class VectorSession:
         n = good.count()
         out = {"added": n, "failed": [(r.id, r.reason) for r in failed.orderBy("id").limit(1000).collect()]}
         self._corpus = self.corpus.unionByName(good.select(*self.corpus.columns))
+        self.version += 1
         return out
 
     def search(self, q: list[float], k: int = 10, filter: Any = None, threshold: float = 0.0, include_vectors: bool = False, include_metadata: bool = True, mode: str = "pre", dialect: str = "full") -> DataFrame:  # noqa: A002
@@ -108,6 +111,7 @@ class VectorSession:
 
     def _bury(self, ids: DataFrame) -> None:
         self.tombstones = self.tombstones.unionByName(ids.select("id")).distinct()
+        self.version += 1
 
     def delete_by_metadata(self, filter: Any, dialect: str = "full") -> dict:  # noqa: A002
         ids = dml.delete_where(self.active, filter, dialect)
@@ -125,6 +129,7 @@ class VectorSession:
             if errors:
                 raise SessionError("; ".join(sorted(r.error for r in errors)))
         self._corpus, _ = dml.update_metadata(self.corpus, new)
+        self.version += 1
 
     def vacuum(self) -> int:
         n = self.corpus.join(self.tombstones, "id", "left_semi").count()
@@ -160,3 +165,27 @@ class VectorSession:
     def destroy(self) -> None:
         self.corpus  # noqa: B018  raises if it is destroyed already
         self._corpus = None
+
+
+class SearchCache:
+    """Results of searches, collected, by query, options and version of the corpus; the one not used longest goes first."""
+
+    def __init__(self, capacity: int = 100):
+        self.capacity, self.hits, self.misses = capacity, 0, 0
+        self.entries: OrderedDict[tuple, list] = OrderedDict()
+
+    def search(self, session: VectorSession, q: list[float], k: int = 10, **options) -> list:
+        key = (tuple(float(x) for x in q), k, json.dumps(options, sort_keys=True, default=str), session.version)
+        if key in self.entries:
+            self.hits += 1
+            self.entries.move_to_end(key)
+            return self.entries[key]
+        self.misses += 1
+        rows = self.entries[key] = session.search(q, k, **options).collect()
+        while len(self.entries) > self.capacity:
+            self.entries.popitem(last=False)
+        return rows
+
+    def stats(self) -> dict:
+        n = self.hits + self.misses
+        return {"hits": self.hits, "misses": self.misses, "entries": len(self.entries), "hit_rate": self.hits / n if n else 0.0}

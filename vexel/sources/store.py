@@ -246,3 +246,12 @@ def restore(full: DataFrame, increments: list[DataFrame], until=None) -> DataFra
         rows = rows.where(F.col("ts") <= F.lit(str(until)).cast("timestamp"))
     w = Window.partitionBy("id").orderBy(F.desc("ts"), F.desc("_at"))
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_at")
+
+
+def compact(spark: SparkSession, path: str, chunk_rows: int = CHUNK_ROWS, partition_by: list[str] | None = None) -> dict:
+    """Rewrites a corpus without its deleted rows, in files of chunk_rows rows, as a new version."""
+    old = load(spark, path)
+    rows = old["corpus"] if old["tombstones"] is None else old["corpus"].join(old["tombstones"].select("id"), "id", "left_anti").select(*old["corpus"].columns)
+    files = max(1, -(-old["manifest"]["total_vectors"] // chunk_rows))
+    rows = rows.repartition(files, *partition_by) if partition_by else rows.repartition(files)
+    return save(rows, path, centroids=old["centroids"], schema=old["schema"], chunk_rows=chunk_rows, partition_by=partition_by)
