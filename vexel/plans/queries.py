@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from ..functions.filters import Compiler, compile_filter
 from ..operators import dml, graph, hybrid, ivf, knn, rank, stats
 from ..sources import store
 from ..streaming import streams
+from .workers import on_workers
 
 AS_OF = "2024-01-31 00:00:00"
 K, N_CLUSTERS = 10, 10
@@ -33,10 +35,15 @@ d AS (SELECT c.*, list_distance(c.embedding, q0.q) AS distance, list_cosine_simi
 
 def query(name: str, sql: str | None = None, base: bool = True):
     def add(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            on_workers(spark)
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = (BASE if base else "") + sql
-        return fn
+        return run
 
     return add
 
