@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vexel.llm import bpe, jaccard, mixing, quality, suffixes
-from vexel.llm.common import on_workers, written
+from vexel.llm.common import written
+from vexel.plans.workers import on_workers
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 

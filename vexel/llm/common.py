@@ -95,24 +95,6 @@ def running(df: DataFrame, groups: list[str], bucket: str, order: list[Column],
     return out.withColumn(before, F.col(before) + F.sum(value).over(inner) - F.col(value))
 
 
-def on_workers(spark: SparkSession) -> None:
-    """Sends this package to the Python workers where they would not find it by themselves."""
-    import os
-    import zipfile
-
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    if root in [os.path.abspath(p) for p in [".", *os.environ.get("PYTHONPATH", "").split(os.pathsep)]] or getattr(spark.sparkContext, "_vexel_sent", False):
-        return
-    package = os.path.join(tempfile.mkdtemp(prefix="vexel-"), "vexel.zip")
-    with zipfile.ZipFile(package, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, "vexel")):
-            for name in names:
-                if name.endswith(".py"):
-                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
-    spark.sparkContext.addPyFile(package)
-    spark.sparkContext._vexel_sent = True
-
-
 _STATE: dict = {}
 
 

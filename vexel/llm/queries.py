@@ -2,8 +2,8 @@
 
 from functools import wraps
 
+from ..plans.workers import on_workers
 from . import bpe, jaccard, langid, mixing, quality, sharding, substrings, suffixes, topk, toxicity
-from .common import on_workers
 
 
 def query(fn):
