@@ -352,11 +352,11 @@ def test_mixing_edges(empty, docs):
     assert {(r.target, r.taken) for r in blank} == {(0.0, 0)}
 
 
-def test_mixing_query_is_its_sql(spark, duck):
+@pytest.mark.parametrize("name", sorted(llm.ORACLES))
+def test_query_is_its_sql(spark, duck, name):
     from conftest import rows
 
-    assert rows(llm.QUERIES["op9_mixing"](spark, SF).toPandas()) == rows(duck.execute(llm.ORACLES["op9_mixing"]).df())
-    assert rows(llm.QUERIES["op1_topk"](spark, SF).toPandas()) == rows(duck.execute(llm.ORACLES["op1_topk"]).df())
+    assert rows(llm.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(llm.ORACLES[name]).df())
 
 
 # --- 10

@@ -33,5 +33,9 @@ QUERIES = {
 
 ORACLES = {
     "op1_topk": topk.ORACLE,
+    "op2_sharding": sharding.ORACLE,
+    "op3_substrings": substrings.ORACLE,
+    "op8_suffixes": suffixes.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op10_jaccard": jaccard.ORACLE,
 }

@@ -54,3 +54,17 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+ORACLE = r"""
+WITH RECURSIVE bits AS (SELECT b::UBIGINT AS b, b::UBIGINT AS v, 0 AS n FROM range(256) r(b)
+  UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, n + 1 FROM bits WHERE n < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE n = 8),
+d AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) AS bytes, md5('shards:' || coalesce(doc_id::VARCHAR, 'null')) AS key, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT d.* EXCLUDE (h), xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(bytes), lambda i: (strpos('0123456789ABCDEF', h[2 * i + 1]) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 17)::UBIGINT)),
+  lambda a, x: xor(a >> 8, t[((xor(a, x) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM d, crc),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id, text_crc32) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY ((2 * rank + 1) * greatest(1024, (total + 65535) // 65536)) // (2 * n), (2 * rank + 1) / (2 * n)::DOUBLE, source IS NULL, encode(source), rank) - 1 AS pos FROM r),
+s AS (SELECT *, (pos * 40 // total)::INT AS shard FROM p)
+SELECT doc_id, (bytes + 16)::BIGINT AS size, text_crc32, 'rows' AS law, shard, (pos - (shard * total + 39) // 40)::BIGINT AS slot, NULL::INT AS grown_shard FROM s
+"""

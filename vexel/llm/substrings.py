@@ -145,3 +145,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, te
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, unnest(range(len(w) - 19)) AS i FROM d WHERE len(w) >= 20),
+x AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i + 1 : i + 20], ' ') ORDER BY doc_id, i) AS n FROM i JOIN d USING (doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM x WHERE n > 1),
+a AS (SELECT doc_id, unnest(range(len(w))) AS k FROM d),
+k AS (SELECT a.doc_id, array_to_string(list(d.w[a.k + 1] ORDER BY a.k), ' ') AS kept, count(*) AS n FROM a JOIN d USING (doc_id) ANTI JOIN g ON a.doc_id = g.doc_id AND a.k = g.k GROUP BY a.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
