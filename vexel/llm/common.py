@@ -95,6 +95,18 @@ def running(df: DataFrame, groups: list[str], bucket: str, order: list[Column],
     return out.withColumn(before, F.col(before) + F.sum(value).over(inner) - F.col(value))
 
 
+#: Tasks over which the rows of one key are dealt in a salted join.
+SALTS = 16
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """many joined with one (a row a key, narrow) by key, where a key may have a third of many's rows: they are dealt out by the
+    hash of another column, and one's rows are copied."""
+    (salt,) = fresh([*many.columns, *one.columns], "salt")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    return many.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS))).join(one.withColumn(salt, copies), [key, salt], how).drop(salt)
+
+
 _STATE: dict = {}
 
 

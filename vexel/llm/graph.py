@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import salted_join, shared_dir
 
 #: Rounds after which something is wrong: they grow with the logarithm of the longest path.
 MOST_ROUNDS = 100
-#: Tasks over which the edges of one node are spread where they meet its least neighbour.
-SALTS = 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,18 +16,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large stars and small stars in turn (Kiveris and others, 2014): every node sends its larger neighbours, then its
     smaller ones, to the least node it knows, until all hang at one root each. Every round is written to the checkpoint
-    folder, so that plans stay short and a lost executor costs no earlier round.
+    folder, so that plans stay short and a lost executor costs no earlier round. A hub may have a third of all edges.
     """
     shared_dir(edges.sparkSession)
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31))).first())
 
-    def with_least(e: DataFrame, least: DataFrame) -> DataFrame:
-        # a hub may have a third of all edges: its row of least is copied, its edges are dealt out
-        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-        return e.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))).join(least.withColumn("salt", salts), ["a", "salt"]).drop("salt")
-
     # a: the larger node
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     last = state(e)
@@ -38,9 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = salted_join(both.where("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = with_least(large, least).select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"), F.col("a").alias("c"), "m")
+        small = salted_join(large, least, "a", "b").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"), F.col("a").alias("c"), "m")
         small = small.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("c").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         e = small.checkpoint()
         now = state(e)

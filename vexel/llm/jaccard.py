@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import slices
-from .common import release, written
+from .common import release, salted_join, written
 from .graph import components
 from .packs import Messages, Packs, arrays, by_part, columns, distinct, expand, squeeze
 from .tokens import Words, fits, mix, window_hashes
@@ -19,7 +19,7 @@ from .tokens import Words, fits, mix, window_hashes
 #: Words of a shingle, least similarity in per cent, global orders whose prefixes must all meet.
 SHINGLE, PERCENT, ORDERS = 5, 75, 3
 #: Sets of a candidate component that are compared in one task; larger components are cut into pairs of chunks.
-CHUNK = 384
+CHUNK = 256
 #: Columns of the matrices of shared shingles that are multiplied at a time.
 SLAB = 4096
 
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     speakers = sets.groupBy("key").agg(F.min("pack").alias("pack")).withColumn("node", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long"))
     placed = speakers.join(coarse, "node").join(classes.select("key", "copies"), "key")
     sizes = placed.groupBy("coarse").agg(F.count("*").alias("members"))
-    placed = placed.join(sizes, "coarse").select("key", "pack", "copies", "coarse", "members")
+    placed = salted_join(placed, sizes, "coarse", "key").select("key", "pack", "copies", "coarse", "members")
     shared = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), packs.parts)
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("key"), chunks).cast("int")
@@ -270,14 +270,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     counts_ = links.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     classes = classes.join(roots, "key", "left").join(counts_, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     least = classes.groupBy("root").agg(F.min("least").alias("component"))
-    classes = classes.join(least, "root").select("key", "component", "links")
+    classes = salted_join(classes, least, "root", "key").select("key", "component", "links")
 
     def answer(table: pa.Table) -> pa.Table:
         none = table.column("component").is_null().to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, bool)
         cols = [table.column(c).fill_null(0).to_numpy() for c in ("row", "n", "component", "links")]
         return pa.table({"pack": table.column("pack").slice(0, 1), "part": pa.array([0], pa.int32()), "answer": pa.array([arrays(*[c.astype("<i8") for c in cols], none)], pa.binary())})
 
-    answers = written(rows.join(classes, "key").select("pack", "row", "n", "component", "links").groupBy("pack").applyInArrow(answer, "pack long, part int, answer binary"), "jaccard-answers")
+    answers = written(salted_join(rows, classes, "key", "pack").select("pack", "row", "n", "component", "links").groupBy("pack").applyInArrow(answer, "pack long, part int, answer binary"), "jaccard-answers")
     release(spark)
 
     def finish(batch: pa.RecordBatch, reply: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
