@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions import kernels, vectors
+from ..functions.ranges import running_sum
 from . import knn
 
 MODEL_BYTES = 64 << 20
-#: Rows of the sample that the first centroids are drawn from, for each of them.
-SAMPLE_EACH = 500
+#: Rows of the sample that the first centroids are drawn from, for each of them, and bytes of it; it has a row a centroid at least.
+SAMPLE_EACH, SAMPLE_BYTES = 500, 256 << 20
 
 
 class TrainingError(ValueError):
@@ -130,7 +130,8 @@ def train(corpus: DataFrame, n_clusters: int, max_iter: int = 25, tol: float = 1
         raise TrainingError(f"{n} rows for {n_clusters} clusters")
     if least != most:
         raise TrainingError(f"vectors of dimensions {least} and {most}")
-    sample = corpus.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n_clusters * SAMPLE_EACH).select("embedding").collect()
+    size = max(n_clusters, min(n_clusters * SAMPLE_EACH, SAMPLE_BYTES // (8 * max(1, most))))
+    sample = corpus.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(size).select("embedding").collect()
     x, rng = np.array([r.embedding for r in sample], float), np.random.default_rng(seed)
     chosen = [x[int(rng.integers(len(x)))]]
     nearest2 = kernels.distances(x, chosen[0], metric) ** 2
@@ -275,11 +276,5 @@ def balance_report(assigned: DataFrame, c: Centroids, threshold: float = 0.5) ->
 def weighted_draw(weights: DataFrame, share: float, weight: str = "weight", order: str = "id") -> DataFrame:
     """The first row at which the running sum of weights reaches share of their total. Sums of ranges of the order are
     added first, so that no task runs over all rows."""
-    from ..sources.store import number_chunks
-
-    rows = number_chunks(weights, order, rows=4096)
-    sums = rows.groupBy("chunk").agg(F.sum(weight).alias("s"))
-    w = Window.orderBy("chunk")
-    sums = sums.select("chunk", (F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy()).alias("total"))
-    upto = F.col("before") + F.sum(weight).over(Window.partitionBy("chunk").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(sums, "chunk").withColumn("upto", upto).where(F.col("upto") >= F.lit(share) * F.col("total")).orderBy("row").limit(1).select(*weights.columns)
+    rows = running_sum(weights, order, weight, "_upto", "_all")
+    return rows.where(F.col("_upto") >= F.lit(share) * F.col("_all")).orderBy(order).limit(1).select(*weights.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranges import running_sum
 from .hybrid import WEEK, age_seconds, is_recent, with_tier
 
 HOUR, DAY = 3600, 86_400
@@ -60,9 +61,9 @@ def memory_estimate(corpus: DataFrame, per_row: int = 41) -> DataFrame:
 def latency_stats(runs: DataFrame, value: str = "ms", results: str | None = None) -> DataFrame:
     """Count, mean, and the order statistics at floor(n / 2) and at floor(0.99 n) from 0, the last one at most; no interpolation.
 
-    The values are ranked by how many are at or below them, by value, so no task sorts them all in an array."""
+    Equal values are counted first, and the counts added up by ranges of the values, so no task has all of them."""
     by = runs.groupBy(value).agg(F.count("*").alias("n"))
-    ranked = by.withColumn("upto", F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy()))
+    ranked = running_sum(by, value, "n", "upto", "all")
     at = lambda share: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("all") * share), F.col("all") - 1), F.col(value)))
     return ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"), at(0.5).alias("p50"), at(0.99).alias("p99"))
 

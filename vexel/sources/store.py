@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranges import running_sum
+
 #: Version that is written; those up to it are read.
 VERSION = 3
 CHUNK_ROWS = 10_000
@@ -145,15 +147,8 @@ class ContentStore:
 
 def number_chunks(corpus: DataFrame, order: str = "id", rows: int = CHUNK_ROWS, buckets: int = 64) -> DataFrame:
     """Adds row (from 0, in the order) and chunk (row div rows). Ranges of the order are counted first, so no task has them all."""
-    n = max(1, buckets)
-    cuts = corpus.approxQuantile(order, [i / n for i in range(1, n)], 0.01) if n > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    rows_ = corpus.withColumn("_part", part)
-    counts = rows_.groupBy("_part").count()
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_part", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("_before"))
-    at = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1 + F.col("_before")
-    return rows_.join(counts, "_part").withColumn("row", at.cast("long")).withColumn("chunk", F.floor(F.col("row") / rows).cast("long")).drop("_part", "_before")
+    numbered = running_sum(corpus.withColumn("_one", F.lit(1).cast("long")), order, "_one", "row", "_all", max(1, buckets))
+    return numbered.withColumn("row", F.col("row") - 1).withColumn("chunk", F.floor(F.col("row") / rows).cast("long")).drop("_one", "_all")
 
 
 def overlaps(first_a: Column, last_a: Column, first_b: Column, last_b: Column) -> Column:
