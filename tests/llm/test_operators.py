@@ -442,6 +442,13 @@ def test_shared_folder_is_the_session_s(spark):
     assert common.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
+def test_sweep_deletes_what_was_written(spark):
+    df = common.written(spark.range(3).toDF("x"), "swept")
+    assert df.count() == 3 and common.sweep(spark) >= 1
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        df.count()
+
+
 # --- the pipeline
 
 

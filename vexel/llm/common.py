@@ -43,6 +43,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and still there if an executor is lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/vexel-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
@@ -50,6 +51,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Tables that written() made, for sweep().
+_WRITTEN: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes the tables that this process wrote to the shared folder; results that read them must have been taken before."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of frames that are no longer in use."""
     gc.collect()

@@ -14,6 +14,8 @@ from .common import worker_state
 
 #: Components of a vector, and the seed of the letters' vectors.
 DIMENSIONS, SEED = 1024, 7
+#: Languages that may be learned: their prototypes come to the driver.
+MAX_LANGUAGES = 5000
 #: Vectors of n-grams that a worker keeps; emptied when full.
 KEPT = 24_000
 UNKNOWN = "und"
@@ -136,7 +138,9 @@ def prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang", dime
             yield pa.RecordBatch.from_arrays([pa.array([*sums]), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
     parts = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text), F.col(lang)).mapInArrow(run, "lang string, v array<double>")
-    rows = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).collect()
+    rows = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).limit(MAX_LANGUAGES + 1).collect()
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return {r.lang: np.array([x.x for x in r.v]) for r in rows}
 
 

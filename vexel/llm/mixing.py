@@ -45,7 +45,8 @@ def when_reached(share: Column, slope: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, max_repeats: int = MAX_REPEATS, seed: str = "mix") -> DataFrame:
-    """Adds size (words), source_size, target, copies (0 to max_repeats), taken (copies * size) and start (of its source's demand) to every row.
+    """Adds size (words), source_size, target, copies (0 to max_repeats), taken (copies * size), start (the words of its source before
+    it in the seeded order) and slope (of its source's weight over the training) to every row.
 
     A source whose target is q times its size, q = a + f with a whole, takes all its documents a times, and once more
     those that come first in the seeded order, until f of its words are reached (a document counts as reached if its
