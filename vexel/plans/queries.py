@@ -1,6 +1,6 @@
 """The engine's queries over the driver's tables, each with DuckDB SQL that gives the same rows.
 
-A corpus row is an embedding with the event of the same number as its metadata. Distances are rounded to six digits.
+A corpus row is an embedding, with the event of the same number as its metadata where a query uses that. Distances are rounded to six digits.
 Queries read whole tables. Query vectors are those of the rows with the smallest ids, which is what Q stands for in SQL.
 """
 
@@ -56,14 +56,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf: str, metadata: bool = False) -> DataFrame:
-    """(id, embedding, label, ts, event_type, value, user_id, k); with metadata also the same as a VARIANT document."""
-    e, v = table(spark, sf, "embeddings"), table(spark, sf, "events")
+def corpus(spark: SparkSession, sf: str, metadata: bool = False, fields: bool = False) -> DataFrame:
+    """(id, embedding, label, ts); with fields also event_type, value, user_id and k of the event of the same number, and with
+    metadata those and the same as a VARIANT document. Only queries that use the event join it."""
+    e = table(spark, sf, "embeddings")
     ts = F.lit(AS_OF).cast("timestamp") - F.make_interval(hours=((F.col("vec_id") * 37) % 720).cast("int"))
-    out = e.join(v.drop("ts"), e.vec_id == v.event_id).select(
-        F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), "label", ts.alias("ts"),
-        "event_type", "value", "user_id", F.get_json_object("props", "$.k").cast("int").alias("k"),
-    )
+    own = [F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), "label", ts.alias("ts")]
+    if not fields and not metadata:
+        return e.select(*own)
+    v = table(spark, sf, "events")
+    out = e.join(v.drop("ts"), e.vec_id == v.event_id).select(*own, "event_type", "value", "user_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
     if not metadata:
         return out
     doc = F.struct(
@@ -73,8 +75,8 @@ def corpus(spark: SparkSession, sf: str, metadata: bool = False) -> DataFrame:
     return out.withColumn("metadata", F.parse_json(F.to_json(doc)))
 
 
-def q_of(c: DataFrame, id_: int = 0) -> list[float]:
-    return knn.vector_of(c, id_)
+def q_of(spark: SparkSession, sf: str, id_: int = 0) -> list[float]:
+    return knn.vector_of(corpus(spark, sf), id_)
 
 
 def queries_of(c: DataFrame, n: int = 5) -> DataFrame:
@@ -93,7 +95,7 @@ FOUND = "id, round(distance, 6) + 0.0 AS distance, round(1 / (1 + distance), 6)
 def against(spark, sf):
     """Every row with the vector of row 0 as q."""
     c = corpus(spark, sf)
-    return c.withColumn("q", knn.literal(q_of(c)))
+    return c.withColumn("q", knn.literal(q_of(spark, sf)))
 
 
 def scalar(name: str, spark_expr: Callable[[], Column], sql: str) -> None:
@@ -135,13 +137,13 @@ def found(name: str, sql: str):
 @found("knn_l2", f"SELECT {FOUND} FROM d ORDER BY d.distance, id LIMIT {K}")
 def knn_l2(spark, sf):
     c = corpus(spark, sf)
-    return out(knn.nearest(c, q_of(c), K))
+    return out(knn.nearest(c, q_of(spark, sf), K))
 
 
 @found("knn_cosine", f"SELECT id, round(1 - sim, 6) + 0.0 AS distance, round(1 / (1 + (1 - sim)), 6) AS score FROM d ORDER BY 1 - sim, id LIMIT {K}")
 def knn_cosine(spark, sf):
     c = corpus(spark, sf)
-    return out(knn.nearest(c, q_of(c), K, "cosine"))
+    return out(knn.nearest(c, q_of(spark, sf), K, "cosine"))
 
 
 BATCH = "x AS (SELECT query_id, id, list_distance(embedding, q) AS distance FROM c, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM x)"
@@ -161,12 +163,12 @@ def knn_similar(spark, sf):
 @found("knn_threshold", f"SELECT {FOUND} FROM (SELECT * FROM d ORDER BY distance, id LIMIT {K}) WHERE 1 / (1 + distance) >= 0.45")
 def knn_threshold(spark, sf):
     c = corpus(spark, sf)
-    return out(knn.nearest(c, q_of(c), K, min_score=0.45))
+    return out(knn.nearest(c, q_of(spark, sf), K, min_score=0.45))
 
 
 @found("top_k_scores", f"SELECT id, value FROM c ORDER BY value DESC, id LIMIT {K}")
 def top_k_scores(spark, sf):
-    return knn.top_k(corpus(spark, sf), F.col("value"), K).select("id", "value")
+    return knn.top_k(corpus(spark, sf, fields=True), F.col("value"), K).select("id", "value")
 
 
 HISTORY = [1, 2, 3, 3]
@@ -185,7 +187,7 @@ TYPED = {"category": ("event_type", "string"), "views": ("value", "double"), "us
 def flt(name: str, f: dict, sql: str, dialect: str = "full", typed: bool = False) -> None:
     @query(name, f"SELECT id FROM c WHERE {sql}")
     def run(spark, sf):
-        return corpus(spark, sf, metadata=not typed).where(compile_filter(f, dialect=dialect, typed=TYPED if typed else None)).select("id")
+        return corpus(spark, sf, metadata=not typed, fields=typed).where(compile_filter(f, dialect=dialect, typed=TYPED if typed else None)).select("id")
 
 
 flt("flt_eq", {"category": "click"}, "event_type = 'click'")
@@ -232,19 +234,19 @@ CLICK = {"category": "click"}
 @found("knn_prefilter", f"SELECT {FOUND} FROM d WHERE event_type = 'click' ORDER BY d.distance, id LIMIT {K}")
 def knn_prefilter(spark, sf):
     c = corpus(spark, sf, metadata=True)
-    return out(hybrid.search_filtered(c, q_of(c), K, compile_filter(CLICK)))
+    return out(hybrid.search_filtered(c, q_of(spark, sf), K, compile_filter(CLICK)))
 
 
 @found("knn_prefilter_typed", f"SELECT {FOUND} FROM d WHERE event_type = 'click' ORDER BY d.distance, id LIMIT {K}")
 def knn_prefilter_typed(spark, sf):
-    c = corpus(spark, sf)
-    return out(hybrid.search_filtered(c, q_of(c), K, compile_filter(CLICK, typed=TYPED)))
+    c = corpus(spark, sf, fields=True)
+    return out(hybrid.search_filtered(c, q_of(spark, sf), K, compile_filter(CLICK, typed=TYPED)))
 
 
 @found("knn_postfilter", f", t AS (SELECT * FROM d ORDER BY distance, id LIMIT {3 * K}) SELECT {FOUND} FROM t WHERE event_type = 'click' ORDER BY t.distance, id LIMIT {K}")
 def knn_postfilter(spark, sf):
     c = corpus(spark, sf, metadata=True)
-    return out(hybrid.search_filtered(c, q_of(c), K, compile_filter(CLICK), mode="post"))
+    return out(hybrid.search_filtered(c, q_of(spark, sf), K, compile_filter(CLICK), mode="post"))
 
 
 # --- clusters, with the mean of each label as centroid
@@ -310,7 +312,7 @@ def ivf_probes(spark, sf):
 @query("ivf_search_nprobe", IVF + PROBES + f" SELECT id, round(distance, 6) + 0.0 AS distance FROM r WHERE query_id = 0 AND rank <= {K}")
 def ivf_search_nprobe(spark, sf):
     c, centroids, a = clustered(spark, sf)
-    return ivf.search(a, centroids, q_of(c), K, n_probe=2).select("id", r6("distance").alias("distance"))
+    return ivf.search(a, centroids, q_of(spark, sf), K, n_probe=2).select("id", r6("distance").alias("distance"))
 
 
 @query("ivf_batch_search", IVF + PROBES + f" SELECT query_id, rank, {FOUND} FROM r WHERE rank <= {K}")
@@ -322,7 +324,7 @@ def ivf_batch_search(spark, sf):
 @query("ivf_search_all", f"SELECT {FOUND} FROM d ORDER BY d.distance, id LIMIT {K}")
 def ivf_search_all(spark, sf):
     c, centroids, a = clustered(spark, sf)
-    return out(ivf.search(a, centroids, q_of(c), K, n_probe=len(centroids.ids)))
+    return out(ivf.search(a, centroids, q_of(spark, sf), K, n_probe=len(centroids.ids)))
 
 
 @query("recall_at_k", IVF + PROBES + f", f AS (SELECT query_id, id FROM r WHERE rank <= {K}), y AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(embedding, q), id) AS n FROM c, q), t AS (SELECT query_id, id FROM y WHERE n <= {K}), h AS (SELECT query_id, count(*) FILTER (f.id IS NOT NULL AND t.id IS NOT NULL) AS hits, count(f.id) AS nf, count(t.id) AS nt FROM f FULL JOIN t USING (query_id, id) GROUP BY query_id) SELECT round(avg(hits / least(nt, {K})), 6) AS recall, round(avg(CASE WHEN nf = 0 THEN 0 ELSE hits / nf END), 6) AS precision FROM h")
@@ -370,7 +372,7 @@ def balance_report(spark, sf):
 
 @query("weighted_draw", ", w AS (SELECT id, sum(k) OVER (ORDER BY id) AS upto, sum(k) OVER () AS total FROM c) SELECT id FROM w WHERE upto >= 0.5 * total ORDER BY id LIMIT 1")
 def weighted_draw(spark, sf):
-    return ivf.weighted_draw(corpus(spark, sf).select("id", "k"), 0.5, "k").select("id")
+    return ivf.weighted_draw(corpus(spark, sf, fields=True).select("id", "k"), 0.5, "k").select("id")
 
 
 # --- quantization
@@ -414,19 +416,19 @@ TIERS = f", t AS ((SELECT *, 'recent' AS tier FROM d WHERE {RECENT} ORDER BY dis
 @query("hybrid_search", TIERS + f" SELECT {FOUND}, tier FROM t ORDER BY t.distance, id LIMIT {K}")
 def hybrid_search(spark, sf):
     c = corpus(spark, sf)
-    return out(hybrid.search(c, q_of(c), K, AS_OF), "tier")
+    return out(hybrid.search(c, q_of(spark, sf), K, AS_OF), "tier")
 
 
 @query("hybrid_weighted", TIERS + f" SELECT id, round(distance, 6) + 0.0 AS distance, round(1 / (1 + distance) * (CASE WHEN tier = 'recent' THEN 1.5 ELSE 1 END), 6) AS score, tier FROM t ORDER BY 1 / (1 + t.distance) * (CASE WHEN tier = 'recent' THEN 1.5 ELSE 1 END) DESC, id LIMIT {K}")
 def hybrid_weighted(spark, sf):
     c = corpus(spark, sf)
-    return out(hybrid.search_weighted(c, q_of(c), K, AS_OF, recent_weight=1.5), "tier")
+    return out(hybrid.search_weighted(c, q_of(spark, sf), K, AS_OF, recent_weight=1.5), "tier")
 
 
 @query("hybrid_linear", TIERS + f" SELECT id, round((1 - distance) * (CASE WHEN tier = 'recent' THEN 1.5 ELSE 1 END), 6) + 0.0 AS score, tier FROM t ORDER BY (1 - t.distance) * (CASE WHEN tier = 'recent' THEN 1.5 ELSE 1 END) DESC, id LIMIT {K}")
 def hybrid_linear(spark, sf):
     c = corpus(spark, sf)
-    return hybrid.search_weighted(c, q_of(c), K, AS_OF, recent_weight=1.5, scoring="linear").select("id", r6("score").alias("score"), "tier")
+    return hybrid.search_weighted(c, q_of(spark, sf), K, AS_OF, recent_weight=1.5, scoring="linear").select("id", r6("score").alias("score"), "tier")
 
 
 @query("hybrid_plan", f"SELECT count(*) FILTER ({RECENT}) > 0 AS search_recent, count(*) FILTER (NOT {RECENT}) > 0 AS search_historical, (CASE WHEN count(*) < 1000 THEN 5 WHEN count(*) < 10000 THEN 10 ELSE 20 END)::INT AS n_probe, (CASE WHEN count(*) < 1000 THEN 50 WHEN count(*) < 10000 THEN 100 ELSE 200 END)::INT AS ef FROM c")
@@ -483,8 +485,8 @@ SETS = f", s0 AS (SELECT id, distance, 1 / (1 + distance) AS score, 0 AS source_
 
 
 def result_sets(spark, sf) -> list[DataFrame]:
-    c = corpus(spark, sf)
-    q = q_of(c)
+    c = corpus(spark, sf, fields=True)
+    q = q_of(spark, sf)
     return [knn.nearest(c, q, K).select("id", "distance", "score"), knn.nearest(c, q, K, "cosine", where=F.col("event_type") != "click").select("id", "distance", "score")]
 
 
@@ -519,8 +521,8 @@ def set_difference(spark, sf):
 def rescored(name: str, score: Callable[[], Column], sql: str) -> None:
     @query(name, f"SELECT id, round({sql}, 6) + 0.0 AS score FROM (SELECT * FROM d ORDER BY distance, id LIMIT 50) ORDER BY {sql} DESC, id LIMIT {K}")
     def run(spark, sf):
-        c = corpus(spark, sf)
-        return rank.rescore(knn.nearest(c, q_of(c), 50), score(), K).select("id", r6("score").alias("score"))
+        c = corpus(spark, sf, fields=True)
+        return rank.rescore(knn.nearest(c, q_of(spark, sf), 50), score(), K).select("id", r6("score").alias("score"))
 
 
 HALF = 7 * 86_400.0
@@ -563,7 +565,7 @@ DEAD = "id % 7 = 0"
 @query("soft_delete", f"SELECT {FOUND} FROM d WHERE NOT {DEAD} ORDER BY d.distance, id LIMIT {K}")
 def soft_delete(spark, sf):
     c = corpus(spark, sf)
-    return out(knn.nearest(dml.active(c, c.where(DEAD).select("id")), q_of(c), K))
+    return out(knn.nearest(dml.active(c, c.where(DEAD).select("id")), q_of(spark, sf), K))
 
 
 @query("delete_counts", f"SELECT CASE WHEN {RECENT} THEN 'recent' ELSE 'historical' END AS tier, count(*) FILTER (NOT {DEAD}) AS active, count(*) FILTER ({DEAD}) AS deleted FROM c GROUP BY 1")
@@ -607,7 +609,7 @@ def update_metadata(spark, sf):
 
 @query("upsert", "SELECT id, CASE WHEN id < 20 THEN 0 ELSE k END AS k FROM c")
 def upsert(spark, sf):
-    c = corpus(spark, sf).select("id", "k")
+    c = corpus(spark, sf, fields=True).select("id", "k")
     return dml.upsert(c, c.where("id < 20").withColumn("k", F.lit(0)))
 
 
@@ -620,7 +622,7 @@ def schema_violations(spark, sf):
 @query("lookup_metadata", SETS + " SELECT s0.id, coalesce(c.event_type, '') AS category FROM s0 LEFT JOIN c ON s0.id = c.id AND c.value > 50")
 def lookup_metadata(spark, sf):
     found_, _ = result_sets(spark, sf)
-    known = corpus(spark, sf).where("value > 50").select("id", F.col("event_type").alias("category"))
+    known = corpus(spark, sf, fields=True).where("value > 50").select("id", F.col("event_type").alias("category"))
     return found_.select("id").join(known, "id", "left").select("id", F.coalesce("category", F.lit("")).alias("category"))
 
 
@@ -643,7 +645,7 @@ def save_load(spark, sf):
     path = streams.scratch(spark)
     store.save(ivf.assign(c, label_centroids(c)), path, tombstones=c.where(DEAD).select("id"), partition_by=["cluster_id"])
     back = store.load(spark, path, verify=True)
-    return out(knn.nearest(dml.active(back["corpus"], back["tombstones"]), q_of(c), K))
+    return out(knn.nearest(dml.active(back["corpus"], back["tombstones"]), q_of(spark, sf), K))
 
 
 @query("compact", f"SELECT id FROM c WHERE NOT {DEAD}")
@@ -712,7 +714,7 @@ def stream_of(spark: SparkSession, c: DataFrame) -> tuple[DataFrame, str]:
 def stream_topk(spark, sf):
     c = corpus(spark, sf).select("id", "embedding")
     stream, path = stream_of(spark, c)
-    streams.drained(streams.running_top_k(stream, q_of(c), K, f"{path}/out", f"{path}/state"))
+    streams.drained(streams.running_top_k(stream, q_of(spark, sf), K, f"{path}/out", f"{path}/state"))
     return out(streams.latest_top_k(spark, f"{path}/out"))
 
 
@@ -739,8 +741,8 @@ def windowed_counts(spark, sf):
 
 @found("filtered_search", f"SELECT {FOUND}, event_type, k FROM d WHERE value > 20 AND k < 90 ORDER BY d.distance, id LIMIT {K}")
 def filtered_search(spark, sf):
-    c = corpus(spark, sf)
+    c = corpus(spark, sf, fields=True)
     where = compile_filter(json.dumps({"views": {"$gt": 20}, "user.k": {"$lt": 90}}), typed=TYPED)
-    return out(knn.nearest(c, q_of(c), K, where=where), "event_type", "k")
+    return out(knn.nearest(c, q_of(spark, sf), K, where=where), "event_type", "k")
 
 
