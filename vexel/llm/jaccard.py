@@ -19,7 +19,7 @@ from .tokens import Words, fits, mix, window_hashes
 #: Words of a shingle, least similarity in per cent, global orders whose prefixes must all meet.
 SHINGLE, PERCENT, ORDERS = 5, 75, 3
 #: Sets of a candidate component that are compared in one task; larger components are cut into pairs of chunks.
-CHUNK = 256
+CHUNK = 128
 #: Columns of the matrices of shared shingles that are multiplied at a time.
 SLAB = 4096
 
