@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 from .batches import list_array, slices
 from .common import worker_state
 
-#: Entries of the memories of a worker. They are emptied when full, so that no vocabulary of the data can fill a worker.
-PIECES, PAIRS, LONGEST_PIECE = 250_000, 500_000, 48
+#: Entries of the memories of a worker: of each of the two generations of pieces, and of pairs. A full generation takes the
+#: older one's place, and pairs are emptied when full, so that no vocabulary of the data can fill a worker.
+PIECES, PAIRS, LONGEST_PIECE = 150_000, 500_000, 48
 #: Pieces of a text that are looked at together.
 STRIDE = 1 << 17
 
@@ -141,13 +142,16 @@ class Pieces(dict):
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.older = encoder, {}
 
     def __missing__(self, piece: str) -> tuple[bytes, bytes]:
-        ids = self.encoder.encode_piece(piece.encode("utf-8", "surrogatepass"))
-        out = np.array(ids, dtype=np.int32).tobytes(), self.encoder.decode(ids)
+        out = self.older.get(piece)
+        if out is None:
+            ids = self.encoder.encode_piece(piece.encode("utf-8", "surrogatepass"))
+            out = np.array(ids, dtype=np.int32).tobytes(), self.encoder.decode(ids)
         if len(piece) <= LONGEST_PIECE:
             if len(self) >= PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out
