@@ -215,6 +215,13 @@ def test_bpe_on_odd_characters(vocabulary):
         assert [i for m in split.findall(s) for i in encoder.encode_piece(m.encode())] == want.encode_ordinary(s)
 
 
+def test_pieces_are_remembered_and_forgotten(vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES", 3)
+    pieces = bpe.Pieces(bpe.Encoder(bpe.read_ranks(vocabulary[0])))
+    for w in " alpha beta gamma delta alpha beta epsilon zeta eta theta alpha".split(" ") * 3:
+        assert pieces[w][1] == w.encode() and len(pieces) <= 3 and len(pieces.older) <= 3
+
+
 def test_bpe_is_linear(vocabulary):
     encoder = bpe.Encoder(bpe.read_ranks(vocabulary[0]))
     long = b"ab" * 200_000
