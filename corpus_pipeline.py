@@ -22,9 +22,9 @@ def with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents that fail the base rules or their script's bands go."""
+    """Operator 6: documents that fail the base rules or their script's bands, fitted on labelled rows, go."""
     on_workers(spark)
-    return quality.score_quality(docs.select(*COLUMNS), quality.piece_model()).where("kept").select(*COLUMNS)
+    return quality.fitted(spark, docs.select(*COLUMNS), sf_dir).where("kept").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

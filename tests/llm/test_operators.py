@@ -256,6 +256,29 @@ def test_bands_reject_by_script(spark):
     assert quality.score_quality(df, quality.piece_model()).orderBy("doc_id").first().kept
 
 
+def test_fitted_bands_reject_held_out_junk(spark):
+    sf = SF.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    seen = labels.where(~quality.held_out() & (F.col("doc_id") % 2 == 0))
+    bands, floors = quality.fit_bands(docs, seen, quality.piece_model())
+    low, high, most, _ = bands["latin"]
+    assert 1.35 < low < high < 8 and most < 0.1 and set(floors) == {"latin"} and bands["han"] == quality.BANDS["han"]
+    unseen = docs.join(labels.where(quality.held_out()), "doc_id").select("text", "quality")
+    got = quality.score_quality(unseen, quality.piece_model(), bands=bands, floors=floors).where("NOT base_failed").select("quality", "kept").collect()
+    poor, good = [r.kept for r in got if r.quality == 0], [r.kept for r in got if r.quality == 1]
+    assert len(poor) > 40 and sum(poor) < 0.1 * len(poor) and sum(good) > 0.99 * len(good)
+    # texts of long tokens, and of tokens that fall back to bytes, which no labelled row has
+    rows = [(1, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600))), (2, " ".join(f"word{k} \U0001f9ff" for k in range(200)))]
+    odd = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string"), quality.piece_model(), bands=bands, floors=floors).collect()
+    assert not any(r.kept or r.base_failed for r in odd)
+
+
+def test_few_labels_keep_the_fixed_bands(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    assert quality.fit_bands(docs, labels, quality.piece_model()) == (quality.BANDS, {})
+    assert quality.fit_bands(docs, labels.limit(0), quality.piece_model()) == (quality.BANDS, {})
+
+
 # --- 7
 
 
