@@ -19,6 +19,12 @@ def test_without_sql(spark, name):
     assert out["n"].sum() == 500 and len(out) <= engine.N_CLUSTERS
 
 
+def test_insert_checks_the_whole_corpus(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    found = engine.QUERIES["insert_dedup_whole"](spark, SF).toPandas()
+    assert len(found) == n and found["status"].value_counts().to_dict() == {"duplicate id": n - n // 2, "ok": n // 2}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

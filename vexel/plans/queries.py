@@ -559,6 +559,14 @@ def insert_dedup(spark, sf):
     return good.select("id", F.lit("ok").alias("status")).union(bad.select("id", F.col("reason").alias("status")))
 
 
+@query("insert_dedup_whole", "SELECT CASE WHEN id % 2 = 0 THEN id ELSE -1 - id END AS id, CASE WHEN id % 2 = 0 THEN 'duplicate id' ELSE 'ok' END AS status FROM c")
+def insert_dedup_whole(spark, sf):
+    """All rows exist; the batch has them again, every other one with an id that is new."""
+    c = corpus(spark, sf).select("id", "embedding")
+    good, bad = dml.split_insert(c, c.withColumn("id", F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(-1 - F.col("id"))), 64)
+    return good.select("id", F.lit("ok").alias("status")).union(bad.select("id", F.col("reason").alias("status")))
+
+
 DEAD = "id % 7 = 0"
 
 
