@@ -28,11 +28,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of each component the document with the smallest id stays. (Rows without an id are components of their own
-    unless they are linked; linked ones go with the component.)"""
+    """Operator 10: of each component one row stays, that with the smallest id; of rows that share it, or all have none, the
+    first one as they were packed."""
     on_workers(spark)
-    found = jaccard.near_duplicates(docs.select(*COLUMNS))
-    return found.where((F.col("component_id") == F.col("doc_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNull())).select(*COLUMNS)
+    return jaccard.near_duplicates(docs.select(*COLUMNS)).where("representative").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

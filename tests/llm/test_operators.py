@@ -497,6 +497,16 @@ def test_pipeline_stages(spark):
         assert r.n_chars == len(r.text) and (want[r.doc_id][1] > 0 or want[r.doc_id][3] == brute.sha(r.text.encode()))
 
 
+def test_one_row_of_each_component_stays(spark, monkeypatch):
+    small_packs(monkeypatch)
+    texts = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcd"]
+    near = texts[0].replace("a59", "x")
+    rows = [(1, texts[0]), (1, texts[0]), (2, near), (None, near), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    left = corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()
+    assert sorted(map(repr, [(r.doc_id, r.text) for r in left])) == sorted(map(repr, [(1, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, None), (None, "")]))
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 50 and out.where("n_tokens < 1").count() == 0

@@ -159,11 +159,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
        group of near copies sends a row a class, not its pairs. Their components are the result.
 
     Null texts and texts without words have no set, no link and component_id their own id. Null ids take part, but are
-    no component_id (null if all are). Repeated rows link with each other. An empty table gives an empty result. Other
+    no component_id (null if all are). Repeated rows link with each other. representative marks one row of each component, with
+    the smallest id (null after all others), then pack and row; rows without a set are alone in theirs. An empty table gives an empty result. Other
     columns stay; those named like the added ones are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_shingles", "component_id", "n_links")
+    docs = docs.drop("n_shingles", "component_id", "n_links", "representative")
     packs = Packs(docs, text, "jaccard")
     parts = packs.parts
 
@@ -228,7 +229,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     coarse = components(edges).select("node", F.col("root").alias("coarse"))
 
     # one row of each class speaks for it
-    classes = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "pack", "row")).alias("least"), F.count("*").alias("copies"))
     speakers = sets.groupBy("key").agg(F.min("pack").alias("pack")).withColumn("node", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long"))
     placed = speakers.join(coarse, "node").join(classes.select("key", "copies"), "key")
     sizes = placed.groupBy("coarse").agg(F.count("*").alias("members"))
@@ -269,26 +270,28 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     roots = components(links.select("a", "b")).select(F.col("node").alias("key"), "root")
     counts_ = links.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     classes = classes.join(roots, "key", "left").join(counts_, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component"))
-    classes = salted_join(classes, least, "root", "key").select("key", "component", "links")
+    least = classes.groupBy("root").agg(F.min("least").alias("first"))
+    classes = salted_join(classes, least, "root", "key").select("key", F.col("first.id").alias("component"), F.col("first.pack").alias("first_pack"), F.col("first.row").alias("first_row"), "links")
 
     def answer(table: pa.Table) -> pa.Table:
         none = table.column("component").is_null().to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, bool)
         cols = [table.column(c).fill_null(0).to_numpy() for c in ("row", "n", "component", "links")]
-        return pa.table({"pack": table.column("pack").slice(0, 1), "part": pa.array([0], pa.int32()), "answer": pa.array([arrays(*[c.astype("<i8") for c in cols], none)], pa.binary())})
+        chosen = np.asarray(table.column("chosen").to_numpy(), bool)
+        return pa.table({"pack": table.column("pack").slice(0, 1), "part": pa.array([0], pa.int32()), "answer": pa.array([arrays(*[c.astype("<i8") for c in cols], none, chosen)], pa.binary())})
 
-    answers = written(salted_join(rows, classes, "key", "pack").select("pack", "row", "n", "component", "links").groupBy("pack").applyInArrow(answer, "pack long, part int, answer binary"), "jaccard-answers")
+    chosen = ((F.col("pack") == F.col("first_pack")) & (F.col("row") == F.col("first_row"))).alias("chosen")
+    answers = written(salted_join(rows, classes, "key", "pack").select("pack", "row", "n", "component", "links", chosen).groupBy("pack").applyInArrow(answer, "pack long, part int, answer binary"), "jaccard-answers")
     release(spark)
 
     def finish(batch: pa.RecordBatch, reply: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(id_col).to_pylist()
-        n, links = [0] * len(ids), [0] * len(ids)
+        n, links, alone = [0] * len(ids), [0] * len(ids), [True] * len(ids)
         if 0 in reply:
-            for r, a, c, k, none in zip(*[x.tolist() for x in columns(reply[0], "<i8", "<i8", "<i8", "<i8", "?")]):
-                n[r], ids[r], links[r] = a, None if none else c, k
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(links, pa.int64())], names=[*batch.schema.names, "n_shingles", "component_id", "n_links"])
+            for r, a, c, k, none, first in zip(*[x.tolist() for x in columns(reply[0], "<i8", "<i8", "<i8", "<i8", "?", "?")]):
+                n[r], ids[r], links[r], alone[r] = a, None if none else c, k, first
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(links, pa.int64()), pa.array(alone)], names=[*batch.schema.names, "n_shingles", "component_id", "n_links", "representative"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_shingles", T.LongType()), T.StructField("component_id", T.LongType()), T.StructField("n_links", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_shingles", T.LongType()), T.StructField("component_id", T.LongType()), T.StructField("n_links", T.LongType()), T.StructField("representative", T.BooleanType())])
     return packs.finish(finish, schema, answers)
 
 
