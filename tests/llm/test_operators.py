@@ -137,9 +137,28 @@ def test_substrings(docs, monkeypatch, first):
     assert {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept.encode())) for r in got} == brute.substrings(PAIRS)
 
 
+@pytest.mark.parametrize("window", [3, 7, 25])
+def test_windows_that_do_not_halve(docs, monkeypatch, window):
+    small_packs(monkeypatch)
+    got = substrings.remove_repeats(docs, window=window).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept.encode())) for r in got} == brute.substrings(PAIRS, window)
+
+
+def test_rounds_end_where_no_candidate_survives(spark, monkeypatch):
+    asked, ask = [], packs.Packs.ask
+    monkeypatch.setattr(packs.Packs, "ask", lambda self, fn, q, label, *a: (asked.append(label), ask(self, fn, q, label, *a))[1])
+    run = lambda texts: substrings.remove_repeats(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], SCHEMA)).agg(F.sum("n_removed")).first()[0]
+    words = [f"w{k}" for k in range(100)]
+    assert run([" ".join(words[:40]), " ".join(words[50:90])]) == 0 and asked == ["of-5"]
+    asked.clear()
+    assert run([" ".join(words[:40]), " ".join(["x", *words[:8], "y"])]) == 0 and asked == ["of-5", "of-10"]
+    asked.clear()
+    assert run([" ".join(words[:40]), " ".join(words[10:35])]) == 25 and asked == ["of-5", "of-10", "first"]
+
+
 def test_substrings_edges(docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
-    assert substrings.levels(20, 5) == [5, 10, 20] and substrings.levels(25) == [25]
+    assert substrings.levels(20, 5) == [5, 10, 20] and substrings.levels(25) == [5, 10, 20, 25] and substrings.levels(3) == [3]
     # equal rows with one id, and with none: one of them keeps its words
     one = docs.where("doc_id = 0")
     for df in (one.union(one), one.union(one).withColumn("doc_id", F.lit(None).cast("long"))):
@@ -333,6 +352,34 @@ def test_suffixes_edges(docs, empty):
     assert all(isinstance(r.kept, str) for r in text)
 
 
+def test_a_crowd_round_one_phrase_is_split(spark, monkeypatch):
+    rnd = random.Random(9)
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+    texts = [noise(60) + "the phrase that is in all of them" + noise(60) for _ in range(600)]
+    texts += [t[20:130] for t in texts[:50]]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], SCHEMA).repartition(3)
+    small_packs(monkeypatch, 8000)
+    got = suffixes.remove_earlier(df).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), brute.sha(bytes(r.kept))) for r in got} == brute.suffixes(rows)
+    many_texts = [noise(60) + "the phrase that is in all of them" + noise(60) for _ in range(3000)]
+    runs = suffixes.Runs([t.encode() for t in many_texts], suffixes.DEPTH, suffixes.GRAM)
+    h, many, around = runs.grams()
+    reply = {p: suffixes.Grams().write(suffixes.Grams().settle([many[at], around[at]], np.arange(at.stop - at.start))) for p, at, _ in packs.by_part(h, 4)}
+    largest = lambda key: int(np.unique(key, return_counts=True)[1].max())
+    routed = runs.routed(4, {p: x for p, x in reply.items() if x})
+    assert largest(runs.key) > 1200 and largest(routed.key) < suffixes.CROWD * 1.5
+
+
+def test_cuts_are_at_characters(spark):
+    same = "".join(chr(0x430 + k % 31) for k in range(39))
+    df = spark.createDataFrame([(0, f"р{same}р", "", "", 0), (1, f"\u0400{same}с", "", "", 0), (2, "x" + same * 3 + "\U0001f600", "", "", 0), (3, same * 3 + "\U0001f601", "", "", 0)], SCHEMA)
+    raw = {r.doc_id: bytes(r.kept) for r in suffixes.remove_earlier(df).collect()}
+    assert raw[1] == b"\xd0\x81"
+    kept = {r.doc_id: r.kept for r in suffixes.remove_earlier(df, as_text=True).collect()}
+    assert kept[1] == "" and kept[0] == f"р{same}р" and kept[3] == ""
+
+
 def test_index_family_halves():
     rnd = np.random.default_rng(4)
     text = rnd.integers(97, 100, 4000).astype(np.uint8)
@@ -423,10 +470,26 @@ def test_prefixes_of_all_orders_meet():
         if len(a) and len(b):
             both = len(np.intersect1d(a, b))
             df = lambda x: np.where(np.isin(x, a) & np.isin(x, b), 2, 1).astype(np.uint8)
-            link = jaccard.linked([a, b], [jaccard.prefix_marks(a, df(a)), jaccard.prefix_marks(b, df(b))], 75, 3)
+            link, _ = jaccard.linked([a, b], [jaccard.prefix_marks(a, df(a)), jaccard.prefix_marks(b, df(b))], 75, 3)
             assert bool(link[0, 1]) == (100 * both >= 75 * (len(a) + len(b) - both))
 
 
+def test_each_order_leaves_fewer_candidates(spark, monkeypatch):
+    """Texts of common shingles that share some of them only: the rarest-first prefixes meet, shuffled ones often don't."""
+    rnd = random.Random(11)
+    lines = [" ".join(f"w{rnd.randrange(300)}" for _ in range(30)) for _ in range(60)]
+    rows = [(i, " ".join(rnd.sample(lines, 3))) for i in range(150)]
+    rows += [(150 + i, t + " tail") for i, (_, t) in enumerate(rows[:20])]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], SCHEMA)
+    small_packs(monkeypatch, 4000)
+    for chunk in (16, 1000):
+        monkeypatch.setattr(jaccard, "CHUNK", chunk)
+        left = []
+        got = jaccard.near_duplicates(df, filtered=left).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == sorted(brute.jaccard(rows))
+        assert left[0] > left[1] > left[2] > left[3] and left[3] == sum(r.n_links for r in got) // 2 == 20
+
+
 def test_components(spark):
     rnd = random.Random(8)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)]
@@ -461,6 +524,29 @@ def test_words_and_windows():
     assert w.joined(np.zeros(len(w), bool)) == [b""] * 5
 
 
+def test_messages_grow_with_the_packs(monkeypatch):
+    """Packs times the radix a hop, and the radix has a bound: four sizes, the last ones beyond what two hops reach."""
+
+    def shape(count):
+        p = object.__new__(packs.Packs)
+        p.count = count
+        p._tree()
+        return p.hops, p.radix, p.hops * p.radix
+
+    found = [shape(n) for n in (85, 422, 25_000, 5_000_000, 50_000_000)]
+    assert [h for h, _, _ in found] == [2, 2, 2, 3, 4] and all(r <= packs.FAN for _, r, _ in found) and max(m for _, _, m in found) <= 3 * packs.FAN
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3])
+def test_answers_do_not_depend_on_the_tree(docs, monkeypatch, hops):
+    small_packs(monkeypatch, 3000)
+    monkeypatch.setattr(packs, "LEAST_HOPS", hops)
+    got = substrings.remove_repeats(docs).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept.encode())) for r in got} == brute.substrings(PAIRS)
+    cut = suffixes.remove_earlier(docs).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), brute.sha(bytes(r.kept))) for r in cut} == brute.suffixes(PAIRS)
+
+
 def test_packs_keep_every_row_and_column(spark, docs, monkeypatch):
     small_packs(monkeypatch, 1000)
     p = packs.Packs(docs, "text", "test")

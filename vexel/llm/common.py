@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-import tempfile
+import os
 import uuid
 from collections.abc import Iterable
 
@@ -29,11 +29,14 @@ def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session, which all executors must reach; without it there is no place for tables between
+    stages, which is an error: a folder of this machine's would be out of reach on a cluster."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="vexel-")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{os.path.abspath(os.environ.get('TMPDIR', '/tmp'))}/vexel-{sc.applicationId}"  # one machine: driver and executors are one process
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root
@@ -43,7 +46,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and still there if an executor is lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/vexel-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    remember(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
@@ -51,15 +54,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-#: Tables that written() made, for sweep().
-_WRITTEN: list[str] = []
+#: Folders that this process wrote, and the catalog's names of those that have one, for sweep().
+_WRITTEN: list[tuple[str, str | None]] = []
+
+
+def remember(path: str, table: str | None = None) -> None:
+    _WRITTEN.append((path, table))
 
 
 def sweep(spark: SparkSession) -> int:
     """Deletes the tables that this process wrote to the shared folder; results that read them must have been taken before."""
     n = 0
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        name, table = _WRITTEN.pop()
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return n
 

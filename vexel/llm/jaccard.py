@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from .batches import slices
 from .common import release, salted_join, written
 from .graph import components
-from .packs import Messages, Packs, arrays, by_part, columns, distinct, expand, squeeze
+from .packs import Counts, Messages, Packs, Replies, answers_to, arrays, by_part, columns, distinct, expand, keyed, squeeze
 from .tokens import Words, fits, mix, window_hashes
 
 #: Words of a shingle, least similarity in per cent, global orders whose prefixes must all meet.
@@ -65,31 +65,18 @@ class Sets:
         return np.concatenate([self.of(i) for i in self.leaders]) if self.leaders else self.tokens[:0]
 
 
-def answer_counts(messages: list[bytes]) -> list[bytes | None]:
-    """Messages: low halves of keys and counts. Answers: their sums over all packs, 255 at most; none where all are 1."""
-    own = [columns(m, "<u4", "u1") for m in messages]
-    key, n = (np.concatenate([x[k] for x in own]) for k in (0, 1))
-    order = np.argsort(key)
-    s = key[order]
-    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    total = np.minimum(np.add.reduceat(n[order].astype(np.int64), first), 255).astype(np.uint8)
-    out = np.empty(len(key), np.uint8)
-    out[order] = np.repeat(total, np.diff(np.append(first, len(s))))
-    ends = np.cumsum([len(x[0]) for x in own])
-    each = [out[e - len(x[0]) : e] for x, e in zip(own, ends.tolist())]
-    return [squeeze(x.tobytes()) if (x > 1).any() else None for x in each]
-
-
 def prefix_marks(tokens: np.ndarray, df: np.ndarray, percent: int = PERCENT, orders: int = ORDERS) -> np.ndarray:
     """For each shingle of a set a bit for each order: it is in the prefix, and another set has it.
 
-    All orders put rarer shingles first (by df); they differ in how they break ties. A partner shares ceil(t n) of the
-    n shingles at least, so one of the first n - ceil(t n) + 1, whatever the order."""
+    The first order puts rarer shingles (by df) first, which leaves the fewest candidates; the others are unlike it and each
+    other: shuffles of all shingles by a hash, the same for all sets. A partner shares ceil(t n) of the n shingles at
+    least, so one of the first n - ceil(t n) + 1, whatever the order."""
     n = len(tokens)
     size = n - -(-percent * n // 100) + 1
     marks = np.zeros(n, np.uint8)
     for k in range(orders):
-        first = np.lexsort((mix(tokens, 20 + k), df))[:size]
+        by = mix(tokens, 20 + k)
+        first = (np.lexsort((by, df)) if k == 0 else np.argsort(by))[:size]
         marks[first[df[first] > 1]] |= 1 << k
     return marks
 
@@ -117,19 +104,26 @@ def overlaps(lists: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(tokens: list[np.ndarray], marks: list[np.ndarray], percent: int, orders: int) -> np.ndarray:
-    """Which pairs of sets are similar: those that share a prefix shingle under every order are candidates, and are verified."""
+def linked(tokens: list[np.ndarray], marks: list[np.ndarray], percent: int, orders: int, counted: np.ndarray | None = None) -> tuple[np.ndarray, list[int]]:
+    """Which pairs of sets are similar: those that share a prefix shingle under every order are candidates, and are verified.
+    Also how many pairs are candidates under the first order, the first two and so on, and how many are similar. counted:
+    the pairs to look at, where not all."""
     n = np.array([len(t) for t in tokens], np.int64)
     near = np.minimum.outer(n, n) * 100 >= percent * np.maximum.outer(n, n)
     np.fill_diagonal(near, False)
+    if counted is not None:
+        near &= counted
+    left = [0] * (orders + 1)
     for k in range(orders):
         if not near.any():
-            return near
+            return near, left
         near &= overlaps([t[m >> k & 1 == 1] for t, m in zip(tokens, marks)]) > 0
+        left[k] = int(near.sum()) // 2
     if near.any():
         common = overlaps(tokens).astype(np.int64)
         near &= 100 * common >= percent * (n[:, None] + n[None, :] - common)
-    return near
+    left[orders] = int(near.sum()) // 2
+    return near, left
 
 
 def local_roots(link: np.ndarray) -> np.ndarray:
@@ -143,7 +137,7 @@ def local_roots(link: np.ndarray) -> np.ndarray:
         root = least
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS, text: str = "text", id_col: str = "doc_id", filtered: list[int] | None = None) -> DataFrame:
     """Adds n_shingles, component_id (the smallest id reachable by links, the row's own included) and n_links to every row.
 
     A row's set are the distinct shingles of its words, A to Z lower-cased; with fewer words than a shingle has, all
@@ -154,9 +148,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     2. A class takes the prefix of its set under each of several global orders. One that has no prefix shingle in common
        with others under any one order has no link at all. The others' prefixes under the first order are joined to
        stars, each shingle's classes at the least of them; components of the stars hold every link.
-    3. A component's sets meet in one task, or, if it is large, in a task for each pair of its chunks. There, pairs that
-       share prefix shingles under all orders are verified. What goes on are the roots of the tasks' components, so a
-       group of near copies sends a row a class, not its pairs. Their components are the result.
+    3. A component's sets meet in one task, or, if it is large, by chunks: a task for each pair of chunks of which some sets
+       share a prefix shingle, and none for other pairs. There, pairs of sets that share prefix shingles under all orders are
+       verified. What goes on are the roots of the tasks' components, so a group of near copies sends a row a class, not
+       its pairs. Their components are the result.
 
     Null texts and texts without words have no set, no link and component_id their own id. Null ids take part, but are
     no component_id (null if all are). Repeated rows link with each other. representative marks one row of each component, with
@@ -166,23 +161,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     spark = docs.sparkSession
     docs = docs.drop("n_shingles", "component_id", "n_links", "representative")
     packs = Packs(docs, text, "jaccard")
-    parts = packs.parts
+    radix = packs.radix
 
     def sets_of(batch: pa.RecordBatch) -> Sets:
         return Sets([x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()], size)
 
     def ask_counts(batch: pa.RecordBatch) -> Messages:
-        keys, n = distinct(sets_of(batch).of_leaders())
-        for p, at in by_part(keys, parts):
-            yield p, arrays(keys[at].astype(np.uint32), np.minimum(n[at], 255).astype(np.uint8))
+        h, n = distinct(sets_of(batch).of_leaders())
+        for p, at, keys in by_part(h, radix):
+            yield p, keyed(keys, np.minimum(n[at], 255).astype(np.uint8))
 
-    def describe(batch: pa.RecordBatch, pack: int, counts: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+    def describe(batch: pa.RecordBatch, pack: int, counts: Replies) -> Iterator[pa.RecordBatch]:
         sets = sets_of(batch)
         keys, _ = distinct(sets.of_leaders())
-        df = np.ones(len(keys), np.uint8)
-        for p, at in by_part(keys, parts):
-            if p in counts:
-                df[at] = np.frombuffer(expand(counts[p]), np.uint8)
+        df = answers_to(Counts(), keys, radix, counts)
         rows = [(i, x, k, int(sets.lengths[i]), None, None) for i, (x, k) in enumerate(zip(batch.column(id_col).to_pylist(), sets.keys)) if k is not None]
         every = (1 << orders) - 1
         for i in sets.leaders:
@@ -194,7 +186,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         types = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([pack] * len(rows), pa.int64()), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["pack", "row", "id", "key", "n", "tokens", "marks"])
 
-    counts = packs.ask(ask_counts, answer_counts, "counts")
+    counts = packs.ask(ask_counts, Counts(), "counts")
     df, names = packs._with(counts)
     found = written(packs._over(df, names, describe, "pack long, row int, id long, key binary, n long, tokens binary, marks binary"), "jaccard-sets")
     rows = found.where("tokens IS NULL").select("pack", "row", "id", "key", "n")
@@ -204,28 +196,28 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         return np.frombuffer(b"".join([k[:8] for k in keys]), ">i8").astype(np.int64)
 
     def send_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each prefix shingle (first order) of a slice of sets one of its sets, and edges from the others to that one."""
         for batch in slices(batches, "tokens"):
-            tokens = [np.frombuffer(t, np.uint64) for t in batch.column("tokens").to_pylist()]
-            marks = [np.frombuffer(expand(m), np.uint8) for m in batch.column("marks").to_pylist()]
-            own = [t[m & 1 == 1] for t, m in zip(tokens, marks)]
+            own = prefixes(batch)
             who = np.repeat(node(batch.column("key").to_pylist()), [len(x) for x in own])
-            h = np.concatenate(own)
-            order = np.argsort(h)
+            h = np.concatenate(own).astype(np.int64)
+            order = np.lexsort((who, h))
             h, who = h[order], who[order]
-            got = [(p, arrays(h[at].astype(np.uint32), who[at])) for p, at in by_part(h, parts)]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([m for _, m in got], pa.binary())], names=["part", "message"])
-
-    def stars(table: pa.Table) -> pa.Table:
-        own = [columns(m, "<u4", "<i8") for m in table.column("message").to_pylist()]
-        h, who = (np.concatenate([x[k] for x in own]) for k in (0, 1))
-        order = np.lexsort((who, h))
-        h, who = h[order], who[order]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        center = np.repeat(who[first], np.diff(np.append(first, len(h))))
-        pairs = np.unique(np.stack([who, center], axis=1)[who != center], axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    edges = sets.mapInArrow(send_prefixes, "part int, message binary").groupBy("part").applyInArrow(stars, "a long, b long")
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+            least = np.repeat(who[first], np.diff(np.append(first, len(h))))
+            edges = np.unique(np.stack([who, least], axis=1)[who != least], axis=0)
+            shingle = pa.concat_arrays([pa.array(h[first]), pa.nulls(len(edges), pa.int64())])
+            yield pa.RecordBatch.from_arrays([shingle, pa.array(np.concatenate([who[first], edges[:, 0]])), pa.concat_arrays([pa.nulls(len(first), pa.int64()), pa.array(edges[:, 1])])], names=["h", "a", "b"])
+
+    def prefixes(batch: pa.RecordBatch) -> list[np.ndarray]:
+        tokens = [np.frombuffer(t, np.uint64) for t in batch.column("tokens").to_pylist()]
+        marks = [np.frombuffer(expand(m), np.uint8) for m in batch.column("marks").to_pylist()]
+        return [t[m & 1 == 1] for t, m in zip(tokens, marks)]
+
+    sent = written(sets.mapInArrow(send_prefixes, "h long, a long, b long"), "jaccard-prefixes")
+    heads = sent.where("h IS NOT NULL").select("h", "a")
+    centers = heads.groupBy("h").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b <> last").select("h", "b")
+    edges = salted_join(heads, centers, "h", "a").select("a", "b").union(sent.where("h IS NULL").select("a", "b"))
     coarse = components(edges).select("node", F.col("root").alias("coarse"))
 
     # one row of each class speaks for it
@@ -234,28 +226,44 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     placed = speakers.join(coarse, "node").join(classes.select("key", "copies"), "key")
     sizes = placed.groupBy("coarse").agg(F.count("*").alias("members"))
     placed = salted_join(placed, sizes, "coarse", "key").select("key", "pack", "copies", "coarse", "members")
-    shared = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), packs.parts)
+    shared = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), packs.count)
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("key"), chunks).cast("int")
-    whole = F.col("members") <= CHUNK
-    placed = placed.withColumn("own", F.when(whole, -1).otherwise(own)).withColumn("other", F.explode(F.when(whole, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), chunks - 1))))
-    # whole components share tasks; chunks of large ones have a task a pair
-    placed = placed.select("key", "pack", "copies", "coarse", "own", F.when(whole, F.pmod(F.xxhash64("coarse"), F.lit(shared))).otherwise(F.col("coarse")).alias("block"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    placed = written(placed.withColumn("own", F.when(F.col("members") > CHUNK, F.pmod(F.xxhash64("key"), chunks)).cast("int")), "jaccard-places")
+    # whole components share tasks
+    whole = placed.where("own IS NULL").select("key", "pack", "copies", "coarse", F.lit(-1).alias("own"), F.pmod(F.xxhash64("coarse"), F.lit(shared)).alias("block"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
+
+    def send_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "tokens"):
+            own = prefixes(batch)
+            n = [len(x) for x in own]
+            all_ = np.stack([np.concatenate(own).astype(np.int64), *[np.repeat(batch.column(c).to_numpy(), n) for c in ("coarse", "own")]], axis=1)
+            found = np.unique(all_, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(3)], names=["h", "coarse", "own"])
+
+    # chunks of large ones meet where some of their sets share a prefix shingle: each has a task with itself and with each such other
+    large = placed.where("own IS NOT NULL")
+    has = written(sets.join(large, ["key", "pack"]).select("tokens", "marks", "coarse", "own").mapInArrow(send_chunks, "h long, coarse long, own long").distinct(), "jaccard-chunks")
+    meet = has.select("h", "coarse", F.col("own").alias("i")).join(has.select("h", "coarse", F.col("own").alias("j")), ["h", "coarse"]).where("i <= j").select("coarse", "i", "j").distinct()
+    sides = meet.select("coarse", "i", "j", F.col("i").alias("own")).union(meet.where("i <> j").select("coarse", "i", "j", F.col("j").alias("own")))
+    apart = large.select("key", "pack", "copies", "coarse", "own").join(sides.withColumn("own", F.col("own").cast("int")), ["coarse", "own"])
+    placed = whole.union(apart.select("key", "pack", "copies", "coarse", "own", F.col("coarse").alias("block"), F.col("i").cast("int"), F.col("j").cast("int")))
 
     def verify(table: pa.Table) -> pa.Table:
         t = table.to_pydict()
         groups: dict[int, list[int]] = {}
         for k, c in enumerate(t["coarse"]):
             groups.setdefault(c, []).append(k)
-        key, root, links = [], [], []
+        key, root, links, left = [], [], [], np.zeros(orders + 1, np.int64)
         for members in groups.values():
             members.sort(key=lambda k: t["key"][k])
             tokens = [np.frombuffer(t["tokens"][k], np.uint64) for k in members]
             marks = [np.frombuffer(expand(t["marks"][k]), np.uint8) for k in members]
-            link = linked(tokens, marks, percent, orders)
+            across = None
             if t["i"][members[0]] != t["j"][members[0]]:  # pairs within a chunk are another task's
                 side = np.array([t["own"][k] for k in members])
-                link &= side[:, None] != side[None, :]
+                across = side[:, None] != side[None, :]
+            link, pairs = linked(tokens, marks, percent, orders, across)
+            left += pairs
             some = link.any(axis=1)
             copies = np.array([t["copies"][k] for k in members], np.int64)
             roots, n = local_roots(link), link @ copies
@@ -263,10 +271,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
                 key.append(t["key"][members[x]])
                 root.append(t["key"][members[int(roots[x])]])
                 links.append(int(n[x]))
-        return pa.table({"a": pa.array(key, pa.binary()), "b": pa.array(root, pa.binary()), "links": pa.array(links, pa.int64())})
+        none = [None] * len(key)
+        return pa.table({"a": pa.array([*key, None], pa.binary()), "b": pa.array([*root, None], pa.binary()), "links": pa.array([*links, None], pa.int64()), "left": pa.array([*none, left.tolist()], pa.list_(pa.int64()))})
 
     joined = sets.join(placed, ["key", "pack"])
-    links = written(joined.groupBy("block", "i", "j").applyInArrow(verify, "a binary, b binary, links long"), "jaccard-links")
+    found_ = written(joined.groupBy("block", "i", "j").applyInArrow(verify, "a binary, b binary, links long, left array<long>"), "jaccard-links")
+    if filtered is not None:
+        filtered += [x or 0 for x in found_.agg(*[F.sum(F.element_at("left", k + 1)) for k in range(orders + 1)]).first()]
+    links = found_.where("a IS NOT NULL").select("a", "b", "links")
     roots = components(links.select("a", "b")).select(F.col("node").alias("key"), "root")
     counts_ = links.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     classes = classes.join(roots, "key", "left").join(counts_, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))

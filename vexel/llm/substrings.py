@@ -10,18 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .packs import Messages, Packs, answer_repeated, arrays, bits, by_part, columns, distinct, flags, repeated
+from .packs import Firsts, Messages, Packs, Repeated, Replies, answers_to, by_part, distinct, flags, keyed
 from .tokens import Words, covered, fits, window_hashes
 
-#: Words of a window, and of the windows that are looked at first, at least.
-WINDOW, FIRST = 20, 10
+#: Words of a window, and of the windows that are looked at first.
+WINDOW, FIRST = 20, 5
 
 
 def levels(window: int = WINDOW, first: int = FIRST) -> list[int]:
-    """Lengths that double up to the window."""
-    out = [window]
-    while out[0] % 2 == 0 and out[0] // 2 >= first:
-        out.insert(0, out[0] // 2)
+    """Lengths that double up to the window; the last one is the window, where it isn't a doubling."""
+    out = [min(first, window)]
+    while out[-1] < window:
+        out.append(min(2 * out[-1], window))
     return out
 
 
@@ -37,17 +37,20 @@ class View:
     def hashes(self, length: int) -> np.ndarray:
         return window_hashes(self.h, length, self.known)
 
-    def candidates(self, level: int, parts: int, replies: tuple[dict[int, bytes], ...]) -> np.ndarray:
-        """Starts of the windows of this level whose two halves are repeated, at every level before."""
+    def candidates(self, level: int, radix: int, replies: tuple[Replies, ...]) -> np.ndarray:
+        """Starts of the windows of this level that begin and end with a repeated one of the level before, at every level. Where
+        a length is twice the one before, these are its halves; else they overlap."""
         at = np.flatnonzero(fits(self.words, self.lengths[0]))
         for k in range(level):
             h = self.hashes(self.lengths[k])[at]
             keys, _ = distinct(h)
             again = np.zeros(len(self.words), bool)
-            again[at[repeated(keys, parts, replies[k])[np.searchsorted(keys, h)]]] = True
-            size = self.lengths[k]
-            at = np.flatnonzero(again[:-size] & again[size:]) if len(again) > size else np.zeros(0, np.int64)
-            at = at[fits(self.words, 2 * size)[at]]
+            again[at[answers_to(Repeated(), keys, radix, replies[k])[np.searchsorted(keys, h)]]] = True
+            step = self.lengths[k + 1] - self.lengths[k]
+            at = np.flatnonzero(again[:-step] & again[step:]) if len(again) > step else np.zeros(0, np.int64)
+            fit = fits(self.words, self.lengths[k + 1])
+            at = at[at < len(fit)]
+            at = at[fit[at]]
         return at
 
     def firsts(self, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,27 +69,14 @@ def id_keys(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
 
 
-def answer_later(messages: list[bytes]) -> list[bytes | None]:
-    """Messages: hash, id and place of each pack's first occurrence of a window. Answers: which of them isn't the first of all."""
-    own = [columns(m, "<u4", "<u8", "<i8", "<i8") for m in messages]
-    a, b, doc, at = (np.concatenate([x[k] for x in own]) for k in range(4))
-    order = np.lexsort((at, doc, b, a))
-    a, b = a[order], b[order]
-    later = np.zeros(len(a), bool)
-    later[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    ends = np.cumsum([len(x[0]) for x in own])
-    out = [later[e - len(x[0]) : e] for x, e in zip(own, ends.tolist())]
-    return [bits(f) if f.any() else None for f in out]
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Adds n_words, n_removed, and kept (the text without its repeats, words joined by one space) to every row.
 
     A word goes if a window of so many words covers it whose words also start earlier: in a row with a smaller id, or
     earlier in the same one. Windows are taken from the input, not from what is left. Windows of the shortest level are
     asked for first; those repeated there are extended to twice the length, and only they are asked for again, up to
-    the window itself, or until no candidate survives. Up to there a hash that is wrongly taken for repeated costs time alone; the window's own
-    hash has 96 bits and more.
+    the window itself, or until no candidate survives: a round without a repeated window ends it. Up to there a hash that
+    is wrongly taken for repeated costs time alone; the window's own hash has 96 bits and more.
 
     Null and empty texts, and those shorter than the window, stay as they are (kept is empty for null). Null ids count
     as the largest id. Rows that share an id count as one document; of their windows that start at the same place, the
@@ -96,14 +86,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, te
     docs = docs.drop("n_words", "n_removed", "kept")
     lengths = levels(window, first)
     packs = Packs(docs, text, "substrings")
-    parts = packs.parts
+    radix = packs.radix
 
     def ask_level(level: int):
         def send(batch: pa.RecordBatch, *replies) -> Messages:
             view = View(batch, text, lengths)
-            keys, times = distinct(view.hashes(lengths[level])[view.candidates(level, parts, replies)])
-            for p, at in by_part(keys, parts):
-                yield p, arrays(keys[at].astype(np.uint32), times[at] > 1)
+            h, times = distinct(view.hashes(lengths[level])[view.candidates(level, radix, replies)])
+            for p, at, keys in by_part(h, radix):
+                yield p, keyed(keys, times[at] > 1)
 
         return send
 
@@ -112,20 +102,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, te
 
     def ask_first(batch: pa.RecordBatch, *replies) -> Messages:
         view, ids = View(batch, text, lengths), id_keys(batch.column(id_col))
-        at = view.candidates(len(lengths) - 1, parts, replies)
+        at = view.candidates(len(lengths) - 1, radix, replies)
         order, new, a, b = view.firsts(at, ids)
         at, a, b = at[order][new], a[new], b[new]
         place, doc = places(view, at), ids[view.words.doc[at]]
-        for p, k in by_part(a, parts):
-            yield p, arrays(a[k].astype(np.uint32), b[k], doc[k], place[k])
+        for p, k, keys in by_part(a, radix):
+            yield p, keyed(keys, b[k], doc[k], place[k])
 
     def finish(batch: pa.RecordBatch, *replies) -> Iterator[pa.RecordBatch]:
         view, ids = View(batch, text, lengths), id_keys(batch.column(id_col))
-        at = view.candidates(len(lengths) - 1, parts, replies[:-1])
+        at = view.candidates(len(lengths) - 1, radix, replies[:-1]) if survive else np.zeros(0, np.int64)
         order, new, a, _ = view.firsts(at, ids)
         gone = ~new
         heads = np.flatnonzero(new)
-        for p, k in by_part(a[heads], parts):
+        for p, k, _ in by_part(a[heads], radix):
             if p in replies[-1]:
                 gone[heads[k]] = flags(replies[-1][p], k.stop - k.start)
         words = view.words
@@ -135,9 +125,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, te
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words.counts, pa.int64()), pa.array(n_removed, pa.int64()), kept], names=[*batch.schema.names, "n_words", "n_removed", "kept"])
 
     replies: list[DataFrame] = []
+    survive = True
     for level in range(len(lengths) - 1):
-        replies.append(packs.ask(ask_level(level), answer_repeated, f"of-{lengths[level]}", *replies))
-    replies.append(packs.ask(ask_first, answer_later, "first", *replies))
+        replies.append(packs.ask(ask_level(level), Repeated(), f"of-{lengths[level]}", *replies))
+        survive = not replies[-1].isEmpty()
+        if not survive:
+            break
+    if survive:
+        replies.append(packs.ask(ask_first, Firsts(), "first", *replies))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return packs.finish(finish, schema, *replies)
 

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .packs import Messages, Packs, answer_repeated, arrays, bits, by_part, columns, expand, flags, repeated, squeeze
+from .packs import BITS, KeyQuestion, Messages, Packs, Question, Replies, answers_to, arrays, bits, by_part, columns, digits, expand, first_digits, flags, keyed, squeeze, stretches
 from .substrings import id_keys
 from .tokens import _MIX, covered, mix
 
 #: Bytes of a passage, and of the grams (a multiple of 8) of which the least by hash tells where a passage is compared.
 DEPTH, GRAM = 50, 24
+#: A gram with more distinct surroundings than about this many is compared by whole passages instead.
+CROWD = 180
 #: Suffixes of a batch that enters the index at once, and places of a text that are hashed at once.
 BATCH, STRETCH = 1 << 17, 1 << 15
 
@@ -145,90 +147,225 @@ class Runs:
         at = np.arange(len(self.start)) if keep is None else np.flatnonzero(keep)
         return at[np.argsort(self.key[at], kind="stable")]
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys, sorted, and whether two texts have each."""
+    def crowd_bits(self) -> np.ndarray:
+        """For each run a number of 64 bits of which one is set, by the bytes that it begins with and its length: how many bits
+        a gram's runs set tells how many unlike ones there are."""
+        return np.uint64(1) << (self.hash_at(self.start) + (self.end - self.start).astype(np.uint64) * _MIX[2] >> np.uint64(58))
+
+    def hash_at(self, starts: np.ndarray) -> np.ndarray:
+        """A hash of the passage that begins at each place."""
+        buf = np.frombuffer(self.data, np.uint8)
+        h = np.zeros(len(starts), np.uint64)
+        if len(starts) and self.depth >= 8:
+            windows = np.lib.stride_tricks.sliding_window_view(buf, 8)
+            for at in [*range(0, self.depth - 8, 8), self.depth - 8]:
+                h = stir(h ^ windows[starts + at].view("<u8").ravel())
+        elif len(starts):
+            for at in range(self.depth):
+                h = stir(h ^ buf[starts + at].astype(np.uint64))
+        return mix(h, 2)
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, sorted, whether two texts have each, and the bits of its surroundings."""
         order = self.by_key()
         key, doc = self.key[order], self.doc[order]
         if not len(key):
-            return key, np.zeros(0, bool)
+            return key, np.zeros(0, bool), key
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         last = np.append(first[1:], len(key)) - 1
-        return key[first], doc[first] != doc[last]
-
-    def entries(self, parts: int, reply: dict[int, bytes], ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
-        """For each part with runs whose key is repeated: the runs, which of the distinct segments each is, those segments,
-        and the least id that has each here. A segment is the run's bytes, with the whole of its last passage."""
-        keys, _ = self.keys()
-        order = self.by_key(repeated(keys, parts, reply)[np.searchsorted(keys, self.key)]) if len(keys) else np.zeros(0, np.int64)
-        for p, at in by_part(self.key[order], parts):
-            runs = order[at]
+        return key[first], doc[first] != doc[last], np.bitwise_or.reduceat(self.crowd_bits()[order], first)
+
+    def routed(self, radix: int, reply: Replies) -> Routes:
+        """The runs that others may have, with the key that each is sent by: its gram, or, where that is crowded, each of its
+        passages by itself, by all of its bytes."""
+        keys, _, _ = self.grams()
+        said = answers_to(Grams(), keys, radix, reply)[np.searchsorted(keys, self.key)] if len(keys) else np.zeros(0, np.uint8)
+        plain, crowded = np.flatnonzero(said == 1), np.flatnonzero(said == 2)
+        n = self.end[crowded] - self.start[crowded]
+        each = np.repeat(self.start[crowded] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        start = np.concatenate([self.start[plain], each])
+        end = np.concatenate([self.end[plain], each + 1])
+        doc = np.concatenate([self.doc[plain], np.repeat(self.doc[crowded], n)])
+        key = np.concatenate([self.key[plain], self.hash_at(each)])
+        order = np.argsort(key, kind="stable")
+        return Routes(self.data, self.depth, start[order], end[order], doc[order], key[order])
+
+
+class Routes:
+    """Runs of a pack in the order of the keys that they are sent by. A run's segment are its bytes, with the whole of its last
+    passage; equal segments of one range are sent once."""
+
+    def __init__(self, data: bytes, depth: int, start: np.ndarray, end: np.ndarray, doc: np.ndarray, key: np.ndarray):
+        self.data, self.depth, self.start, self.end, self.doc, self.key = data, depth, start, end, doc, key
+
+    def entries(self, radix: int, ids: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, Segments]]:
+        """For each range: the runs, which of the distinct segments each is, and those, with the least id that has each here."""
+        part, rest = first_digits(self.key, radix)
+        for p, at in stretches(part):
             found: dict[bytes, int] = {}
-            number = found.setdefault
-            data, more = self.data, self.depth - 1
-            which = np.array([number(data[a : b + more], len(found)) for a, b in zip(self.start[runs].tolist(), self.end[runs].tolist())], np.int64)
+            number, data, more = found.setdefault, self.data, self.depth - 1
+            which = np.array([number(data[a : b + more], len(found)) for a, b in zip(self.start[at].tolist(), self.end[at].tolist())], np.int64)
             least = np.full(len(found), np.iinfo(np.int64).max)
-            np.minimum.at(least, which, ids[self.doc[runs]])
-            yield p, runs, which, [*found], least
-
-
-def answer_earlier(messages: list[bytes], depth: int) -> list[bytes | None]:
-    """Messages: distinct segments of a pack and the least id of each. Answers: for each passage of each segment, whether a
-    smaller id has it. Segments that several packs have are looked at once, for the smallest id of all."""
-    own = []
-    known: dict[bytes, int] = {}
-    least: list[int] = []
-    for m in messages:
-        cut = int.from_bytes(m[:8], "little")
-        lengths, ids = columns(m[8 : 8 + cut], "<i8", "<i8")
-        data, at, which = expand(m[8 + cut :]), 0, []
-        for n, i in zip(lengths.tolist(), ids.tolist()):
-            k = known.setdefault(data[at : at + n], len(least))
-            at += n
-            if k == len(least):
-                least.append(i)
-            elif i < least[k]:
-                least[k] = i
-            which.append(k)
-        own.append((np.array(which, np.int64), ids))
-    segments, ids = [*known], np.array(least, np.int64)
-    lengths = np.array([len(s) for s in segments], np.int64)
-    passages = lengths - depth + 1
-    order = np.argsort(ids, kind="stable")
-    ends = np.cumsum(passages)
-    begins = ends - passages
-    earlier = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
-    family, k = IndexFamily(depth), 0
-    sums = np.cumsum(passages[order])
+            np.minimum.at(least, which, ids[self.doc[at]])
+            key = np.empty(len(found), np.uint64)
+            key[which] = rest[at]
+            yield p, at, which, Segments(key, least, [*found])
+
+
+class Segments:
+    """Distinct segments in the order of their keys, with the least id that has each."""
+
+    def __init__(self, key: np.ndarray, ids: np.ndarray, data: list[bytes]):
+        self.key, self.ids, self.data = key, ids, data
+
+    def message(self) -> bytes:
+        head = arrays(np.array([len(s) for s in self.data], np.int64), self.ids, self.key)
+        return len(head).to_bytes(8, "little") + head + squeeze(b"".join(self.data), 3)
+
+    def part(self, at: slice, key: np.ndarray) -> Segments:
+        return Segments(key, self.ids[at], self.data[at])
+
+    @classmethod
+    def merged(cls, messages: list[bytes]) -> tuple[Segments, list[tuple[np.ndarray, np.ndarray]]]:
+        """The segments of all messages, each once, and for each message which of them it has, and its ids."""
+        known: dict[bytes, int] = {}
+        keys, least, own = [], [], []
+        for m in messages:
+            cut = int.from_bytes(m[:8], "little")
+            lengths, ids, key = columns(m[8 : 8 + cut], "<i8", "<i8", "<u8")
+            data, ends = expand(m[8 + cut :]), np.cumsum(lengths)
+            which = np.empty(len(lengths), np.int64)
+            for i, (b, n, x, k) in enumerate(zip(ends.tolist(), lengths.tolist(), ids.tolist(), key.tolist())):
+                w = which[i] = known.setdefault(data[b - n : b], len(least))
+                if w == len(least):
+                    least.append(x)
+                    keys.append(k)
+                elif x < least[w]:
+                    least[w] = x
+            own.append((which, ids))
+        key, ids, data = np.array(keys, np.uint64), np.array(least, np.int64), [*known]
+        order = np.argsort(key, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return cls(key[order], ids[order], [data[k] for k in order.tolist()]), [(place[w], i) for w, i in own]
+
+
+def flat(begins: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each range of n."""
+    return np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+class Grams(KeyQuestion):
+    """Values: whether two texts of a pack have a gram, and the bits of its surroundings. Answers: 0: one text has it, 1: several
+    do, 2: several, with more unlike surroundings than one task should hold."""
+
+    types = ("?", "<u8")
+    #: Bits that so many unlike ones set, of 64.
+    crowd = round(64 * (1 - np.exp(-CROWD / 64)))
+
+    def reduce(self, values, first):
+        if not len(first):
+            return [values[0][:0], values[1][:0]]
+        many = np.logical_or.reduceat(values[0], first) | (np.diff(np.append(first, len(values[0]))) > 1)
+        return [many, np.bitwise_or.reduceat(values[1], first)]
+
+    def settle(self, values, first):
+        many, around = self.reduce(values, first)
+        return np.where(many, np.where(np.bitwise_count(around) >= self.crowd, 2, 1), 0).astype(np.uint8)
+
+    def write(self, answer):
+        return squeeze(answer.tobytes()) if answer.any() else None
+
+    def read(self, data, n):
+        return np.frombuffer(expand(data), np.uint8, n)
+
+    def nothing(self, n):
+        return np.zeros(n, np.uint8)
+
+
+class Earlier(Question):
+    """Messages: segments and the least id of each. Answers: for each passage of each segment, whether a smaller id has it.
+    Nodes hand on every segment once; where all of a range meet, they enter an index family in the order of ids."""
+
+    def __init__(self, depth: int):
+        self.depth = depth
+
+    def up(self, messages: list[bytes], radix: int) -> list[tuple[int, bytes]]:
+        s, _ = Segments.merged(messages)
+        part, rest = digits(s.key, radix, BITS)
+        return [(p, s.part(at, rest[at]).message()) for p, at in stretches(part)]
+
+    def passages(self, s: Segments) -> np.ndarray:
+        return np.array([len(x) for x in s.data], np.int64) - self.depth + 1
+
+    def spread(self, s: Segments, own: list[tuple[np.ndarray, np.ndarray]], earlier: np.ndarray) -> list[bytes | None]:
+        """What is known of each distinct segment's passages, for the children that have it."""
+        n = self.passages(s)
+        begins, out = np.cumsum(n) - n, []
+        for which, ids in own:
+            mine = n[which]
+            f = earlier[flat(begins[which], mine)] | np.repeat(ids > s.ids[which], mine)
+            out.append(bits(f) if f.any() else None)
+        return out
+
+    def top(self, messages: list[bytes]) -> list[bytes | None]:
+        s, own = Segments.merged(messages)
+        n = self.passages(s)
+        earlier, begins = np.zeros(int(n.sum()), bool), np.cumsum(n) - n
+        order = np.argsort(s.ids, kind="stable")
+        for batch, found in scan(IndexFamily(self.depth), s, order):
+            earlier[flat(begins[batch], n[batch])] = found < np.repeat(s.ids[batch], n[batch])
+        return self.spread(s, own, earlier)
+
+    def down(self, messages: list[bytes], replies: Replies, radix: int) -> list[bytes | None]:
+        s, own = Segments.merged(messages)
+        n = self.passages(s)
+        ends, earlier = np.cumsum(n), np.zeros(int(n.sum()), bool)
+        for p, at in stretches(digits(s.key, radix, BITS)[0]):
+            if p in replies and at.stop > at.start:
+                a, b = int(ends[at.start] - n[at.start]), int(ends[at.stop - 1])
+                earlier[a:b] = flags(replies[p], b - a)
+        return self.spread(s, own, earlier)
+
+
+def scan(family: IndexFamily, s: Segments, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Adds segments to a family in this order, by batches of about BATCH passages: which they are, and the least id that has
+    each of their passages, in the family or in the batch."""
+    lengths = np.array([len(x) for x in s.data], np.int64)
+    passages = lengths - family.depth + 1
+    sums, k = np.cumsum(passages[order]), 0
     while k < len(order):
         stop = max(k + 1, int(np.searchsorted(sums, (sums[k - 1] if k else 0) + BATCH, side="right")))
         batch = order[k:stop]
-        text = np.frombuffer(b"".join([segments[i] for i in batch.tolist()]), np.uint8)
+        text = np.frombuffer(b"".join([s.data[i] for i in batch.tolist()]), np.uint8)
         n = passages[batch]
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        starts = np.repeat(np.cumsum(lengths[batch]) - lengths[batch], n) + inside
-        mine = np.repeat(ids[batch], n)
-        earlier[np.repeat(begins[batch], n) + inside] = family.add(text, starts, mine) < mine
+        starts = flat(np.cumsum(lengths[batch]) - lengths[batch], n)
+        yield batch, family.add(text, starts, np.repeat(s.ids[batch], n))
         k = stop
-    out: list[bytes | None] = []
-    for which, i in own:
-        n = passages[which]
-        at = np.repeat(begins[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        f = earlier[at] | np.repeat(i > ids[which], n)
-        out.append(bits(f) if f.any() else None)
-    return out
+
+
+def whole_characters(buf: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """gone, widened to all bytes of each UTF-8 character that lost one."""
+    if not len(buf):
+        return gone
+    character = np.cumsum((buf & 0xC0) != 0x80)
+    hit = np.zeros(int(character[-1]) + 1, bool)
+    hit[character[gone]] = True
+    return hit[character]
 
 
 def remove_earlier(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, text: str = "text", id_col: str = "doc_id", as_text: bool = False) -> DataFrame:
     """Adds n_bytes, n_removed, spans (first byte and byte after the last of each removed stretch) and kept to every row. kept is
-    binary; as_text: a string, without what is left of characters that lost a byte.
+    binary; as_text: a string, without the characters that lost a byte.
 
     A byte of the UTF-8 text goes if a string of depth bytes covers it that also starts in a row with a smaller id.
     Strings are taken from the input, not from what is left; none runs over the end of a row.
 
     Passages are compared where their least gram sends them, so equal ones meet. First packs ask which of these grams
-    two rows have at all; the stretches around those go to the task of their part of the grams, once for each pack
-    that has them. There they enter an index family in the order of ids, and what an earlier id has is found by the
-    scans. A stretch that a third of all rows share costs each pack one entry.
+    two rows have at all; the stretches around those go up the tree of their ranges, each distinct one once. At its top
+    they enter an index family in the order of ids, and what an earlier id has is found by the scans. A stretch that a
+    third of all rows share costs a node one entry a child; a gram with a crowd of unlike stretches around it, such as
+    a phrase that is in many texts, is sent passage by passage, by all of their bytes, so no task gets the crowd.
 
     Null and empty texts and those of fewer than depth bytes stay whole (kept is empty for null). Null ids count as the
     largest; rows with the same id don't take from each other. Repeated rows with unlike ids lose all but the one with
@@ -237,33 +374,35 @@ def remove_earlier(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, text:
     """
     docs = docs.drop("n_bytes", "n_removed", "spans", "kept")
     packs = Packs(docs, text, "suffixes")
-    parts = packs.parts
+    radix = packs.radix
 
     def runs_of(batch: pa.RecordBatch) -> Runs:
         return Runs([x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()], depth, gram)
 
     def ask_grams(batch: pa.RecordBatch) -> Messages:
-        keys, many = runs_of(batch).keys()
-        for p, at in by_part(keys, parts):
-            yield p, arrays(keys[at].astype(np.uint32), many[at])
+        h, many, around = runs_of(batch).grams()
+        for p, at, keys in by_part(h, radix):
+            yield p, keyed(keys, many[at], around[at])
 
-    def ask_earlier(batch: pa.RecordBatch, grams: dict[int, bytes]) -> Messages:
-        for p, _, _, segments, least in runs_of(batch).entries(parts, grams, id_keys(batch.column(id_col))):
-            head = arrays(np.array([len(s) for s in segments], np.int64), least)
-            yield p, len(head).to_bytes(8, "little") + head + squeeze(b"".join(segments), 3)
+    def ask_earlier(batch: pa.RecordBatch, grams: Replies) -> Messages:
+        for p, _, _, segments in runs_of(batch).routed(radix, grams).entries(radix, id_keys(batch.column(id_col))):
+            order = np.argsort(segments.key, kind="stable")
+            yield p, Segments(segments.key[order], segments.ids[order], [segments.data[k] for k in order.tolist()]).message()
 
     span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
-    def finish(batch: pa.RecordBatch, grams: dict[int, bytes], earlier: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+    def finish(batch: pa.RecordBatch, grams: Replies, earlier: Replies) -> Iterator[pa.RecordBatch]:
         runs, ids = runs_of(batch), id_keys(batch.column(id_col))
-        found = []
-        for p, mine, which, segments, least in runs.entries(parts, grams, ids):
-            n = np.array([len(s) for s in segments], np.int64) - depth + 1
+        routes, found = runs.routed(radix, grams), []
+        for p, at, which, segments in routes.entries(radix, ids):
+            order = np.argsort(segments.key, kind="stable")  # as they were sent
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            n = np.array([len(segments.data[k]) for k in order.tolist()], np.int64) - depth + 1
             said = flags(earlier[p], int(n.sum())) if p in earlier else np.zeros(int(n.sum()), bool)
-            size = n[which]
-            inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            f = said[np.repeat((np.cumsum(n) - n)[which], size) + inside] | np.repeat(ids[runs.doc[mine]] > least[which], size)
-            found.append((np.repeat(runs.start[mine], size) + inside)[f])
+            size = n[place[which]]
+            f = said[flat((np.cumsum(n) - n)[place[which]], size)] | np.repeat(ids[routes.doc[at]] > segments.ids[which], size)
+            found.append(flat(routes.start[at], size)[f])
         gone = covered(np.concatenate(found) if found else np.zeros(0, np.int64), depth, len(runs.data))
         edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
         first, end = edge[0::2], edge[1::2]
@@ -271,16 +410,17 @@ def remove_earlier(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, text:
         sums = np.concatenate(([0], np.cumsum(gone)))
         n_removed = sums[runs.offsets + runs.lengths] - sums[runs.offsets]
         buf = np.frombuffer(runs.data, np.uint8)
+        cut = whole_characters(buf, gone) if as_text else gone
         at = np.searchsorted(owner, np.arange(batch.num_rows + 1))
         spans, kept = [], []
         for i, (o, n) in enumerate(zip(runs.offsets.tolist(), runs.lengths.tolist())):
             a, b = int(at[i]), int(at[i + 1])
             spans.append([{"first": x - o, "end": y - o} for x, y in zip(first[a:b].tolist(), end[a:b].tolist())])
-            kept.append(runs.data[o : o + n] if a == b else buf[o : o + n][~gone[o : o + n]].tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs.lengths, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=[*batch.schema.names, "n_bytes", "n_removed", "spans", "kept"])
+            kept.append(runs.data[o : o + n] if a == b else buf[o : o + n][~cut[o : o + n]].tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs.lengths, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array([k.decode("utf-8") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=[*batch.schema.names, "n_bytes", "n_removed", "spans", "kept"])
 
-    grams = packs.ask(ask_grams, answer_repeated, "grams")
-    earlier = packs.ask(ask_earlier, lambda m: answer_earlier(m, depth), "earlier", grams)
+    grams = packs.ask(ask_grams, Grams(), "grams")
+    earlier = packs.ask(ask_earlier, Earlier(depth), "earlier", grams)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))), ("kept", T.StringType() if as_text else T.BinaryType()))]])
     return packs.finish(finish, schema, grams, earlier)
 
