@@ -470,16 +470,17 @@ def test_prefixes_of_all_orders_meet():
         if len(a) and len(b):
             both = len(np.intersect1d(a, b))
             df = lambda x: np.where(np.isin(x, a) & np.isin(x, b), 2, 1).astype(np.uint8)
-            link, _ = jaccard.linked([a, b], [jaccard.prefix_marks(a, df(a)), jaccard.prefix_marks(b, df(b))], 75, 3)
+            link, _ = jaccard.linked([x[jaccard.in_order(x, 0, df(x))] for x in (a, b)])
+            assert not link[0, 1] or all(np.bitwise_or.reduce(jaccard.prefix_marks(x, df(x))) == 7 for x in (a, b))
             assert bool(link[0, 1]) == (100 * both >= 75 * (len(a) + len(b) - both))
 
 
 def test_each_order_leaves_fewer_candidates(spark, monkeypatch):
-    """Texts of common shingles that share some of them only: the rarest-first prefixes meet, shuffled ones often don't."""
+    """Short windows of few long texts: all their shingles are common, and neighbours overlap by any share."""
     rnd = random.Random(11)
-    lines = [" ".join(f"w{rnd.randrange(300)}" for _ in range(30)) for _ in range(60)]
-    rows = [(i, " ".join(rnd.sample(lines, 3))) for i in range(150)]
-    rows += [(150 + i, t + " tail") for i, (_, t) in enumerate(rows[:20])]
+    lines = [[f"w{rnd.randrange(300)}" for _ in range(60)] for _ in range(4)]
+    cuts = [(rnd.choice(lines), rnd.randrange(44)) for _ in range(150)]
+    rows = [(i, " ".join(x[k : k + 16])) for i, (x, k) in enumerate(cuts)]
     df = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], SCHEMA)
     small_packs(monkeypatch, 4000)
     for chunk in (16, 1000):
@@ -487,7 +488,7 @@ def test_each_order_leaves_fewer_candidates(spark, monkeypatch):
         left = []
         got = jaccard.near_duplicates(df, filtered=left).collect()
         assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == sorted(brute.jaccard(rows))
-        assert left[0] > left[1] > left[2] > left[3] and left[3] == sum(r.n_links for r in got) // 2 == 20
+        assert left[0] > left[1] > left[2] > left[3] and left[3] > 20
 
 
 def test_components(spark):

@@ -65,18 +65,22 @@ class Sets:
         return np.concatenate([self.of(i) for i in self.leaders]) if self.leaders else self.tokens[:0]
 
 
+def in_order(tokens: np.ndarray, k: int, df: np.ndarray | None = None) -> np.ndarray:
+    """Where the shingles of a set stand in global order k. The first order puts rarer shingles (by df) first, which leaves the
+    fewest candidates; the others are shuffles of all shingles by a hash, unlike it and each other, the same for all sets."""
+    by = mix(tokens, 20 + k)
+    return np.argsort(by) if df is None else np.lexsort((by, df))
+
+
 def prefix_marks(tokens: np.ndarray, df: np.ndarray, percent: int = PERCENT, orders: int = ORDERS) -> np.ndarray:
     """For each shingle of a set a bit for each order: it is in the prefix, and another set has it.
 
-    The first order puts rarer shingles (by df) first, which leaves the fewest candidates; the others are unlike it and each
-    other: shuffles of all shingles by a hash, the same for all sets. A partner shares ceil(t n) of the n shingles at
-    least, so one of the first n - ceil(t n) + 1, whatever the order."""
+    A partner shares ceil(t n) of the n shingles at least, so one of the first n - ceil(t n) + 1, whatever the order."""
     n = len(tokens)
     size = n - -(-percent * n // 100) + 1
     marks = np.zeros(n, np.uint8)
     for k in range(orders):
-        by = mix(tokens, 20 + k)
-        first = (np.lexsort((by, df)) if k == 0 else np.argsort(by))[:size]
+        first = in_order(tokens, k, None if k else df)[:size]
         marks[first[df[first] > 1]] |= 1 << k
     return marks
 
@@ -104,24 +108,31 @@ def overlaps(lists: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(tokens: list[np.ndarray], marks: list[np.ndarray], percent: int, orders: int, counted: np.ndarray | None = None) -> tuple[np.ndarray, list[int]]:
-    """Which pairs of sets are similar: those that share a prefix shingle under every order are candidates, and are verified.
-    Also how many pairs are candidates under the first order, the first two and so on, and how many are similar. counted:
-    the pairs to look at, where not all."""
+def linked(tokens: list[np.ndarray], percent: int = PERCENT, orders: int = ORDERS, counted: np.ndarray | None = None) -> tuple[np.ndarray, list[int]]:
+    """Which pairs of sets (shingles in the first order) are similar: those whose prefixes meet under every order are
+    candidates, and are verified. Also how many pairs are candidates under the first order, the first two and so on, and
+    how many are similar. counted: the pairs to look at, where not all.
+
+    Similar sets of a and b shingles share c = ceil(t (a + b) / (1 + t)) at least, so their first common one is among the first
+    a - c + 1 and b - c + 1 under any order. A set's prefix has the length that the partners still left for it ask for."""
     n = np.array([len(t) for t in tokens], np.int64)
+    sums = n[:, None] + n[None, :]
     near = np.minimum.outer(n, n) * 100 >= percent * np.maximum.outer(n, n)
     np.fill_diagonal(near, False)
     if counted is not None:
         near &= counted
+    share = -(-percent * sums // (100 + percent))
     left = [0] * (orders + 1)
     for k in range(orders):
         if not near.any():
             return near, left
-        near &= overlaps([t[m >> k & 1 == 1] for t, m in zip(tokens, marks)]) > 0
+        least = np.where(near, share, np.iinfo(np.int64).max).min(axis=1)
+        size = np.maximum(0, n - least + 1).tolist()
+        near &= overlaps([(t if k == 0 else t[in_order(t, k)])[:m] if m else t[:0] for t, m in zip(tokens, size)]) > 0
         left[k] = int(near.sum()) // 2
     if near.any():
         common = overlaps(tokens).astype(np.int64)
-        near &= 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        near &= 100 * common >= percent * (sums - common)
     left[orders] = int(near.sum()) // 2
     return near, left
 
@@ -179,7 +190,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         every = (1 << orders) - 1
         for i in sets.leaders:
             tokens = sets.of(i)
-            marks = prefix_marks(tokens, df[np.searchsorted(keys, tokens)], percent, orders)
+            own = df[np.searchsorted(keys, tokens)]
+            order = in_order(tokens, 0, own)
+            tokens = tokens[order]
+            marks = prefix_marks(tokens, own[order], percent, orders)
             if np.bitwise_or.reduce(marks) == every:
                 rows.append((None, None, sets.keys[i], len(tokens), tokens.tobytes(), squeeze(marks.tobytes())))
         cols = [list(x) for x in zip(*rows)] or [[]] * 6
@@ -257,12 +271,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         for members in groups.values():
             members.sort(key=lambda k: t["key"][k])
             tokens = [np.frombuffer(t["tokens"][k], np.uint64) for k in members]
-            marks = [np.frombuffer(expand(t["marks"][k]), np.uint8) for k in members]
             across = None
             if t["i"][members[0]] != t["j"][members[0]]:  # pairs within a chunk are another task's
                 side = np.array([t["own"][k] for k in members])
                 across = side[:, None] != side[None, :]
-            link, pairs = linked(tokens, marks, percent, orders, across)
+            link, pairs = linked(tokens, percent, orders, across)
             left += pairs
             some = link.any(axis=1)
             copies = np.array([t["copies"][k] for k in members], np.int64)
@@ -274,7 +287,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         none = [None] * len(key)
         return pa.table({"a": pa.array([*key, None], pa.binary()), "b": pa.array([*root, None], pa.binary()), "links": pa.array([*links, None], pa.int64()), "left": pa.array([*none, left.tolist()], pa.list_(pa.int64()))})
 
-    joined = sets.join(placed, ["key", "pack"])
+    joined = sets.drop("marks").join(placed, ["key", "pack"])
     found_ = written(joined.groupBy("block", "i", "j").applyInArrow(verify, "a binary, b binary, links long, left array<long>"), "jaccard-links")
     if filtered is not None:
         filtered += [x or 0 for x in found_.agg(*[F.sum(F.element_at("left", k + 1)) for k in range(orders + 1)]).first()]
