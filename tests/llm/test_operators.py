@@ -352,6 +352,22 @@ def test_suffixes_edges(docs, empty):
     assert all(isinstance(r.kept, str) for r in text)
 
 
+def test_batch_after_batch_is_scanned_against_the_levels(spark, monkeypatch):
+    small_packs(monkeypatch)
+    rows = sorted(p for p in PAIRS if len(p[1] or "") < 5000)
+    index, got, kept_levels = suffixes.PassageIndex(spark, ranges=5), {}, []
+    for k in range(0, len(rows), 12):
+        batch = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows[k : k + 12]], SCHEMA).withColumn("kept", F.lit(1))
+        for r in index.add(batch).collect():
+            got[r.doc_id] = (r.n_bytes, r.n_removed, len(r.spans), brute.sha(bytes(r.kept)))
+        kept_levels.append([id(level) for level, _ in index.levels])
+    assert got == brute.suffixes(rows)
+    sizes = [n for _, n in index.levels]
+    assert sizes == sorted(sizes, reverse=True) and len(sizes) < len(kept_levels)
+    assert any(a[0] == b[0] for a, b in zip(kept_levels, kept_levels[1:]))  # the largest level was left as it was
+    assert index.add(spark.createDataFrame([], SCHEMA)).count() == 0 and [n for _, n in index.levels] == sizes
+
+
 def test_a_crowd_round_one_phrase_is_split(spark, monkeypatch):
     rnd = random.Random(9)
     noise = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))

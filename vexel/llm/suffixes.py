@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
 from .packs import BITS, KeyQuestion, Messages, Packs, Question, Replies, answers_to, arrays, bits, by_part, columns, digits, expand, first_digits, flags, keyed, squeeze, stretches
 from .substrings import id_keys
 from .tokens import _MIX, covered, mix
@@ -39,6 +40,21 @@ class SuffixArray:
     def keys(self) -> np.ndarray:
         return suffix_keys(self.text, self.starts, self.depth)
 
+    def row(self) -> dict:
+        """What a table of a level keeps of it."""
+        return {"size": len(self.starts), "text": squeeze(self.text.tobytes()), "starts": squeeze(self.starts.tobytes()), "ids": squeeze(self.ids.tobytes())}
+
+    def least(self, keys: np.ndarray) -> np.ndarray:
+        """For sorted keys the least id that has each here; the largest number where none does."""
+        theirs = self.keys()
+        out = np.full(len(keys), np.iinfo(np.int64).max)
+        if len(theirs):
+            at = np.searchsorted(theirs, keys)  # both sorted: one pass over either
+            at[at == len(theirs)] = 0
+            hit = theirs[at] == keys
+            out[hit] = self.ids[at[hit]]
+        return out
+
     def merge(self, other: SuffixArray) -> SuffixArray:
         keys = np.concatenate([self.keys(), other.keys()])
         order = np.argsort(keys, kind="stable")  # finds and merges the two sorted runs
@@ -57,9 +73,17 @@ class IndexFamily:
     def __init__(self, depth: int = DEPTH):
         self.depth, self.levels = depth, []
 
-    def add(self, text: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    def whole(self) -> SuffixArray:
+        """All levels as one."""
+        none = np.zeros(0, np.int64)
+        out = SuffixArray(np.zeros(0, np.uint8), none, none, self.depth)
+        for level in reversed(self.levels):
+            out = level.merge(out)
+        return out
+
+    def add(self, text: np.ndarray, starts: np.ndarray, ids: np.ndarray, before: list[SuffixArray] = ()) -> np.ndarray:
         """The suffixes at these starts, of documents with these ids; for each, the least id that has its first depth bytes,
-        in the index or in the batch."""
+        in the index or in the batch. What the arrays of an index before this one have counts as less than all ids."""
         if not len(starts):
             return ids
         keys = suffix_keys(text, starts, self.depth)
@@ -68,14 +92,11 @@ class IndexFamily:
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         keys = keys[first]
         least = np.minimum.reduceat(ids[order], first)
-        own = SuffixArray(text, starts[order][first], least, self.depth)
-        least = least.copy()
+        own = SuffixArray(text, starts[order][first], least.copy(), self.depth)
         for level in self.levels:
-            theirs = level.keys()
-            at = np.searchsorted(theirs, keys)  # both sorted: one pass over either
-            at[at == len(theirs)] = 0
-            hit = theirs[at] == keys
-            least[hit] = np.minimum(least[hit], level.ids[at[hit]])
+            least = np.minimum(least, level.least(keys))
+        for level in before:
+            least[level.least(keys) < np.iinfo(np.int64).max] = np.iinfo(np.int64).min
         self.levels.append(own)
         while len(self.levels) > 1 and len(self.levels[-2].starts) <= len(self.levels[-1].starts):
             last = self.levels.pop()
@@ -328,7 +349,7 @@ class Earlier(Question):
         return self.spread(s, own, earlier)
 
 
-def scan(family: IndexFamily, s: Segments, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def scan(family: IndexFamily, s: Segments, order: np.ndarray, before: list[SuffixArray] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Adds segments to a family in this order, by batches of about BATCH passages: which they are, and the least id that has
     each of their passages, in the family or in the batch."""
     lengths = np.array([len(x) for x in s.data], np.int64)
@@ -340,7 +361,7 @@ def scan(family: IndexFamily, s: Segments, order: np.ndarray) -> Iterator[tuple[
         text = np.frombuffer(b"".join([s.data[i] for i in batch.tolist()]), np.uint8)
         n = passages[batch]
         starts = flat(np.cumsum(lengths[batch]) - lengths[batch], n)
-        yield batch, family.add(text, starts, np.repeat(s.ids[batch], n))
+        yield batch, family.add(text, starts, np.repeat(s.ids[batch], n), before)
         k = stop
 
 
@@ -354,6 +375,51 @@ def whole_characters(buf: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return hit[character]
 
 
+SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
+
+
+def with_cuts(schema: T.StructType, as_text: bool) -> T.StructType:
+    added = ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", SPANS), ("kept", T.StringType() if as_text else T.BinaryType())
+    return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in added]])
+
+
+def cut(batch: pa.RecordBatch, runs: Runs, routes: Routes, radix: int, ids: np.ndarray, earlier: Replies, as_text: bool) -> pa.RecordBatch:
+    """The rows of a pack without the passages that were answered to be earlier elsewhere, or that the pack itself has earlier."""
+    depth, found = runs.depth, []
+    for p, at, which, segments in routes.entries(radix, ids):
+        order = np.argsort(segments.key, kind="stable")  # as they were sent
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        n = np.array([len(segments.data[k]) for k in order.tolist()], np.int64) - depth + 1
+        said = flags(earlier[p], int(n.sum())) if p in earlier else np.zeros(int(n.sum()), bool)
+        size = n[place[which]]
+        f = said[flat((np.cumsum(n) - n)[place[which]], size)] | np.repeat(ids[routes.doc[at]] > segments.ids[which], size)
+        found.append(flat(routes.start[at], size)[f])
+    gone = covered(np.concatenate(found) if found else np.zeros(0, np.int64), depth, len(runs.data))
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
+    first, end = edge[0::2], edge[1::2]
+    owner = np.searchsorted(runs.offsets, first, side="right") - 1
+    sums = np.concatenate(([0], np.cumsum(gone)))
+    n_removed = sums[runs.offsets + runs.lengths] - sums[runs.offsets]
+    buf = np.frombuffer(runs.data, np.uint8)
+    out = whole_characters(buf, gone) if as_text else gone
+    at = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+    spans, kept = [], []
+    for i, (o, n) in enumerate(zip(runs.offsets.tolist(), runs.lengths.tolist())):
+        a, b = int(at[i]), int(at[i + 1])
+        spans.append([{"first": x - o, "end": y - o} for x, y in zip(first[a:b].tolist(), end[a:b].tolist())])
+        kept.append(runs.data[o : o + n] if a == b else buf[o : o + n][~out[o : o + n]].tobytes())
+    left = pa.array([k.decode("utf-8") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+    span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs.lengths, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), left], names=[*batch.schema.names, "n_bytes", "n_removed", "spans", "kept"])
+
+
+def sent_segments(runs: Runs, routes: Routes, radix: int, ids: np.ndarray) -> Messages:
+    for p, _, _, segments in routes.entries(radix, ids):
+        order = np.argsort(segments.key, kind="stable")
+        yield p, Segments(segments.key[order], segments.ids[order], [segments.data[k] for k in order.tolist()]).message()
+
+
 def remove_earlier(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, text: str = "text", id_col: str = "doc_id", as_text: bool = False) -> DataFrame:
     """Adds n_bytes, n_removed, spans (first byte and byte after the last of each removed stretch) and kept to every row. kept is
     binary; as_text: a string, without the characters that lost a byte.
@@ -385,44 +451,111 @@ def remove_earlier(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, text:
             yield p, keyed(keys, many[at], around[at])
 
     def ask_earlier(batch: pa.RecordBatch, grams: Replies) -> Messages:
-        for p, _, _, segments in runs_of(batch).routed(radix, grams).entries(radix, id_keys(batch.column(id_col))):
-            order = np.argsort(segments.key, kind="stable")
-            yield p, Segments(segments.key[order], segments.ids[order], [segments.data[k] for k in order.tolist()]).message()
-
-    span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+        runs = runs_of(batch)
+        return sent_segments(runs, runs.routed(radix, grams), radix, id_keys(batch.column(id_col)))
 
     def finish(batch: pa.RecordBatch, grams: Replies, earlier: Replies) -> Iterator[pa.RecordBatch]:
-        runs, ids = runs_of(batch), id_keys(batch.column(id_col))
-        routes, found = runs.routed(radix, grams), []
-        for p, at, which, segments in routes.entries(radix, ids):
-            order = np.argsort(segments.key, kind="stable")  # as they were sent
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            n = np.array([len(segments.data[k]) for k in order.tolist()], np.int64) - depth + 1
-            said = flags(earlier[p], int(n.sum())) if p in earlier else np.zeros(int(n.sum()), bool)
-            size = n[place[which]]
-            f = said[flat((np.cumsum(n) - n)[place[which]], size)] | np.repeat(ids[routes.doc[at]] > segments.ids[which], size)
-            found.append(flat(routes.start[at], size)[f])
-        gone = covered(np.concatenate(found) if found else np.zeros(0, np.int64), depth, len(runs.data))
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-        first, end = edge[0::2], edge[1::2]
-        owner = np.searchsorted(runs.offsets, first, side="right") - 1
-        sums = np.concatenate(([0], np.cumsum(gone)))
-        n_removed = sums[runs.offsets + runs.lengths] - sums[runs.offsets]
-        buf = np.frombuffer(runs.data, np.uint8)
-        cut = whole_characters(buf, gone) if as_text else gone
-        at = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-        spans, kept = [], []
-        for i, (o, n) in enumerate(zip(runs.offsets.tolist(), runs.lengths.tolist())):
-            a, b = int(at[i]), int(at[i + 1])
-            spans.append([{"first": x - o, "end": y - o} for x, y in zip(first[a:b].tolist(), end[a:b].tolist())])
-            kept.append(runs.data[o : o + n] if a == b else buf[o : o + n][~cut[o : o + n]].tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs.lengths, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array([k.decode("utf-8") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=[*batch.schema.names, "n_bytes", "n_removed", "spans", "kept"])
+        runs = runs_of(batch)
+        yield cut(batch, runs, runs.routed(radix, grams), radix, id_keys(batch.column(id_col)), earlier, as_text)
 
     grams = packs.ask(ask_grams, Grams(), "grams")
     earlier = packs.ask(ask_earlier, Earlier(depth), "earlier", grams)
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))), ("kept", T.StringType() if as_text else T.BinaryType()))]])
-    return packs.finish(finish, schema, grams, earlier)
+    return packs.finish(finish, with_cuts(docs.schema, as_text), grams, earlier)
+
+
+class PassageIndex:
+    """An index family that lasts: batches of documents are added one after the other, and of each batch the passages go that a
+    batch before it has, or a smaller id in it.
+
+    A level is a table in the shared folder with a suffix array for each range of the gram keys. A new batch's passages are
+    scanned against every level, range by range, and its arrays become the last level; while the one before isn't larger,
+    the two are merged, sorted run with sorted run. So levels grow geometrically, a passage is merged as often as the
+    family doubles, and nothing is sorted again. ranges: how many tasks share a level; all batches of an index have the
+    same, so it is chosen for the size that the index will have (about 64 MB of text a range and level).
+
+    Nulls, empty, short and very long texts, repeated rows and clashing names are as in remove_earlier(). Unlike there all
+    passages are kept, since a later batch may have any of them: a level takes about six times its text.
+    """
+
+    def __init__(self, spark: SparkSession, depth: int = DEPTH, gram: int = GRAM, ranges: int = 64):
+        self.spark, self.depth, self.gram, self.ranges = spark, depth, gram, ranges
+        self.levels: list[tuple[DataFrame, int]] = []
+
+    def add(self, docs: DataFrame, text: str = "text", id_col: str = "doc_id", as_text: bool = False) -> DataFrame:
+        """The batch's rows with the columns of remove_earlier()."""
+        docs = docs.drop("n_bytes", "n_removed", "spans", "kept")
+        packs, depth, gram, ranges = Packs(docs, text, "index"), self.depth, self.gram, self.ranges
+
+        def routes_of(batch: pa.RecordBatch) -> tuple[Runs, Routes]:
+            runs = Runs([x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()], depth, gram)
+            at = runs.by_key()
+            return runs, Routes(runs.data, depth, runs.start[at], runs.end[at], runs.doc[at], runs.key[at])
+
+        def send(batch: pa.RecordBatch, pack: int) -> Iterator[pa.RecordBatch]:
+            got = [*sent_segments(*routes_of(batch), ranges, id_keys(batch.column(id_col)))]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([pack] * len(got), pa.int64()), pa.array([m for _, m in got], pa.binary())], names=["part", "pack", "message"])
+
+        def compare(table: pa.Table, levels: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return pa.Table.from_pylist([], schema=ANSWERED)
+            table = table.sort_by("pack")
+            part = table.column("part")[0].as_py()
+            question, known = Earlier(depth), read_arrays(levels, depth)
+            s, own = Segments.merged(table.column("message").to_pylist())
+            n = question.passages(s)
+            earlier, begins = np.zeros(int(n.sum()), bool), np.cumsum(n) - n
+            family = IndexFamily(depth)
+            for batch, found in scan(family, s, np.argsort(s.ids, kind="stable"), known):
+                earlier[flat(begins[batch], n[batch])] = found < np.repeat(s.ids[batch], n[batch])
+            array = family.whole()
+            rows = [{"pack": p, "part": part, "answer": a} for p, a in zip(table.column("pack").to_pylist(), question.spread(s, own, earlier)) if a is not None]
+            return pa.Table.from_pylist([*rows, {"part": part, **array.row()}], schema=ANSWERED)
+
+        sent = packs._over(packs.df, (), send, "part int, pack long, message binary")
+        known = self.table()
+        done = written(sent.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(compare, ANSWERED_DDL), "index-batch")
+
+        def finish(batch: pa.RecordBatch, earlier: Replies) -> Iterator[pa.RecordBatch]:
+            yield cut(batch, *routes_of(batch), ranges, id_keys(batch.column(id_col)), earlier, as_text)
+
+        self._push(done.where("text IS NOT NULL").select(*LEVEL))
+        return packs.finish(finish, with_cuts(docs.schema, as_text), done.where("answer IS NOT NULL").select("pack", "part", "answer"))
+
+    def table(self) -> DataFrame:
+        """All levels: part, size, text, starts, ids."""
+        out = self.spark.createDataFrame([], LEVEL_DDL)
+        for level, _ in self.levels:
+            out = out.union(level)
+        return out
+
+    def _push(self, level: DataFrame) -> None:
+        depth = self.depth
+
+        def merge(table: pa.Table) -> pa.Table:
+            arrays_ = read_arrays(table, depth)
+            out = arrays_[0]
+            for x in arrays_[1:]:
+                out = out.merge(x)
+            return pa.Table.from_pylist([{"part": table.column("part")[0].as_py(), **out.row()}], schema=pa.schema([ANSWERED.field(n) for n in LEVEL]))
+
+        size = lambda df: df.agg(F.sum("size")).first()[0] or 0
+        n = size(level)
+        if n:
+            self.levels.append((level, n))
+        while len(self.levels) > 1 and self.levels[-2][1] <= self.levels[-1][1]:
+            (a, _), (b, _) = self.levels.pop(-2), self.levels.pop()
+            both = written(a.union(b).groupBy("part").applyInArrow(merge, LEVEL_DDL), "index-level")
+            self.levels.append((both, size(both)))
+
+
+LEVEL = ["part", "size", "text", "starts", "ids"]
+LEVEL_DDL = "part int, size long, text binary, starts binary, ids binary"
+ANSWERED_DDL = "pack long, answer binary, " + LEVEL_DDL
+ANSWERED = pa.schema([("pack", pa.int64()), ("answer", pa.binary()), ("part", pa.int32()), ("size", pa.int64()), ("text", pa.binary()), ("starts", pa.binary()), ("ids", pa.binary())])
+
+
+def read_arrays(table: pa.Table, depth: int) -> list[SuffixArray]:
+    return [SuffixArray(np.frombuffer(expand(r["text"]), np.uint8), np.frombuffer(expand(r["starts"]), np.int64), np.frombuffer(expand(r["ids"]), np.int64), depth) for r in table.to_pylist()]
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
