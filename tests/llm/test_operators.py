@@ -119,6 +119,29 @@ def test_sharding_edges(spark, empty, docs):
     assert sorted(r.shard for r in same) == [0, 1]
 
 
+def copies_and_lost_ids(spark):
+    """A third of the rows copies of one row, a third without an id, in a column layout that clashes."""
+    rows = [(1, "same text", "en", "hot", 9)] * 300 + [(None, f"text {k}", "en", "hot", 9) for k in range(300)] + [(k, f"other {k}", None, f"s{k % 3}", 9) for k in range(300)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(4)
+
+
+def test_copies_and_lost_ids_spread_over_the_ranges(spark, monkeypatch):
+    df = copies_and_lost_ids(spark)
+    numbered = common.ordinals(common.numbered(df.withColumn("same", F.concat_ws(":", "doc_id", "text")), "test", "row"), "same", "row", "nth")
+    assert sorted(r.nth for r in numbered.where("doc_id = 1 and text = 'same text'").collect()) == list(range(300))
+    seen = []
+    monkeypatch.setattr(sharding, "running", lambda d, g, b, *a, **k: (seen.append(d.groupBy(*g, b).count().agg(F.max("count")).first()[0]), common.running(d, g, b, *a, **k))[1])
+    rows = sharding.assign_shards(df, n_shards=9).collect()
+    assert max(seen) < 12  # rows that meet in one task, of 900
+    for r in (rows, sharding.assign_shards(df.repartition(7), n_shards=9).collect()):
+        assert sorted((x.shard, x.slot) for x in r) == [(k, i) for k in range(9) for i in range(100)]
+    assert max(Counter(r.shard for r in rows if r.text == "same text").values()) <= 50
+    digest = lambda rs: sorted((x.shard, x.slot, x.doc_id or -1, x.text) for x in rs)
+    assert digest(rows) == digest(r)
+    mixed = [sorted((x.doc_id or -1, x.text, x.copies, x.taken, x.start) for x in mixing.mix(d).collect()) for d in (df, df.repartition(7))]
+    assert mixed[0] == mixed[1]
+
+
 def test_sharding_query(spark, duck):
     got = llm.QUERIES["op2_sharding"](spark, SF).collect()
     texts = dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())
@@ -435,6 +458,9 @@ def test_positions(docs):
     assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1
     assert Counter(r.doc_id for r in rows) == Counter({r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies})
     # the front-loaded source gives more than half of its words in the first half
+    # exact positions: no two of a source's documents with words are due at once
+    due = [(r.source, r.position) for r in rows if r["size"]]
+    assert len(set(due)) == len(due)
     first = [r for r in rows if r.source == "hot"]
     assert sum(r["size"] for r in first if r.position < 0.5) > 0.5 * sum(r["size"] for r in first)
 

@@ -119,6 +119,29 @@ def running(df: DataFrame, groups: list[str], bucket: str, order: list[Column],
     return out.withColumn(before, F.col(before) + F.sum(value).over(inner) - F.col(value))
 
 
+#: Row numbers that share a range of ordinals().
+ROWS = 1 << 16
+
+
+def numbered(df: DataFrame, name: str, row: str) -> DataFrame:
+    """df with row numbers, written: from here on a row has one number, whatever is computed again."""
+    return written(df.withColumn(row, F.monotonically_increasing_id()), name)
+
+
+def ordinals(df: DataFrame, same: str, row: str, out: str) -> DataFrame:
+    """Numbers the rows that are equal in a key (without nulls) from 0. A key may have a third of all rows: its rows are counted by
+    ranges of their row numbers, and a key that one row has, as nearly all do, costs a count alone."""
+    many, one, part, total = fresh([*df.columns, out], "many", "one", "part", "total")
+    again = written(df.groupBy(same).agg(F.count("*").alias(many)).where(F.col(many) > 1), "repeated")
+    if again.isEmpty():
+        return df.withColumn(out, F.lit(0).cast("long"))
+    found = salted_join(df, again, same, row, "left")
+    alone = found.where(F.col(many).isNull()).drop(many).withColumn(out, F.lit(0).cast("long"))
+    crowd = found.where(F.col(many).isNotNull()).drop(many).withColumns({one: F.lit(1).cast("long"), part: F.expr(f"`{row}` div {ROWS}")})
+    crowd = running(crowd, [same], part, [F.col(row)], one, out, total)
+    return alone.unionByName(crowd.select(*alone.columns))
+
+
 #: Tasks over which the rows of one key are dealt in a salted join.
 SALTS = 16
 

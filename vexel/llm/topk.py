@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import numbered
+
 #: Rows of a block of queries, and of a block of candidates, at most on average.
 QUERY_ROWS, CANDIDATE_ROWS = 2048, 16_384
 
@@ -87,13 +89,15 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     evenly, and queries into blocks, and each pair is one group of a co-grouped map. Each side is copied once for
     each block of the other. What a group returns is k rows a query, merged by a window over each query.
 
+    Rows get a number once, in a written table, so that a query knows its own row whatever is computed again.
+
     Vectors of unlike length are compared as if padded with 0, empty ones score 0 with all. Rows with the same id are
     rows of their own: a query skips its own row only, and a repeated query row gets a ranking of its own. Null ids
     match no other id. Fewer than k other rows: all of them; an empty table or no queries: an empty result. Scores are
     64-bit and wrap.
     """
     spark = vectors.sparkSession
-    vectors = vectors.select("id", "weights").withColumn("row", F.monotonically_increasing_id()).withColumn("q", F.coalesce(is_query, F.lit(False)))
+    vectors = numbered(vectors.select("id", "weights").withColumn("q", F.coalesce(is_query, F.lit(False))), "top-k", "row")
     total, asked = vectors.agg(F.count("*"), F.count_if("q")).first()
     blocks = max(1, -(-asked // QUERY_ROWS))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // CANDIDATE_ROWS))
