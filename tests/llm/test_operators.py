@@ -207,6 +207,49 @@ def test_segments():
         assert sorted((a, b) for a, b, _ in toxicity.segments(np.array(s, float))) == slow(s)
 
 
+def test_toxicity_is_that_of_the_plain_way(spark):
+    """Counts, log-odds, segments by trying all, calibration and score, one document after the other."""
+    import math
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    docs |= {10_000: None, 10_001: "", 10_002: docs[min(docs)]}
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    df = spark.createDataFrame([(i, t) for i, t in docs.items()], "doc_id long, text string").repartition(3)
+    ratios, c = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    n = {0: Counter(), 1: Counter()}
+    for i, y in labels:
+        for w in (docs[i] or "").encode().split():
+            n[y].update(toxicity.features(w))
+    t = {y: sum(v for f, v in n[y].items() if not f.endswith("*")) for y in (0, 1)}
+    want = {}
+    for f in {*n[0], *n[1]}:
+        a = (n[0][f] + n[1][f]) * toxicity.PRIOR / (t[0] + t[1])
+        odds = [math.log((n[y][f] + a) / max(1.0, t[y] + toxicity.PRIOR - n[y][f] - a)) for y in (0, 1)]
+        ratio = odds[1] - odds[0]
+        if abs(ratio / math.sqrt(1 / (n[1][f] + a) + 1 / (n[0][f] + a))) >= toxicity.MIN_Z and (ratio < 0 or ratio >= toxicity.MIN_RATIO):
+            want[f] = ratio
+    assert set(want) == set(ratios) and all(ratios[f] == pytest.approx(r) for f, r in want.items()) and min(want.values()) < 0
+
+    def best_segments(s, a, b):
+        """The best stretch, and those to its left and right."""
+        sums = np.concatenate(([0.0], np.cumsum(s[a:b])))
+        gain = sums[1:] - np.minimum.accumulate(sums[:-1]) if b > a else np.zeros(0)
+        if not len(gain) or gain.max() <= 1e-12:
+            return []
+        end = int(gain.argmax()) + 1
+        start = int(np.flatnonzero(sums[:end] <= sums[:end].min() + 1e-12)[-1])
+        return best_segments(s, a, a + start) + [sums[end] - sums[start]] + best_segments(s, a + end, b)
+
+    for r in toxicity.score_toxicity(df, ratios, c).collect():
+        own = (docs[r.doc_id] or "").encode().split()
+        s = np.array([next((want[f] for f in toxicity.features(w) if f in want), 0.0) - toxicity.COST for w in own])
+        each = [x * c.rate - c.log_k - math.log(max(1, len(own))) for x in best_segments(s, 0, len(s))]
+        assert len(r.passages) == len(each) and sum(p.significant for p in r.passages) == sum(x >= -math.log(toxicity.SIGNIFICANT) for x in each)
+        total = sum(x for x in each if x > 0) or max(each, default=-c.log_k - math.log(max(1, len(own))))
+        z = math.copysign(math.log1p(abs(total)), total) * c.slope + c.offset
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9) and r.predicted == (r.score >= 0.5)
+
+
 def test_toxicity_held_out(spark):
     sf = SF.replace("sf0.001", "sf0.1")
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
@@ -341,6 +384,49 @@ def test_language_edges(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs, {}).collect()} == {"und"}
 
 
+def test_blocks_of_languages_give_the_same(docs, spark, monkeypatch):
+    rnd = random.Random(12)
+    texts = [(k, " ".join("".join(rnd.choice("abcdefgh"[k % 5 : k % 5 + 4]) for _ in range(5)) for _ in range(30)), f"l{k % 7}", "s", 0) for k in range(70)]
+    df = spark.createDataFrame([*texts, *[(100, None, None, "", 0), (101, "..", "l1", "", 0)]], SCHEMA).union(docs)
+    table = langid.profiles(df)
+    digest = lambda d: sorted((r.doc_id, r.text or "", r.lang_pred, round(r.score, 9)) for r in d.collect())
+    whole = digest(langid.identify_by(df, table))
+    assert whole == digest(langid.identify(df, langid.prototypes(df)))
+    for n in (1, 2, 4):
+        monkeypatch.setattr(langid, "BLOCK", n)
+        assert digest(langid.identify_by(df.withColumn("lang_pred", F.lit(1)), table)) == whole
+    assert digest(langid.identify_by(df, table.limit(0))) == digest(langid.identify(df, {}))
+
+
+def test_language_is_that_of_the_plain_way(spark, docs):
+    """Trigram counts, one bound vector a trigram, sums and cosines, one document after the other."""
+    import zlib
+
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()] + [(10_000 + i, t, None) for i, t in PAIRS if len(t or "") < 3000]
+    space = langid.Space()
+
+    def vector(text):
+        low = [chr(space.letter[ord(c)]) if space.letter[ord(c)] else " " for c in f" {text or ''} "]
+        low = [c for k, c in enumerate(low) if c != " " or not k or low[k - 1] != " "]
+        v = lambda c: space.of_letter(ord(c) if c != " " else 0).astype(float)
+        grams = Counter(zip(low, low[1:], low[2:]))
+        return sum((n * np.roll(v(a), 2) * np.roll(v(b), 1) * v(c) for (a, b, c), n in grams.items() if b != " "), np.zeros(langid.DIMENSIONS))
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    learned = {}
+    for i, t, y in rows:
+        if y is not None and not held(i):
+            learned[y] = learned.get(y, 0) + vector(t)
+    path = f"{common.shared_dir(spark)}/languages-{random.random()}"
+    spark.createDataFrame([(i, t, y, "s", 0) for i, t, y in rows], SCHEMA).write.parquet(f"{path}/documents.parquet")
+    for r in langid.op7_langid(spark, path).collect():
+        v = vector(dict((i, t) for i, t, _ in rows)[r.doc_id])
+        cosine = {y: float(v @ w / np.linalg.norm(w) / np.linalg.norm(v)) if v.any() else 0.0 for y, w in learned.items()}
+        best = max(sorted(cosine), key=cosine.get) if v.any() else "und"
+        assert r.held_out == held(r.doc_id) and (r.lang_pred == best or cosine[r.lang_pred] == pytest.approx(cosine[best], abs=1e-9))
+        assert r.score == pytest.approx(max(0.0, cosine.get(best, 0.0)), abs=1e-6)
+
+
 def test_bundles_are_sums_of_bound_letters(monkeypatch):
     s = langid.Space(64, 3)
     v = lambda c: s.of_letter(ord(c)) if c != " " else s.of_letter(0)

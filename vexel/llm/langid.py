@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import slices
-from .common import worker_state
+from .common import worker_state, written
 
 #: Components of a vector, and the seed of the letters' vectors.
 DIMENSIONS, SEED = 1024, 7
-#: Languages that may be learned: their prototypes come to the driver.
-MAX_LANGUAGES = 5000
+#: Languages whose prototypes come to the driver, and are compared with, at a time.
+BLOCK = 4096
 #: Vectors of n-grams that a worker keeps; emptied when full.
 KEPT = 24_000
 UNKNOWN = "und"
@@ -119,9 +119,10 @@ def of_worker(dimensions: int, seed: int) -> Space:
     return worker_state(("langid", dimensions, seed), lambda: Space(dimensions, seed))
 
 
-def prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
-    """The bundle of all texts of each language. Every task bundles what it reads and hands on one vector a language; their
-    sums are the prototypes, and they alone come to the driver: languages times dimensions numbers."""
+def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
+    """(lang, v): the bundle of all texts of each language. Every task bundles what it reads and hands on one vector a language;
+    their sums are the prototypes. Null texts and languages teach nothing; empty texts add nothing; repeated rows count as often
+    as they are there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = of_worker(dimensions, seed), {}
@@ -138,10 +139,36 @@ def prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang", dime
             yield pa.RecordBatch.from_arrays([pa.array([*sums]), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
     parts = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text), F.col(lang)).mapInArrow(run, "lang string, v array<double>")
-    rows = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return {r.lang: np.array([x.x for x in r.v]) for r in rows}
+    return parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
+
+
+def prototypes(labelled: DataFrame, **how) -> dict[str, np.ndarray]:
+    """profiles() on the driver, for few languages."""
+    return {r.lang: np.array([x.x for x in r.v]) for r in profiles(labelled, **how).collect()}
+
+
+def identify_by(docs: DataFrame, learned: DataFrame, text: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
+    """identify() by a table of profiles(), however many: blocks of at most BLOCK languages, in the order of their names, are
+    compared with in turn, and the best so far is carried along."""
+    learned = written(learned, "languages")
+    names, at = learned.select("lang").orderBy("lang"), None
+    docs, left = docs.drop("lang_pred", "score"), True
+    out = None
+    while left:
+        block = names.where(F.col("lang") > at) if at is not None else names
+        found = sorted(r.lang for r in block.limit(BLOCK + 1).collect())
+        left, found = len(found) > BLOCK, found[:BLOCK]
+        rows = learned.where((F.col("lang") >= found[0]) & (F.col("lang") <= found[-1])).collect() if found else []
+        mine = {r.lang: np.array([x.x for x in r.v]) for r in rows}
+        if out is None:
+            out = identify(docs, mine, text, dimensions, seed)
+        else:
+            before = [f"_before{k}" for k in range(2)]
+            out = identify(out.withColumnsRenamed({"lang_pred": before[0], "score": before[1]}), mine, text, dimensions, seed)
+            better = (F.col(before[0]) == UNKNOWN) | (F.col("score") > F.col(before[1]))
+            out = out.withColumns({"lang_pred": F.when(better, F.col("lang_pred")).otherwise(F.col(before[0])), "score": F.greatest("score", before[1])}).drop(*before)
+        at = found[-1] if found else None
+    return out
 
 
 def identify(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
@@ -178,5 +205,5 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text"
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
-    learned = prototypes(docs.where(~held))
-    return identify(docs.select("doc_id", held.alias("held_out"), "text"), learned).drop("text")
+    learned = profiles(docs.where(~held))
+    return identify_by(docs.select("doc_id", held.alias("held_out"), "text"), learned).drop("text")

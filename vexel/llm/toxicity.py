@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import slices
+from .common import written
 
-#: Rows that the model is fitted on at most (drawn by a hash of the id), and tokens that it keeps at most.
-MAX_LABELLED, MAX_TOKENS = 40_000, 50_000
-#: Strength of the prior in words; least z-score and log-odds-ratio of a token that counts; what every word costs a segment.
+#: Rows that the model is fitted on at most (drawn by a hash of the id).
+MAX_LABELLED = 40_000
+#: Strength of the prior in words; least z-score, of either sign, of a token whose log-odds count, and least log-odds of a toxic
+#: one (words of a topic lean to either side a little); what every word costs a segment.
 PRIOR, MIN_Z, MIN_RATIO, COST = 1000.0, 3.0, 1.5, 0.25
+#: A passage is significant if a clean text of its length has one as good with at most this probability.
+SIGNIFICANT = 0.01
 #: Letters of the beginnings that stand in for a word that is itself too rare to count.
 BEGINNINGS = (4, 5, 6)
 #: What is taken off both ends of a word.
@@ -55,22 +59,22 @@ def count_features(docs: DataFrame, text: str, label: str) -> DataFrame:
     return docs.select(text, label).mapInArrow(run, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def log_odds(counts: DataFrame, prior: float = PRIOR, min_z: float = MIN_Z, min_ratio: float = MIN_RATIO, max_tokens: int = MAX_TOKENS) -> dict[str, float]:
+def log_odds(counts: DataFrame, prior: float = PRIOR, min_z: float = MIN_Z, min_ratio: float = MIN_RATIO) -> dict[str, float]:
     """Log-odds-ratio of each feature with an informative Dirichlet prior: its share of all counts times the prior's
-    strength. Kept are those whose ratio is min_ratio at least and min_z deviations above 0, the max_tokens clearest ones
-    at most."""
+    strength. Kept are toxic ones of min_ratio and clean ones of any, that are min_z deviations from 0 at least: their number
+    has the bound that the labelled rows have."""
     total = counts.where(~F.col("feature").endswith("*")).agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1")).first()
     t0, t1 = float(total.t0 or 0), float(total.t1 or 0)
     if not t0 or not t1:
         return {}
     a = (F.col("n0") + F.col("n1")) * (prior / (t0 + t1))
     side = lambda n, t: F.log((F.col(n) + a) / F.greatest(F.lit(1.0), F.lit(t + prior) - F.col(n) - a))
-    c = counts.where("n1 > 1").withColumn("ratio", side("n1", t1) - side("n0", t0)).withColumn("z", F.col("ratio") / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a)))
-    return {r.feature: r.ratio for r in c.where((F.col("z") >= min_z) & (F.col("ratio") >= min_ratio)).orderBy(F.desc("z"), "feature").limit(max_tokens).select("feature", "ratio").collect()}
+    c = counts.withColumn("ratio", side("n1", t1) - side("n0", t0)).withColumn("z", F.col("ratio") / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a)))
+    return {r.feature: r.ratio for r in c.where((F.abs("z") >= min_z) & ((F.col("ratio") < 0) | (F.col("ratio") >= min_ratio))).select("feature", "ratio").collect()}
 
 
 class Words(dict):
-    """The score of each word met, less the cost."""
+    """The score of each word met: its log-odds, less the cost; 0 for a word that neither label has more than the other."""
 
     def __init__(self, ratios: dict[str, float], cost: float):
         super().__init__()
@@ -111,8 +115,9 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 class Calibration:
     """The largest segment score of n clean words is extreme-value distributed: P(S < x) = exp(-K n exp(-lambda x)).
-    A passage's excess is lambda S - ln(K n); a text's is the sum of those above 0, else the largest. A logistic curve
-    over the excess, fitted on the labelled rows, turns it into a probability."""
+    A passage's excess is lambda S - ln(K n): the probability of one as good in a clean text is about exp(-excess). A text's is
+    the sum of those above 0 (better than the best that such a text has by itself), else the largest. A logistic curve over the excess, on a scale that is
+    logarithmic away from 0, fitted on the labelled rows, turns it into a probability."""
 
     def __init__(self, rate: float = 1.0, log_k: float = 0.0, slope: float = 1.0, offset: float = 0.0):
         self.rate, self.log_k, self.slope, self.offset = rate, log_k, slope, offset
@@ -123,7 +128,7 @@ class Calibration:
         return sum(above) if above else max(each)
 
     def probability(self, excess: float) -> float:
-        z = self.slope * excess + self.offset
+        z = self.slope * math.copysign(math.log1p(abs(excess)), excess) + self.offset
         return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(max(z, -700.0)) / (1 + math.exp(max(z, -700.0)))
 
 
@@ -133,14 +138,14 @@ def fit_calibration(rows: list[tuple[int, list[float], int]]) -> Calibration:
     clean = np.array([(max(s, default=0.0), math.log(max(n, 1))) for y, s, n in rows if not y]).reshape(-1, 2)
     if len(clean) > 1:
         # with s = (ln K n + g) / lambda, g of Gumbel's law, lambda comes from the spread and K from the mean
-        out.rate = min(10.0, math.pi / (math.sqrt(6) * max(float(clean[:, 0].std()), 0.05)))
+        out.rate = math.pi / (math.sqrt(6) * max(float(clean[:, 0].std()), 0.05))
         out.log_k = float(out.rate * clean[:, 0].mean() - np.euler_gamma - clean[:, 1].mean())
     x = np.array([out.excess(s, n) for _, s, n in rows])
     y = np.array([y for y, _, _ in rows], float)
     if not len(x) or y.min() == y.max():
         out.slope, out.offset = 0.0, (-5.0 if not len(x) or not y.max() else 5.0)
         return out
-    x = np.clip(x, -50, 50)
+    x = np.copysign(np.log1p(np.abs(x)), x)
     w = np.array([0.0, math.log(y.mean() / (1 - y.mean()))])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(w[0] * x + w[1], -30, 30)))
@@ -183,27 +188,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     if n > max_labelled:
         share = 1 << 20
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) < int(share * max_labelled / n))
-    labelled = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")
-    ratios = log_odds(count_features(labelled, "text", "toxic"))
-    rows = find_passages(labelled.select("toxic", "text"), ratios).select("toxic", "passages.score", "toxic_words").collect()
+    labelled = written(docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("toxic", "text"), "toxicity-labelled")
+    ratios = log_odds(written(count_features(labelled, "text", "toxic"), "toxicity-counts"))
+    rows = find_passages(labelled, ratios).select("toxic", "passages.score", "toxic_words").collect()
     return ratios, fit_calibration([(int(r[0] > 0), list(r[1]), r[2]) for r in rows])
 
 
 def score_toxicity(docs: DataFrame, ratios: dict[str, float], calibration: Calibration, text: str = "text") -> DataFrame:
-    """Adds toxic_words, passages, score (0 to 1) and predicted to every row.
+    """Adds toxic_words, passages (with whether each is significant), score (0 to 1) and predicted to every row.
 
-    Scores use the text alone, all of it. Null and empty texts have no words and no passages and get the score of a
-    text of one clean word. Repeated rows get equal scores; an empty table gives an empty result; a model without
+    Scores use the text alone, all of it, however long. Null and empty texts have no words and no passages and get the
+    score of a text of one clean word. Repeated rows get equal scores; an empty table gives an empty result; a model without
     ratios (no labels, or labels of one kind) gives all texts that kind's score. Other columns stay; those named like
     the added ones are replaced. No shuffle.
     """
     c = calibration
     docs = find_passages(docs.drop("score", "predicted"), ratios, text)
     base = F.lit(c.log_k) + F.log(F.greatest(F.col("toxic_words"), F.lit(1)))
-    each = F.transform("passages", lambda p: p.score * c.rate - base)
+    bound = -math.log(SIGNIFICANT)
+    excess = lambda p: p.score * c.rate - base
+    docs = docs.withColumn("passages", F.transform("passages", lambda p: F.struct(p.first.alias("first"), p.end.alias("end"), p.score.alias("score"), (excess(p) >= bound).alias("significant"))))
+    each = F.transform("passages", excess)
     above = F.aggregate(F.filter(each, lambda x: x > 0), F.lit(0.0), lambda s, x: s + x)
-    excess = F.least(F.lit(50.0), F.when(above > 0, above).otherwise(F.coalesce(F.array_max(each), -base)))
-    docs = docs.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), excess * c.slope + c.offset)))))
+    total = F.when(above > 0, above).otherwise(F.coalesce(F.array_max(each), -base))
+    z = F.signum(total) * F.log1p(F.abs(total)) * c.slope + c.offset
+    docs = docs.withColumn("score", F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z))))
     return docs.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -213,4 +222,4 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     ratios, calibration = fit(docs, labels.where(~held))
     out = score_toxicity(docs.withColumn("held_out", held), ratios, calibration)
-    return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+    return out.select("doc_id", "held_out", "score", "predicted", F.size(F.filter("passages", lambda p: p.significant)).cast("long").alias("n_passages"))
