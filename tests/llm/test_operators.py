@@ -317,51 +317,80 @@ def test_bpe_is_linear(vocabulary):
 
 
 def test_quality(docs, empty):
-    got = quality.score_quality(docs.withColumn("kept", F.lit(3)), quality.piece_model()).collect()
+    got = quality.score_quality(docs.withColumn("kept", F.lit(3)), quality.vocabularies()).collect()
     for r in got:
         n, chars, symbols, lines, again, failed = brute.quality(r.text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (n, chars, symbols, lines, again, failed)
         assert not (r.base_failed and r.kept)
-    assert quality.score_quality(empty, quality.piece_model()).count() == 0
+    assert quality.score_quality(empty, quality.vocabularies()).count() == 0
 
 
 def test_fertility_measures():
-    f = quality.Fertility(quality.piece_model())
+    f = quality.Fertility(quality.vocabularies())
     found = f.measure([b"the cat the cat", b"", "日本".encode(), b"!!"])
     ids = [i for w in ("the", "cat") for i in f.model.encode(w)]
     assert found[5][0] == 2 * len(ids) and found[8][0] == pytest.approx(np.log2(len(set(ids)))) and found[5][1] == 0 and found[6][1] == 0
     assert [quality.NAMES[k] for k in found[9]] == ["latin", "other", "han", "other"]
 
 
+def test_quality_is_that_of_the_plain_way(docs, spark):
+    """Encodes every word of every text by both vocabularies, and applies every band one by one."""
+    import sentencepiece
+    import tiktoken
+
+    v = quality.vocabularies()
+    piece = sentencepiece.SentencePieceProcessor(model_proto=v.pieces)
+    second = tiktoken.Encoding("x", pat_str=v.pattern, mergeable_ranks=bpe.read_ranks(v.ranks), special_tokens={})
+    more = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = [(1, "ไทย" * 30 + " x" * 3, "", "", 0), (2, " ".join(f"слово{k} дом{k % 7}" for k in range(80)), "", "", 0), (3, " ".join("日本語テキスト" for _ in range(60)), "", "", 0), (4, " ".join("\U0001f9ff" + chr(0x1F600 + k) for k in range(70)), "", "", 0)]
+    df = docs.union(more).union(spark.createDataFrame([*odd, *odd], SCHEMA))
+    bands = dict(quality.BANDS, latin=(1.8, 2.2, 0.1, 5.0, 2.0, 4.0))
+    seen = set()
+    for r in quality.score_quality(df, v, bands=bands).collect():
+        own = (r.text or "").encode().split()
+        ids = [i for w in own for i in piece.encode(w.decode())]
+        chars, tokens = sum(len(w.decode()) for w in own), max(1, len(ids))
+        other = max(1, sum(len(second.encode_ordinary(" " + w.decode())) for w in own))
+        share = sum(piece.is_byte(i) for i in ids) / tokens
+        entropy = -sum(n / tokens * np.log2(n / tokens) for n in Counter(ids).values())
+        assert (r.n_tokens, r.chars_per_token, r.byte_share, r.chars_per_bpe_token) == (len(ids), chars / tokens, share, chars / other) and r.token_entropy == pytest.approx(entropy)
+        low, high, most, bits, low2, high2 = bands[r.script]
+        bits -= quality.BITS_A_HALVING * max(0, np.log2(quality.FULL_TOKENS / tokens))
+        why = (r.chars_per_token < low, r.chars_per_token > high, share > most, entropy < bits - 1e-9, r.chars_per_bpe_token < low2, r.chars_per_bpe_token > high2)
+        seen |= {k for k, bad in enumerate(why) if bad}
+        assert r.kept == (not r.base_failed and not any(why))
+    assert seen >= {0, 1, 3, 4} and all(b[2] < 1 for b in quality.BANDS.values())
+
+
 def test_bands_reject_by_script(spark):
     good = "".join(t for t, in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' and n_chars > 2000").orderBy("doc_id").select("text").limit(1).collect())
     df = spark.createDataFrame([(1, good), (2, "THE!! " * 25 + " ".join(f"A{k}!!" for k in range(40)))], "doc_id long, text string")
-    tight = dict(quality.BANDS, latin=(1.35, 8.0, 0.1, 99.0))
-    assert [r.kept for r in quality.score_quality(df, quality.piece_model(), bands=tight).collect()] == [False, False]
-    assert quality.score_quality(df, quality.piece_model()).orderBy("doc_id").first().kept
+    tight = dict(quality.BANDS, latin=(1.35, 8.0, 0.1, 99.0, 1.1, 9.0))
+    assert [r.kept for r in quality.score_quality(df, quality.vocabularies(), bands=tight).collect()] == [False, False]
+    assert quality.score_quality(df, quality.vocabularies()).orderBy("doc_id").first().kept
 
 
 def test_fitted_bands_reject_held_out_junk(spark):
     sf = SF.replace("sf0.001", "sf0.1")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     seen = labels.where(~quality.held_out() & (F.col("doc_id") % 2 == 0))
-    bands, floors = quality.fit_bands(docs, seen, quality.piece_model())
-    low, high, most, _ = bands["latin"]
-    assert 1.35 < low < high < 8 and most < 0.1 and set(floors) == {"latin"} and bands["han"] == quality.BANDS["han"]
+    bands, floors = quality.fit_bands(docs, seen, quality.vocabularies())
+    low, high, most, _, low2, high2 = bands["latin"]
+    assert 1.35 < low < high < 8 and 1.1 < low2 < high2 < 9 and most <= 0.1 and set(floors) == {"latin"} and bands["han"] == quality.BANDS["han"]
     unseen = docs.join(labels.where(quality.held_out()), "doc_id").select("text", "quality")
-    got = quality.score_quality(unseen, quality.piece_model(), bands=bands, floors=floors).where("NOT base_failed").select("quality", "kept").collect()
+    got = quality.score_quality(unseen, quality.vocabularies(), bands=bands, floors=floors).where("NOT base_failed").select("quality", "kept").collect()
     poor, good = [r.kept for r in got if r.quality == 0], [r.kept for r in got if r.quality == 1]
     assert len(poor) > 40 and sum(poor) < 0.1 * len(poor) and sum(good) > 0.99 * len(good)
     # texts of long tokens, and of tokens that fall back to bytes, which no labelled row has
     rows = [(1, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600))), (2, " ".join(f"word{k} \U0001f9ff" for k in range(200)))]
-    odd = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string"), quality.piece_model(), bands=bands, floors=floors).collect()
+    odd = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string"), quality.vocabularies(), bands=bands, floors=floors).collect()
     assert not any(r.kept or r.base_failed for r in odd)
 
 
 def test_few_labels_keep_the_fixed_bands(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    assert quality.fit_bands(docs, labels, quality.piece_model()) == (quality.BANDS, {})
-    assert quality.fit_bands(docs, labels.limit(0), quality.piece_model()) == (quality.BANDS, {})
+    assert quality.fit_bands(docs, labels, quality.vocabularies()) == (quality.BANDS, {})
+    assert quality.fit_bands(docs, labels.limit(0), quality.vocabularies()) == (quality.BANDS, {})
 
 
 # --- 7
