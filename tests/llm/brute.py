@@ -120,3 +120,56 @@ def targets(sizes, weights=(5, 2, 1), most=3):
 
 def crc(text: str) -> int:
     return zlib.crc32(text.encode())
+
+
+def cut_text(rows, depth=50):
+    """{id: text without the characters of which a byte is in a passage that a smaller id has}; ids are unlike."""
+    first, out = {}, {}
+    for i, text in sorted(rows, key=lambda r: order(r[0])):
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - depth + 1):
+            if first.setdefault(b[k : k + depth], i) != i:
+                gone[k : k + depth] = b"\1" * depth
+        kept, at = [], 0
+        for c in text or "":
+            n = len(c.encode())
+            if not any(gone[at : at + n]):
+                kept.append(c)
+            at += n
+        out[i] = "".join(kept)
+    return out
+
+
+def verdict(text, piece, second, bands, script, full, halving):
+    """Whether a text passes the base rules and the six bounds of its script."""
+    import math
+
+    own = (text or "").split()
+    if quality(text)[5]:
+        return False
+    ids = [i for w in own for i in piece.encode(w)]
+    chars, n = sum(map(len, own)), max(1, len(ids))
+    low, high, most, bits, low2, high2 = bands[script]
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values())
+    other = chars / max(1, sum(len(second.encode_ordinary(" " + w)) for w in own))
+    return low <= chars / n <= high and sum(map(piece.is_byte, ids)) / n <= most and entropy >= bits - halving * max(0, math.log2(full / n)) and low2 <= other <= high2
+
+
+def mixture(rows, weights=(5, 2, 1), most=3):
+    """rows (id, text, source): [(id, text, source, copies)]."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    name = lambda x: "null" if x is None else str(x)
+    sizes, keyed, times = Counter(), [], Counter()
+    for i, text, source in rows:
+        same = md5(f"mix:{name(i)}:{md5(text or '')}:{name(source)}")
+        keyed.append((md5(f"mix:{same}:{times[same]}"), len((text or "").encode().split()), i, text, source))
+        times[same] += 1
+        sizes[source] += keyed[-1][1]
+    want, before, out = targets(sizes, weights, most), Counter(), []
+    for _, n, i, text, source in sorted(keyed, key=lambda x: x[0]):
+        ratio = want[source] / sizes[source] if sizes[source] else 0.0
+        copies = int(ratio) + (n > 0 and before[source] + n / 2 < (ratio - int(ratio)) * sizes[source])
+        out.append((i, text, source, min(most, copies)))
+        before[source] += n
+    return out

@@ -308,9 +308,37 @@ def test_pieces_are_remembered_and_forgotten(vocabulary, monkeypatch):
 
 
 def test_bpe_is_linear(vocabulary):
-    encoder = bpe.Encoder(bpe.read_ranks(vocabulary[0]))
-    long = b"ab" * 200_000
-    assert encoder.decode(encoder.encode_piece(long)) == long
+    import time
+
+    import tiktoken
+
+    table = bpe.read_ranks(vocabulary[0])
+    encoder, want = bpe.Encoder(table), tiktoken.Encoding("own", pat_str=".+", mergeable_ranks=table, special_tokens={})
+    rnd = random.Random(4)
+    piece = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    some = piece(20_000)
+    assert encoder.encode_piece(some.encode()) == want.encode_ordinary(some)
+    took = []
+    for n in (50_000, 400_000):
+        long = piece(n).encode()
+        start = time.process_time()
+        assert encoder.decode(encoder.encode_piece(long)) == long
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * took[0]  # 8 times the bytes
+
+
+def test_bpe_of_texts_beyond_four_megabytes(spark, vocabulary):
+    import tiktoken
+
+    ranks, pattern = vocabulary
+    want = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(ranks), special_tokens={})
+    rnd = random.Random(5)
+    text = " ".join(f"word{rnd.randrange(3000)}" for _ in range(500_000))
+    assert len(text) > 1 << 22
+    df = spark.createDataFrame([(1, text, "a"), (1, text, "b"), (2, "x", "c")], "doc_id long, text string, decoded string")
+    ids = want.encode_ordinary(text)
+    for r in bpe.encode_texts(df, ranks, pattern).collect():
+        assert (r.ids, bytes(r.decoded)) == ((ids, text.encode()) if r.doc_id == 1 else (want.encode_ordinary("x"), b"x"))
 
 
 # --- 6
@@ -751,14 +779,78 @@ def test_one_row_of_each_component_stays(spark, monkeypatch):
     assert sorted(map(repr, [(r.doc_id, r.text) for r in left])) == sorted(map(repr, [(1, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, None), (None, "")]))
 
 
+def corpus(spark) -> list[tuple]:
+    """Prose with copies, near copies, repeated rows, null ids, passages that several share, Cyrillic text and junk."""
+    rnd = random.Random(21)
+    prose = [(r.text, r.lang, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars between 500 and 3000").orderBy("doc_id").collect()][:60]
+    words = "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой весь год от так для ты же все тот мочь вы человек такой его сказать только или ещё бы себя один как уже до время если сам когда другой вот говорить наш мой знать стать при чтобы дело жизнь кто первый очень два день её новый рука даже во со раз где там под можно ну какой после их работа без самый потом надо хотеть ли слово идти большой должен место".split()
+    russian = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    shared = russian(20)
+    out = [(k, t, y, s) for k, (t, y, s) in enumerate(prose)]
+    out += [(100 + k, f"{russian(70)} {'рс'[k % 2]}{shared}{'тя'[k % 2]} {russian(60)}", "ru", None) for k in range(12)]
+    out += [(200 + k, *prose[k]) for k in range(8)] + [(210 + k, prose[20 + k][0].replace(" ", f" x{k} ", 1), *prose[20 + k][1:]) for k in range(8)]
+    out += [(220 + k, f"{prose[30 + k][0]} {prose[40][0][:300]}", "en", "mixed") for k in range(6)]
+    out += [out[3]] * 3 + [(None, *prose[50])] * 2 + [(300, None, "en", "s"), (301, "", None, None), (302, "%%% " * 200, "en", "s"), (303, "a b c", "en", "s")]
+    rnd.shuffle(out)
+    return out
+
+
+def test_pipeline_is_that_of_the_plain_way(spark, monkeypatch):
+    """All five stages of run(), with nothing of this package but the bands and the scripts' names."""
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    small_packs(monkeypatch, 8000)
+    rows = corpus(spark)
+    path = f"{common.shared_dir(spark)}/corpus-{random.random()}"
+    spark.createDataFrame([(i, t, y, s, None if t is None else len(t)) for i, t, y, s in rows], SCHEMA).withColumn("extra", F.lit(1)).repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    v = quality.vocabularies()
+    piece = sentencepiece.SentencePieceProcessor(model_proto=v.pieces)
+    second = tiktoken.Encoding("x", pat_str=v.pattern, mergeable_ranks=bpe.read_ranks(v.ranks), special_tokens={})
+    script = lambda t: "cyrillic" if sum("а" <= c <= "я" for c in t) * 2 > len(t) else "latin"
+    kept = [r for r in rows if brute.verdict(r[1], piece, second, quality.BANDS, script(r[1] or ""), quality.FULL_TOKENS, quality.BITS_A_HALVING)]
+    found = brute.jaccard([r[:2] for r in kept])
+    first, alone = set(), []
+    for r, (i, _, c, _) in sorted(zip(kept, found), key=lambda x: brute.order(x[0][0])):
+        own = (c, r[1]) if c is None else c
+        if own not in first and (i == c):
+            first.add(own)
+            alone.append(r)
+    assert len(rows) > len(kept) > len(alone) > 60 and len({r[0] for r in alone}) == len(alone)
+    text = brute.cut_text([r[:2] for r in alone])
+    left = [(r[0], text[r[0]], r[3], r[2]) for r in alone if text[r[0]].strip(" \t\n\r\x0b\x0c")]
+    assert any(t != dict((r[0], r[1]) for r in alone)[i] for i, t, _, _ in left if i is not None and 100 <= i < 112)
+    mixed = brute.mixture([x[:3] for x in left])
+    lang = {x[0]: x[3] for x in left}
+    last = tiktoken.Encoding("y", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))), special_tokens={})
+    want = []
+    for i, t, s, copies in mixed:
+        ids = last.encode_ordinary(t)
+        want += [repr((i, lang[i], s, len(ids), brute.sha(" ".join(map(str, ids)).encode()), brute.sha(t.encode())))] * copies
+    got = [repr((r.doc_id, r.lang, r.source, r.n_tokens, r.ids_sha256, r.decoded_sha256)) for r in corpus_pipeline.run(spark, path).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 40
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 50 and out.where("n_tokens < 1").count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES][-1].startswith("byte-level")
 
 
+def test_a_stage_s_own_tables_go_when_it_is_written(spark):
+    before = list(common._WRITTEN)
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 50
+    made = common._WRITTEN[len(before) :]
+    assert len([path for path, table in made if "packs" not in path]) == 4 and not [t for _, t in made if t]
+
+
 def test_stages_on_awkward_and_empty_tables(spark, docs, empty):
-    for df in (docs.withColumn("extra", F.lit(1)), empty):
+    # repeated rows, null ids and a column whose name clashes with what stages add
+    more = docs.union(docs.where("doc_id < 5")).union(docs.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long")))
+    for df in (docs.withColumn("extra", F.lit(1)), more.withColumn("kept", F.lit("x")).withColumn("Representative", F.lit(1)), empty):
         for _, stage in corpus_pipeline.STAGES:
             df = stage(spark, df, SF)
             df.count()

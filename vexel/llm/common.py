@@ -62,15 +62,22 @@ def remember(path: str, table: str | None = None) -> None:
     _WRITTEN.append((path, table))
 
 
-def sweep(spark: SparkSession) -> int:
-    """Deletes the tables that this process wrote to the shared folder; results that read them must have been taken before."""
-    n = 0
-    while _WRITTEN:
+def remembered() -> int:
+    """How many tables there are, for sweep()."""
+    return len(_WRITTEN)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Deletes the tables that this process wrote to the shared folder after the first since, but for the last keep;
+    results that read them must have been taken before."""
+    n, last = 0, [_WRITTEN.pop() for _ in range(keep)]
+    while len(_WRITTEN) > since:
         name, table = _WRITTEN.pop()
         if table:
             spark.sql(f"DROP TABLE IF EXISTS {table}")
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    _WRITTEN.extend(reversed(last))
     return n
 
 
