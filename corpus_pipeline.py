@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. A stage works on all rows that its predecessor kept, and what it decides takes effect.
+
+All stages take nulls in any column, empty and very long texts (whole), repeated rows and empty tables, and drop columns that
+documents doesn't have, whatever they are named. What becomes of such rows is said at each stage.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vexel.llm import bpe, jaccard, mixing, quality, suffixes
-from vexel.llm.common import written
+from vexel.llm.common import remembered, sweep, written
 from vexel.plans.workers import on_workers
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,21 +25,23 @@ def with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents that fail the base rules or their script's bands, fitted on labelled rows, go."""
+    """Operator 6: documents that fail the base rules or their script's bands, fitted on labelled rows, go. Null and empty texts
+    fail; repeated rows share one verdict; null ids, languages and sources have no influence."""
     on_workers(spark)
     return quality.fitted(spark, docs.select(*COLUMNS), sf_dir).where("kept").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: of each component one row stays, that with the smallest id; of rows that share it, or all have none, the
-    first one as they were packed."""
+    first one as they were packed. So of repeated rows one stays. Rows without words are in no component and stay."""
     on_workers(spark)
     return jaccard.near_duplicates(docs.select(*COLUMNS)).where("representative").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: bytes of passages that an earlier document has go; a character goes if one of its bytes does. Documents
-    of which no word is left go."""
+    of which no word is left, null and empty ones among them, go. A null id is later than all others; rows that share an
+    id take nothing from each other."""
     on_workers(spark)
     found = suffixes.remove_earlier(docs.select(*COLUMNS), as_text=True)
     left = with_text(found, F.col("kept"))
@@ -44,12 +49,14 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: every copy that the mixture takes is a row, in the order of its training position."""
+    """Operator 9: every copy that the mixture takes is a row, in the order of its training position. A null source is a source;
+    repeated rows are taken each by itself; a document without words is taken as often as its whole source is."""
     return mixing.positions(mixing.mix(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: the ids of every text, with the digests by which they can be held against another encoder's."""
+    """Operator 5: the ids of every text, with the digests by which they can be held against another encoder's. A null text is
+    an empty one, without ids."""
     import public_tokenizers
 
     on_workers(spark)
@@ -70,8 +77,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared folder and read again."""
+    """All stages over documents; what a stage returns is written to the shared folder and read again, and the tables that it made
+    on the way are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = remembered()
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        sweep(spark, before, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
