@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import slices
-from .common import release, remember, shared_dir, worker_state, written
+from .common import release, remember, remembered, shared_dir, sweep, worker_state, written
 from .tokens import mix
 
 #: Bytes of text in a pack (a longer text is a pack of its own), and of the packs that share a bucket, about.
@@ -124,8 +124,15 @@ def by_part(h: np.ndarray, radix: int) -> Iterator[tuple[int, slice, np.ndarray]
 
 
 def keyed(key: np.ndarray, *values: np.ndarray) -> bytes:
-    """A message of keys with values."""
-    return arrays((key >> np.uint64(8)).astype(np.uint32), (key & np.uint64(255)).astype(np.uint8), *values)
+    """A message of sorted keys with values. Keys are kept as differences, which are small where there are many."""
+    step = np.diff(key, prepend=np.uint64(0))
+    small = not len(step) or int(step.max()) < 1 << 32
+    return bytes([small]) + arrays(step.astype(np.uint32) if small else step, *values)
+
+
+def read_keyed(data: bytes, *types: str) -> list[np.ndarray]:
+    step, *values = columns(data[1:], "<u4" if data[0] else "<u8", *types)
+    return [np.cumsum(step, dtype=np.uint64), *values]
 
 
 class KeyQuestion(Question):
@@ -155,10 +162,8 @@ class KeyQuestion(Question):
         return np.zeros(n, bool)
 
     def _groups(self, messages: list[bytes]):
-        own = [columns(m, "<u4", "u1", *self.types) for m in messages]
-        cols = [np.concatenate([x[k] for x in own]) for k in range(2 + len(self.types))]
-        key = cols[0].astype(np.uint64) << np.uint64(8) | cols[1]
-        values = cols[2:]
+        own = [read_keyed(m, *self.types) for m in messages]
+        key, *values = [np.concatenate([x[k] for x in own]) for k in range(1 + len(self.types))]
         order = np.lexsort((*reversed(values[: self.order]), key)) if self.order else np.argsort(key, kind="stable")
         key, values = key[order], [v[order] for v in values]
         new = np.ones(len(key), bool)
@@ -256,14 +261,17 @@ class Packs:
                 data = to_ipc(part)
                 yield pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([part.column(text).nbytes]), pa.array([data], pa.binary())], names=["pack", "bytes", "data"])
 
+        before = remembered()
         loose = written(df.mapInArrow(pack, "pack long, bytes long, data binary"), f"{name}-packs")
         self.count, total = (x or 0 for x in loose.agg(F.count("*"), F.sum("bytes")).first())
         self.buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES)))
         table, path = f"vexel_{uuid.uuid4().hex}", f"{shared_dir(spark).rstrip('/')}/vexel-{name}-bucketed-{uuid.uuid4().hex}"
-        remember(path, table)
         loose.select("pack", "data").repartition(self.buckets, "pack").write.bucketBy(self.buckets, "pack").option("path", path).option("compression", "none").saveAsTable(table)
         self.df = spark.table(table)
+        del loose
         release(spark)
+        sweep(spark, before)  # the table that they came from
+        remember(path, table)
         self._tree()
 
     def _tree(self) -> None:
