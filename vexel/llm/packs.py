@@ -362,7 +362,10 @@ class Packs:
         out = levels[-1].groupBy("node").applyInArrow(settle, replied)
         for level in range(hops - 1, 0, -1):
             out = levels[level - 1].groupBy("node").cogroup(out.repartition(self.buckets, "node").groupBy("node")).applyInArrow(hand_down(level), replied)
-        return written(out.withColumnRenamed("node", "pack"), f"{self.name}-{label}")
+        said = written(out.withColumnRenamed("node", "pack"), f"{self.name}-{label}")
+        del df, levels, out
+        release(self.spark)  # the round's shuffles are of no more use
+        return said
 
     def finish(self, fn: Callable[..., Iterator[pa.RecordBatch]], schema, *answers: DataFrame) -> DataFrame:
         """fn(record batch, *answers) over all packs; it yields record batches of the schema."""
