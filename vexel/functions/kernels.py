@@ -61,6 +61,25 @@ def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def ids_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Ids, numbers or strings, as an array that sorts as Spark sorts them."""
+    out = column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
+    return out.astype(str) if out.dtype == object else out
+
+
+def nearest_rows(df: DataFrame, q: list[float], k: int, metric: str, embedding: str = "embedding", id_col: str = "id") -> DataFrame:
+    """The k rows of every batch nearest to q, with distance: what may be among the k nearest of all."""
+    df = df.drop("distance")
+    names, query = df.columns, np.array(q, float)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        d = distances(matrix(b.column(names.index(embedding))), query, metric)
+        top = pa.array(best(d, ids_of(b.column(names.index(id_col))), k))
+        return pa.RecordBatch.from_arrays([*b.take(top).columns, pa.array(d).take(top)], names=[*names, "distance"])
+
+    return over_batches(df.where(df[embedding].isNotNull()), run, T.StructType([*df.schema.fields, T.StructField("distance", T.DoubleType())]))
+
+
 def rank_batch(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str, allowed: np.ndarray | None = None) -> pa.Table:
     """The k nearest rows of x to each query; allowed: which rows (second axis) each query may have."""
     q_out, c_out, d_out = [], [], []
@@ -73,5 +92,9 @@ def rank_batch(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: n
         q_out.append(np.full(len(top), query_ids[i]))
         c_out.append(ids[at][top])
         d_out.append(d[top])
-    cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-    return pa.table({"query_id": cat(q_out, np.int64), "id": cat(c_out, np.int64), "distance": cat(d_out, np.float64)})
+    cat = lambda xs, like: np.concatenate(xs) if xs else like[:0]
+    return pa.table({"query_id": pa.array(cat(q_out, query_ids)), "id": pa.array(cat(c_out, ids)), "distance": pa.array(cat(d_out, np.zeros(0)))})
+
+
+def one_batch(table: pa.Table) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x.combine_chunks() if x.num_chunks != 1 else x.chunk(0) for x in table.columns], names=table.column_names)

@@ -33,8 +33,11 @@ def with_tier(corpus: DataFrame, as_of: datetime | str, threshold: int = WEEK) -
 
 
 def search(corpus: DataFrame, q: list[float], k: int, as_of: datetime | str, threshold: int = WEEK, recent_k: int | None = None, historical_k: int | None = None, metric: str = "l2", where: Column | None = None) -> DataFrame:
-    """The best recent_k and historical_k (k each) rows of the tiers, together ranked and cut to k; a tier with 0 is not read."""
+    """The best recent_k and historical_k (k each) rows of the tiers, together ranked and cut to k; a tier with 0 is not read. Where
+    each tier may fill the result, that is one scan for the k best of both."""
     tiered = with_tier(corpus, as_of, threshold)
+    if all(n is None or n >= k for n in (recent_k, historical_k)):
+        return knn.nearest(tiered, q, k, metric, where=where)
     sides = [(is_recent(as_of, threshold), k if recent_k is None else recent_k), (~is_recent(as_of, threshold), k if historical_k is None else historical_k)]
     found = [knn.nearest(tiered, q, n, metric, where=side if where is None else side & where) for side, n in sides if n > 0]
     if not found:

@@ -5,6 +5,7 @@ The centroids are the model: k times dimensions numbers, held by the driver and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -79,22 +80,34 @@ def assign(corpus: DataFrame, c: Centroids) -> DataFrame:
 
 
 def cluster_sums(assigned: DataFrame) -> DataFrame:
-    """(cluster_id, i, n, total): rows and sum of the i-th element by cluster; a task hands on a row a cluster and batch."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, x = b.column(0).to_numpy(), kernels.matrix(b.column(1))
-        own, at = np.unique(ids, return_inverse=True)
-        sums = np.zeros((len(own), x.shape[1]))
-        np.add.at(sums, at, x)
-        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(np.bincount(at), pa.int64()), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["cluster_id", "n", "sums"])
-
-    parts = kernels.over_batches(assigned.select(F.col("cluster_id").cast("int"), "embedding"), run, "cluster_id int, n long, sums array<double>")
-    return parts.select("cluster_id", "n", F.posexplode("sums").alias("i", "x")).groupBy("cluster_id", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("total"))
+    """(cluster_id, n, error, sums): rows, summed squared distance to the centroid (0 where it isn't known) and summed vector of each
+    cluster. A task hands on a row a cluster."""
+    known = "centroid_distance" in assigned.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, x, d = b.column(0).to_numpy(), kernels.matrix(b.column(1)), b.column(2).to_numpy()
+            own, at = np.unique(ids, return_inverse=True)
+            sums = np.zeros((len(own), x.shape[1]))
+            np.add.at(sums, at, x)
+            for c, n, e, v in zip(own.tolist(), np.bincount(at).tolist(), np.bincount(at, weights=d * d).tolist(), sums):
+                t = total.setdefault(c, [0, 0.0, 0.0])
+                t[0], t[1], t[2] = t[0] + n, t[1] + e, t[2] + v
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([t[0] for t in total.values()], pa.int64()), pa.array([t[1] for t in total.values()]), pa.array([t[2].tolist() for t in total.values()], pa.list_(pa.float64()))], names=["cluster_id", "n", "error", "sums"])
+
+    rows = assigned.select(F.col("cluster_id").cast("int"), "embedding", F.col("centroid_distance") if known else F.lit(0.0).alias("centroid_distance"))
+    parts = rows.mapInArrow(run, "cluster_id int, n long, error double, sums array<double>")
+    each = parts.select("cluster_id", "n", "error", F.posexplode("sums").alias("i", "x")).groupBy("cluster_id", "i").agg(F.sum("n").alias("n"), F.sum("error").alias("error"), F.sum("x").alias("x"))
+    return each.groupBy("cluster_id").agg(F.max("n").alias("n"), F.max("error").alias("error"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("sums"))
 
 
 def means(assigned: DataFrame) -> DataFrame:
     """(cluster_id, i, value): the mean vector of each cluster, an element a row."""
-    return cluster_sums(assigned).select("cluster_id", "i", (F.col("total") / F.col("n")).alias("value"))
+    return cluster_sums(assigned).select("cluster_id", "n", F.posexplode("sums").alias("i", "x")).select("cluster_id", "i", (F.col("x") / F.col("n")).alias("value"))
 
 
 def inertia(assigned: DataFrame) -> float:
@@ -104,23 +117,26 @@ def inertia(assigned: DataFrame) -> float:
 
 def lloyd(corpus: DataFrame, c: Centroids, max_iter: int = 25, tol: float = 1e-4) -> Centroids:
     """Lloyd's iterations from given centroids; a cluster that gets no row keeps its centroid. A round reads the corpus once and
-    returns clusters times dimensions numbers. Ends when no centroid moves, or the error changes by less than tol."""
+    returns a row a cluster, with its sums and error. Ends when no centroid moves, or the error changes by less than tol."""
     error, centers = None, c.vectors.copy()
-    first, rounds, converged = None, 0, False
+    first, rounds, converged, place = None, 0, False, {k: i for i, k in enumerate(c.ids)}
+    rows_of = corpus.select("embedding")
+
+    def round_(centers: np.ndarray) -> tuple[np.ndarray, float]:
+        now, n, total = centers.copy(), 0, 0.0
+        for r in cluster_sums(assign(rows_of, Centroids(centers, c.metric, ids=c.ids))).collect():
+            now[place[r.cluster_id]] = np.array(r.sums) / r.n
+            n, total = n + r.n, total + r.error
+        return now, total / n if n else 0.0
+
     for rounds in range(1, max_iter + 1):  # noqa: B007
-        assigned = assign(corpus.select("embedding"), Centroids(centers, c.metric, ids=c.ids))
-        rows = cluster_sums(assigned).collect()
-        now = centers.copy()
-        for r in rows:
-            now[c.ids.index(r.cluster_id), r.i] = r.total / r.n
-        new = inertia(assigned)
+        now, new = round_(centers)
         first = new if first is None else first
         converged = bool((now == centers).all()) or (error is not None and abs(error - new) <= tol * max(error, 1e-300))
         error, centers = new, now
         if converged:
             break
-    final = inertia(assign(corpus.select("embedding"), Centroids(centers, c.metric, ids=c.ids)))
-    return Centroids(centers, c.metric, rounds, converged, first or 0.0, final, c.ids)
+    return Centroids(centers, c.metric, rounds, converged, first or 0.0, inertia(assign(rows_of, Centroids(centers, c.metric, ids=c.ids))), c.ids)
 
 
 def train(corpus: DataFrame, n_clusters: int, max_iter: int = 25, tol: float = 1e-4, seed: int = 0, metric: str = "l2") -> Centroids:
@@ -177,25 +193,29 @@ def search(assigned: DataFrame, c: Centroids, q: list[float], k: int, n_probe: i
 
 def search_batch(assigned: DataFrame, c: Centroids, queries: DataFrame, k: int, n_probe: int = 10) -> DataFrame:
     """(query_id, rank, id, distance, score). The scan has the clusters that any query probes; a row is compared with the
-    queries that probe its cluster. More queries than a task may get are refused: split them into batches."""
-    few = knn.collect_queries(queries)
-    if few is None:
-        raise ValueError(f"more than {knn.BATCH_QUERIES} queries: search in batches")
-    ids, qs = few
-    probes = [set(c.nearest(q.tolist(), n_probe)) for q in qs]
-    wanted = sorted(set().union(*probes)) if probes else []
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        clusters = b.column(2).to_numpy()
-        allowed = np.array([np.isin(clusters, [*p]) for p in probes]).reshape(len(probes), len(clusters))
-        out = kernels.rank_batch(b.column(0).to_numpy(), kernels.matrix(b.column(1)), ids, qs, k, c.metric, allowed)
-        return pa.RecordBatch.from_arrays([x.combine_chunks() if x.num_chunks != 1 else x.chunk(0) for x in out.columns], names=out.column_names)
-
-    found = kernels.over_batches(assigned.where(F.col("cluster_id").isin(wanted)).select("id", "embedding", "cluster_id"), run, knn.FOUND)
+    queries that probe its cluster. Many queries meet those rows in pairs of blocks."""
+    few, schema = knn.collect_queries(queries), knn.found_schema(assigned, queries)
+    rows = assigned.select("id", "embedding", "cluster_id")
+    if few is not None:
+        ids, qs = few
+        probes = [set(c.nearest(q.tolist(), n_probe)) for q in qs]
+        wanted = sorted(set().union(*probes)) if probes else []
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            return kernels.one_batch(kernels.rank_batch(kernels.ids_of(b.column(0)), kernels.matrix(b.column(1)), ids, qs, k, c.metric, allowed(probes, b.column(2).to_numpy())))
+
+        found = kernels.over_batches(rows.where(F.col("cluster_id").isin(wanted)), run, schema)
+    else:
+        probed = lambda a: [set(c.nearest(q.tolist(), n_probe)) for q in kernels.matrix(a.column("q"))]
+        found = knn.pairs_of_blocks(rows, queries.select("query_id", "q"), k, c.metric, schema, lambda a, b: allowed(probed(a), b.column("cluster_id").to_numpy()))
     out = knn.top_k_each(found, "query_id", [F.col("distance"), F.col("id")], k)
     return out.select("query_id", "rank", "id", "distance", vectors.score("distance").alias("score"))
 
 
+def allowed(probes: list[set[int]], clusters: np.ndarray) -> np.ndarray:
+    return np.array([np.isin(clusters, [*p]) for p in probes]).reshape(len(probes), len(clusters))
+
+
 def retrain(corpus: DataFrame, n_clusters: int, **options) -> tuple[Centroids, DataFrame]:
     c = train(corpus, n_clusters, **options)
     return c, assign(corpus, c)
@@ -217,7 +237,8 @@ def optimize(corpus: DataFrame, c: Centroids, **options) -> tuple[Centroids, Dat
 
 def balance(assigned: DataFrame, c: Centroids, threshold: float) -> DataFrame:
     """Rows of clusters larger than (1 + threshold) times the mean move on to their second nearest centroid, the farthest
-    first, as far as the cluster is over that size. Adds moved. threshold lies between 0 and 1."""
+    first, ties by id, as many as the cluster is over that size. Adds moved. threshold lies between 0 and 1. Ranks are running
+    counts over ranges of the distance, so no cluster's rows have to meet in a task; the moved rows are assigned in one pass."""
     if not 0 < threshold < 1:
         raise ValueError("threshold lies between 0 and 1")
     sizes = {r.cluster_id: r.n for r in cluster_sizes(assigned, c).collect()}
@@ -225,21 +246,41 @@ def balance(assigned: DataFrame, c: Centroids, threshold: float) -> DataFrame:
     over = {k: n - limit for k, n in sizes.items() if n > limit}
     if not over or len(c.ids) < 2:
         return assigned.withColumn("moved", F.lit(False))
-    hot = assigned.where(F.col("cluster_id").isin([*over]))
-    # the cut is a distance for each cluster, so no cluster's rows have to meet in a task
-    cuts = {}
-    for k, n in over.items():
-        cuts[k] = hot.where(F.col("cluster_id") == k).approxQuantile("centroid_distance", [max(0.0, 1 - n / sizes[k])], 0.001)[0]
-    moved = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]), F.col("cluster_id")) < F.col("centroid_distance"), F.lit(False))
-    rest = {k: Centroids(np.delete(c.vectors, c.ids.index(k), axis=0), c.metric, ids=[i for i in c.ids if i != k]) for k in cuts}
-    out = assigned.withColumn("moved", moved)
-    parts = [out.where(~F.col("moved"))]
-    for k, others in rest.items():
-        parts.append(assign(out.where(F.col("moved") & (F.col("cluster_id") == k)), others).select(*out.columns))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.unionByName(p)
-    return total
+    hot = assigned.where(F.col("cluster_id").isin([*over])).select("id", "cluster_id", "centroid_distance")
+    # distances are counted first; rows at the distance where a cluster's count is reached are ranked by id
+    counts = hot.groupBy("cluster_id", "centroid_distance").agg(F.count("*").alias("_n")).withColumn("_far", -F.col("centroid_distance"))
+    counts = running_sum(counts, "_far", "_n", "_upto", "_all", by="cluster_id")
+    most = F.element_at(F.create_map(*[F.lit(x) for kv in over.items() for x in kv]), F.col("cluster_id"))
+    counts = counts.select("cluster_id", "centroid_distance", F.when(F.col("_upto") <= most, F.col("_n")).otherwise(F.greatest(F.lit(0), most - (F.col("_upto") - F.col("_n")))).alias("_take"), "_n").where("_take > 0")
+    whole = counts.where("_take = _n").select("cluster_id", "centroid_distance")
+    leaving = hot.join(whole, ["cluster_id", "centroid_distance"], "left_semi").select("id", "cluster_id")
+    cut = hot.join(counts.where("_take < _n").select("cluster_id", "centroid_distance", "_take"), ["cluster_id", "centroid_distance"]).withColumn("_one", F.lit(1).cast("long"))
+    cut = running_sum(cut, "id", "_one", "_rank", "_all", by="cluster_id").where("_rank <= _take").select("id", "cluster_id")
+    marked = assigned.join(leaving.union(cut).withColumn("moved", F.lit(True)), ["id", "cluster_id"], "left").withColumn("moved", F.coalesce("moved", F.lit(False)))
+    return second_nearest(marked.select(*assigned.columns, "moved"), c)
+
+
+def second_nearest(rows: DataFrame, c: Centroids) -> DataFrame:
+    """rows (moved, cluster_id, centroid_distance, embedding, ...): moved ones get the nearest centroid but their own."""
+    names = rows.columns
+    at = {n: names.index(n) for n in ("embedding", "cluster_id", "centroid_distance", "moved")}
+    centers, ids, metric = c.vectors, np.array(c.ids, np.int32), c.metric
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        x = kernels.matrix(b.column(at["embedding"]))
+        own, d = b.column(at["cluster_id"]).to_numpy().copy(), b.column(at["centroid_distance"]).to_numpy().copy()
+        go = np.flatnonzero(b.column(at["moved"]).to_numpy(zero_copy_only=False))
+        least, which = np.full(len(go), np.inf), own[go].copy()
+        for i, q in enumerate(centers):
+            far = np.where(own[go] == ids[i], np.inf, kernels.distances(x[go], q, metric))
+            nearer = far < least
+            least[nearer], which[nearer] = far[nearer], ids[i]
+        own[go], d[go] = which, least
+        cols = list(b.columns)
+        cols[at["cluster_id"]], cols[at["centroid_distance"]] = pa.array(own, pa.int32()), pa.array(d)
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    return kernels.over_batches(rows, run, rows.schema)
 
 
 def cluster_evenly(corpus: DataFrame, k: int, max_iter: int = 20, metric: str = "cosine") -> tuple[Centroids, DataFrame]:

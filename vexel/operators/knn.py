@@ -13,7 +13,11 @@ from ..functions import kernels, vectors
 #: Queries that are sent to all tasks at once, and bytes of them at most. Beyond, both sides are dealt into blocks.
 BATCH_QUERIES, BATCH_BYTES = 4096, 32 << 20
 BLOCK_ROWS = 16_384
-FOUND = "query_id long, id long, distance double"
+
+
+def found_schema(corpus: DataFrame, queries: DataFrame) -> str:
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return f"query_id {kind(queries, 'query_id')}, id {kind(corpus, 'id')}, distance double"
 
 
 def literal(q: list[float]) -> Column:
@@ -29,9 +33,17 @@ def ranked(df: DataFrame, q: list[float], metric: str = "l2", embedding: str = "
 
 def nearest(corpus: DataFrame, q: list[float], k: int, metric: str = "l2", where: Column | None = None, min_score: float = 0.0) -> DataFrame:
     """The k rows (id, embedding, ...) nearest to q. where is applied before the ranking, so it reaches the scan; min_score
-    after it. One pass: a bounded heap in each task, and their merge."""
+    after it. One pass: a kernel keeps the k best rows of a batch, which a bounded heap in each task and their merge cut to k.
+    Rows without a vector are never near."""
+    if metric not in vectors.METRICS:
+        raise ValueError(f"unknown metric {metric}")
     rows = corpus if where is None else corpus.where(where)
-    out = ranked(rows, q, metric).orderBy("distance", "id").limit(k)
+    if k <= 0:
+        return ranked(rows, q, metric).limit(0)
+    if "score" in rows.columns:
+        rows = rows.drop("score")
+    near = kernels.nearest_rows(rows, q, k, metric).withColumn("score", vectors.score("distance"))
+    out = near.orderBy("distance", "id").limit(k)
     return out.where(F.col("score") >= min_score) if min_score > 0 else out
 
 
@@ -51,7 +63,7 @@ def collect_queries(queries: DataFrame, limit: int = BATCH_QUERIES) -> tuple[np.
     rows = queries.select("query_id", "q").limit(limit + 1).collect()
     if len(rows) > limit or sum(len(r.q) for r in rows) * 8 > BATCH_BYTES:
         return None
-    return np.array([r.query_id for r in rows], np.int64), np.array([r.q for r in rows], np.float64).reshape(len(rows), -1)
+    return np.array([r.query_id for r in rows]), np.array([r.q for r in rows], np.float64).reshape(len(rows), -1)
 
 
 def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
@@ -61,25 +73,36 @@ def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "
     corpus in pairs of blocks of bounded size. Either way what is shuffled to be ranked is k rows a query and batch."""
     if metric not in vectors.METRICS:
         raise ValueError(f"unknown metric {metric}")
-    few = collect_queries(queries)
+    few, schema = collect_queries(queries), found_schema(corpus, queries)
     if few is not None:
         ids, qs = few
-        found = kernels.over_batches(
-            corpus.select("id", "embedding"),
-            lambda b: kernels.rank_batch(b.column(0).to_numpy(), kernels.matrix(b.column(1)), ids, qs, k, metric).combine_chunks().to_batches(max_chunksize=None)[0] if len(ids) and b.num_rows and k > 0 else pa.RecordBatch.from_pylist([], schema=pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])),
-            FOUND,
-        )
+        if not len(ids) or k <= 0:
+            found = corpus.sparkSession.createDataFrame([], schema)
+        else:
+            found = kernels.over_batches(corpus.select("id", "embedding"), lambda b: kernels.one_batch(kernels.rank_batch(kernels.ids_of(b.column(0)), kernels.matrix(b.column(1)), ids, qs, k, metric)), schema)
     else:
-        n_queries, n_rows = queries.count(), corpus.count()
-        blocks, buckets = -(-n_queries // BATCH_QUERIES), max(1, -(-n_rows // BLOCK_ROWS))
-        left = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-        right = corpus.select("id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"))
-        pair = lambda a, b: kernels.rank_batch(b.column("id").to_numpy(), kernels.matrix(b.column("embedding")), a.column("query_id").to_numpy(), kernels.matrix(a.column("q")), k, metric)
-        found = left.groupBy("block", "bucket").cogroup(right.groupBy("block", "bucket")).applyInArrow(pair, FOUND)
+        found = pairs_of_blocks(corpus.select("id", "embedding"), queries, k, metric, schema)
     out = top_k_each(found, "query_id", [F.col("distance"), F.col("id")], k)
     return out.select("query_id", "rank", "id", "distance", vectors.score("distance").alias("score"))
 
 
+def pairs_of_blocks(corpus: DataFrame, queries: DataFrame, k: int, metric: str, schema: str, allowed=None) -> DataFrame:
+    """Many queries against a corpus in pairs of blocks of bounded size. allowed(queries, rows of a pair): which rows each may have."""
+    blocks, buckets = -(-queries.count() // BATCH_QUERIES), max(1, -(-corpus.count() // BLOCK_ROWS))
+    left = queries.withColumns({"block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)), "bucket": F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))})
+    right = corpus.withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))), "bucket": F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")})
+
+    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:  # a side without rows comes without columns
+            return EMPTY
+        own = None if allowed is None else allowed(a, b)
+        return kernels.rank_batch(kernels.ids_of(b.column("id")), kernels.matrix(b.column("embedding")), kernels.ids_of(a.column("query_id")), kernels.matrix(a.column("q")), k, metric, own)
+
+    kind = lambda t: pa.string() if t == "string" else pa.int64()
+    EMPTY = pa.table({"query_id": pa.array([], kind(queries.schema["query_id"].dataType.simpleString())), "id": pa.array([], kind(corpus.schema["id"].dataType.simpleString())), "distance": pa.array([], pa.float64())})
+    return left.groupBy("block", "bucket").cogroup(right.groupBy("block", "bucket")).applyInArrow(pair, schema)
+
+
 def vector_of(corpus: DataFrame, id_: int) -> list[float]:
     row = corpus.where(F.col("id") == id_).select("embedding").first()
     if row is None:

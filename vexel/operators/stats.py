@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.ranges import running_sum
 from .hybrid import WEEK, age_seconds, is_recent, with_tier
@@ -85,9 +84,11 @@ def orphans(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
 
 
 def running_means(log: DataFrame, value: str, order: str, by: str) -> DataFrame:
-    """Adds the mean of the values so far, of each group in its order."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("mean", F.avg(value).over(w))
+    """Adds the mean of the values so far, of each group in its order. Sums and counts of ranges of the order are added first, so a
+    group with a third of all rows is spread over its ranges."""
+    rows = log.withColumns({"_one": F.col(value).isNotNull().cast("long"), "_value": F.coalesce(F.col(value).cast("decimal(38,10)"), F.lit(0).cast("decimal(38,10)"))})
+    rows = running_sum(running_sum(rows, order, "_one", "_n", "_all", by=by), order, "_value", "_sum", "_total", by=by)
+    return rows.withColumn("mean", (F.col("_sum").cast("double") / F.col("_n"))).drop("_one", "_value", "_n", "_sum", "_all", "_total")
 
 
 def stored_bytes(blobs: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 import time
+import zlib
 import uuid
 from collections import OrderedDict
 
@@ -23,6 +25,18 @@ class StoreError(ValueError):
     pass
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that the session names for all executors (spark.checkpoint.dir). Only where driver and executors are
+    one machine may it be unset."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise StoreError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="vexel-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class BlobStore:
     """Bytes by path below a root, which any Hadoop file system may hold."""
 
@@ -36,13 +50,17 @@ class BlobStore:
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}" if key else self.root)
 
     def put(self, key: str, data: bytes) -> None:
-        """Written beside and renamed, so that no reader sees half of it."""
+        """Written beside and renamed over the old one, so that readers see either of them whole."""
         part = self._path(f"{key}.{uuid.uuid4().hex}.part")
         out = self.fs.create(part, True)
         out.write(bytearray(data))
         out.close()
-        self.fs.delete(self._path(key), False)
-        self.fs.rename(part, self._path(key))
+        self._rename(part, self._path(key))
+
+    def _rename(self, part, target) -> None:
+        kinds = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        kinds[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else self.fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(self.fs.makeQualified(part), self.fs.makeQualified(target), kinds)
 
     def get(self, key: str) -> bytes | None:
         if not self.exists(key):
@@ -122,15 +140,16 @@ class CachedStore:
 
 
 class ContentStore:
-    """Blobs by the hash of what they hold, with keys that point to them; put() is idempotent."""
+    """Blobs by the hash of what they hold, with keys that point to them; put() is idempotent. Blobs may be compressed: what is
+    hashed is what they hold either way."""
 
     def __init__(self, inner):
         self.inner = inner
 
-    def put(self, key: str, data: bytes) -> str:
+    def put(self, key: str, data: bytes, compress: bool = False) -> str:
         cid = hashlib.sha256(data).hexdigest()
         if self.inner.get(f"blobs/{cid}") is None:
-            self.inner.put(f"blobs/{cid}", data)
+            self.inner.put(f"blobs/{cid}", b"z" + zlib.compress(data) if compress else b"r" + data)
         self.inner.put(f"keys/{key}", cid.encode())
         return cid
 
@@ -139,15 +158,32 @@ class ContentStore:
         return None if cid is None else self.get_by_cid(cid.decode())
 
     def get_by_cid(self, cid: str) -> bytes | None:
-        return self.inner.get(f"blobs/{cid}")
+        data = self.inner.get(f"blobs/{cid}")
+        if data is None:
+            return None
+        out = zlib.decompress(data[1:]) if data[:1] == b"z" else data[1:]
+        if hashlib.sha256(out).hexdigest() != cid:
+            raise StoreError(f"blob {cid} doesn't hold what it should")
+        return out
+
+    def put_batch(self, items: dict[str, bytes], compress: bool = False) -> dict[str, str | Exception]:
+        """The content id of each item, or the error that it met; the others are written all the same."""
+        return {k: _tried(self.put, k, v, compress) for k, v in items.items()}
 
-    def put_batch(self, items: dict[str, bytes]) -> dict[str, str]:
-        return {k: self.put(k, v) for k, v in items.items()}
+    def get_batch(self, keys: list[str]) -> dict[str, bytes | None | Exception]:
+        return {k: _tried(self.get, k) for k in keys}
 
 
-def number_chunks(corpus: DataFrame, order: str = "id", rows: int = CHUNK_ROWS, buckets: int = 64) -> DataFrame:
+def _tried(fn, *args):
+    try:
+        return fn(*args)
+    except Exception as e:  # one item's error is its result
+        return e
+
+
+def number_chunks(corpus: DataFrame, order: str = "id", rows: int = CHUNK_ROWS, buckets: int | None = None) -> DataFrame:
     """Adds row (from 0, in the order) and chunk (row div rows). Ranges of the order are counted first, so no task has them all."""
-    numbered = running_sum(corpus.withColumn("_one", F.lit(1).cast("long")), order, "_one", "row", "_all", max(1, buckets))
+    numbered = running_sum(corpus.withColumn("_one", F.lit(1).cast("long")), order, "_one", "row", "_all", buckets)
     return numbered.withColumn("row", F.col("row") - 1).withColumn("chunk", F.floor(F.col("row") / rows).cast("long")).drop("_one", "_all")
 
 
@@ -197,18 +233,62 @@ def save(corpus: DataFrame, path: str, tombstones: DataFrame | None = None, cent
     n, h = content_hash(spark.read.schema(corpus.schema).parquet(f"{base}/vectors"))
     files = [k for k in store.list(f"data-{version}/vectors") if k.endswith(".parquet")]
     manifest = {"version": VERSION, "chunk_size": chunk_rows, "total_vectors": n, "checksum": h, "data": f"data-{version}", "columns": json.loads(corpus.schema.json()), "tombstones": tombstones is not None, "centroids": centroids is not None, "schema": schema, "chunks": [{"chunk_id": f} for f in files]}
-    store.put("manifest.json", json.dumps(manifest).encode())
+    n = max([0, *map(manifest_number, manifests(store))]) + 1
+    store.put(f"manifest-{n:08d}.json", json.dumps(manifest).encode())
+    for old in manifests(store):
+        if manifest_number(old) < n:
+            store.delete(old)
     return manifest
 
 
+def manifest_number(key: str) -> int:
+    return int(key[len("manifest-") : -len(".json")])
+
+
+def manifests(store: BlobStore) -> list[str]:
+    """Manifests in a folder, the newest last. Each save writes a new one before older ones go, so one is always there."""
+    return sorted((k for k in store.list("manifest-") if k.endswith(".json")), key=manifest_number)
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    store = BlobStore(spark, path)
+    for key in reversed(manifests(store)):
+        text = store.get(key)
+        if text is not None:
+            return validate_manifest(text.decode())
+    raise StoreError(f"no manifest in {path}")
+
+
+def info(spark: SparkSession, path: str) -> dict:
+    """What a saved corpus, or a backup, says of itself, without reading rows."""
+    m = read_manifest(spark, path)
+    blobs = BlobStore(spark, path).table("*.parquet").select("path", "length").where(F.col("path").contains(m["data"]))
+    size = blobs.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    return {"version": m["version"], "rows": m["total_vectors"], "chunks": len(m["chunks"]), "files": size.files, "bytes": size.bytes, "tombstones": m["tombstones"], "centroids": m["centroids"]}
+
+
+def verify(spark: SparkSession, path: str) -> dict:
+    """Whether a saved corpus, or a backup, holds the rows that were saved: {"valid": bool, "errors": [...]}."""
+    try:
+        m = read_manifest(spark, path)
+    except StoreError as e:
+        return {"valid": False, "errors": [str(e)]}
+    there, errors = set(BlobStore(spark, path).list(m["data"])), []
+    gone = [c["chunk_id"] for c in m["chunks"] if c["chunk_id"] not in there]
+    errors += [f"no file {x}" for x in gone]
+    if not gone:
+        try:
+            load(spark, path, verify=True)["corpus"].limit(0).count()
+        except StoreError as e:
+            errors.append(str(e))
+    return {"valid": not errors, "errors": errors}
+
+
 def load(spark: SparkSession, path: str, verify: bool = False) -> dict:
     """corpus, tombstones and centroids (None if there are none), schema and manifest."""
     from pyspark.sql import types as T
 
-    text = BlobStore(spark, path).get("manifest.json")
-    if text is None:
-        raise StoreError(f"no manifest in {path}")
-    m = validate_manifest(text.decode())
+    m = read_manifest(spark, path)
     base = f"{path.rstrip('/')}/{m['data']}"
     corpus = spark.read.schema(T.StructType.fromJson(m["columns"])).parquet(f"{base}/vectors")
     if verify and content_hash(corpus) != (m["total_vectors"], m["checksum"]):
@@ -220,7 +300,7 @@ def load(spark: SparkSession, path: str, verify: bool = False) -> dict:
 def sweep(spark: SparkSession, path: str) -> list[str]:
     """Deletes the versions that the manifest doesn't name; returns them."""
     store = BlobStore(spark, path)
-    m = validate_manifest((store.get("manifest.json") or b"{}").decode())
+    m = read_manifest(spark, path)
     old = sorted({k.split("/")[0] for k in store.list("data-")} - {m["data"]})
     for k in old:
         store.delete(k)
