@@ -1,12 +1,16 @@
 """Search, clusters, tiers, changes, stores and sessions, on small corpora."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vexel.operators import dml, graph, hybrid, ivf, knn, rank, stats
+from vexel.functions.filters import compile_filter
+from vexel.operators import dml, graph, hybrid, ivf, knn, maintenance, rank, stats
 from vexel.plans.session import SearchCache, SessionError, VectorSession
 from vexel.sources import store
+from vexel.sources.clusters import ClusterCache
 from vexel.streaming import streams
 
 NOW = "2024-01-31 00:00:00"
@@ -248,9 +252,215 @@ def test_session(spark, tmp_path):
 
 
 def test_late_rows_of_a_stream_are_dropped(spark, tmp_path):
-    df = spark.createDataFrame([("2024-01-10 00:00:00", "a", 1.0)], "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = streams.windowed_counts(stream).writeStream.format("memory").queryName("w").outputMode("update").trigger(availableNow=True).start()
-    streams.drained(q)
-    assert spark.table("w").count() == 1
+    schema = "ts timestamp, event_type string, value double"
+
+    def send(*days):
+        spark.createDataFrame([(f"2024-01-{d:02d} 00:00:00", "a", 1.0) for d in days], "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        step = lambda batch, n: batch.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={n}"))
+        streams.drained(streams.windowed_counts(stream).writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+        return {str(r.start)[:10]: r.n for r in spark.read.parquet(str(tmp_path / "out")).groupBy("start").agg(F.max("n").alias("n")).collect()}
+
+    assert send(10) == {"2024-01-10": 1}
+    send(20)  # the watermark is the 19th from here on
+    assert send(5, 19) == {"2024-01-10": 1, "2024-01-20": 1, "2024-01-19": 1}
+
+
+def edits(spark, rows):
+    return spark.createDataFrame([(i, [float(x)], d, v) for i, x, d, v in rows], "id string, embedding array<float>, deleted boolean, version long")
+
+
+def test_change_feed(spark, tmp_path):
+    path = str(tmp_path / "feed")
+
+    def send(rows):
+        edits(spark, rows).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(edits(spark, []).schema).parquet(f"{path}/in")
+        streams.drained(streams.change_feed(stream, path, f"{path}/check"))
+        return sorted((r.type, r.id, r.version) for r in streams.read_feed(spark, path).collect())
+
+    assert send([("a", 1, False, 1), ("b", 1, False, 1), ("c", 1, True, 1)]) == [("inserted", "a", 1), ("inserted", "b", 1)]
+    later = send([("a", 2, False, 3), ("a", 9, False, 2), ("b", 1, False, 2), ("d", 1, False, 1)])
+    assert set(later) - {("inserted", "a", 1), ("inserted", "b", 1)} == {("updated", "a", 3), ("inserted", "d", 1)}
+    end = send([("a", 2, True, 4), ("d", 7, False, 0)])
+    assert ("deleted", "a", 4) in end and len(end) == len(later) + 1
+
+
+def test_top_k_of_a_stream_takes_an_id_s_nearest_row_and_survives_a_repeated_batch(spark, tmp_path):
+    path = str(tmp_path / "top")
+    rows = spark.createDataFrame([(1, [5.0]), (1, [1.0]), (2, [2.0]), (3, [3.0]), (2, [0.5])], "id long, embedding array<double>")
+    rows.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+    run = lambda: streams.drained(streams.running_top_k(stream, [0.0], 2, f"{path}/out", f"{path}/check"))
+    run()
+    want = [(2, 0.5), (1, 1.0)]
+    assert [(r.id, r.distance) for r in streams.latest_top_k(spark, f"{path}/out").orderBy("distance").collect()] == want
+    for n in range(3):
+        rows.where(F.lit(n == 0)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        run()
+    assert [(r.id, r.distance) for r in streams.latest_top_k(spark, f"{path}/out").orderBy("distance").collect()] == want
+    # as if the last batch's commit had been lost: it runs again, from the state before it
+    commits = sorted((tmp_path / "top/check/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    commits[-1].with_name(f".{commits[-1].name}.crc").unlink()
+    run()
+    assert [(r.id, r.distance) for r in streams.latest_top_k(spark, f"{path}/out").orderBy("distance").collect()] == want
+
+
+def test_a_search_reads_the_probed_clusters_alone(spark, tmp_path):
+    rnd = np.random.default_rng(3)
+    points = [(f"p{i:03d}", (rnd.normal(size=2) * 0.1 + 10 * (i % 5)).tolist()) for i in range(200)]
+    path = str(tmp_path / "clustered")
+    with VectorSession(spark, as_of=NOW) as s:
+        s.add([{"id": i, "vector": v} for i, v in points])
+        exact = ids(s.search([10.0, 10.0], 5))
+        assert len(s.train(5, seed=1).ids) == 5
+        s.add([{"id": "new", "vector": [10.0, 10.0]}])
+        assert ids(s.search([10.0, 10.0], 6, n_probe=1)) == ["new", *exact] == ids(s.search([10.0, 10.0], 6, n_probe=0))
+        s.delete("new")
+        s.save(path)
+    back = VectorSession.load(spark, path, verify=True, as_of=NOW)
+    found = back.search([10.0, 10.0], 5, n_probe=1)
+    assert ids(found) == exact
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cluster_id" in plan or "PartitionFilters: [cluster_id" in plan
+    probed = back._probed(back.corpus, [10.0, 10.0], 1)
+    files = lambda df: {r[0] for r in df.select("_metadata.file_path").distinct().collect()}
+    assert files(probed) < files(back.corpus)
+    got = back.search_batch({"x": [10.0, 10.0], "y": [0.0, 0.0]}, 5, n_probe=1)
+    assert ids(got.where("query_id = 'x'").orderBy("rank")) == exact
+    cache = ClusterCache(spark, path, capacity=2)
+    for _ in range(2):
+        assert ids(cache.search([10.0, 10.0], 5, n_probe=1)) == exact
+    cache.search([0.0, 0.0], 5, n_probe=3).count()
+    assert cache.stats()["hits"] >= 1 and cache.stats()["entries"] == 2
+    cache.clear()
+
+
+def test_a_crash_while_saving_leaves_the_old_corpus(spark, blobs, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    store.save(blobs, path)
+
+    def crash(self, part, target):
+        raise OSError("the power went")
+
+    monkeypatch.setattr(store.BlobStore, "_rename", crash)
+    with pytest.raises(OSError):
+        store.save(blobs.limit(1), path)
+    assert store.load(spark, path, verify=True)["corpus"].count() == 9
+    monkeypatch.undo()
+    store.save(blobs.limit(2), path)
+    assert store.load(spark, path)["corpus"].count() == 2 and store.verify(spark, path) == {"valid": True, "errors": []}
+
+
+def test_centroid_bytes():
+    import struct
+    import zlib
+
+    c = ivf.Centroids(np.array([[1.5, 2.0], [3.0, -4.0]]), "cosine", ids=[4, 9])
+    back = ivf.Centroids.from_bytes(c.to_bytes())
+    assert (back.vectors == c.vectors).all() and (back.ids, back.metric) == ([4, 9], "cosine")
+    old = ivf.MAGIC + struct.pack("<HHII", 1, 0, 1, 2) + np.array([1.0, 2.0], "<f4").tobytes()
+    assert ivf.Centroids.from_bytes(old + struct.pack("<I", zlib.crc32(old))).vectors.tolist() == [[1.0, 2.0]]
+    for bad in (b"", c.to_bytes()[:-1], b"x" * 40, c.to_bytes()[:20] + b"\0" + c.to_bytes()[21:]):
+        with pytest.raises(ivf.TrainingError):
+            ivf.Centroids.from_bytes(bad)
+
+
+def test_balance_moves_exactly_what_is_over(spark):
+    """All rows of a cluster at the cut have one distance: ties go by id."""
+    rows = [(i, [1.0, 0.0]) for i in range(40)] + [(100 + i, [10.0, 0.0]) for i in range(4)]
+    c = ivf.Centroids(np.array([[0.0, 0.0], [10.0, 0.0], [0.0, 50.0]]))
+    out = ivf.balance(ivf.assign(spark.createDataFrame(rows, "id long, embedding array<double>"), c), c, 0.5)
+    moved = sorted(r.id for r in out.where("moved").collect())
+    assert moved == list(range(18)) and out.count() == 44 and {r.cluster_id for r in out.where("moved").collect()} == {1}
+
+
+def test_ranges_of_strings_and_of_many_cuts(spark):
+    from vexel.functions import ranges
+
+    df = spark.range(5000).select(F.format_string("vec_%08d", F.col("id")).alias("id")).withColumn("one", F.lit(1).cast("long"))
+    for n in (1, 8, 300):
+        got = ranges.running_sum(df, "id", "one", "upto", "all", n).collect()
+        assert sorted(r.upto for r in got) == list(range(1, 5001)) and all(int(r.id[4:]) + 1 == r.upto for r in got)
+    parts = ranges.with_range(df, "id", "part", 8).groupBy("part").count().collect()
+    assert len(parts) == 8 and max(r["count"] for r in parts) < 1200
+
+
+def test_graph_search_and_insert(spark):
+    rnd = np.random.default_rng(7)
+    x = rnd.normal(size=(400, 8))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").cache()
+    edges = graph.build(corpus, m=6).cache()
+    assert edges.agg(F.max("layer")).first()[0] >= 1
+    hits = 0
+    for q in rnd.normal(size=(5, 8)):
+        want = np.argsort(((x - q) ** 2).sum(axis=1), kind="stable")[:10].tolist()
+        hits += len(set(want) & set(ids(graph.search(edges, corpus, q.tolist(), 10, ef=48))))
+    assert hits >= 45
+    assert graph.search(edges.limit(0), corpus, [0.0] * 8, 3).count() == 0 and graph.build(corpus.limit(1)).count() == 0
+
+
+def test_cbor():
+    from vexel.functions import cbor
+
+    known = {0: "00", 23: "17", 24: "1818", 1000: "1903e8", -1: "20", -1000: "3903e7", 1.1: "fb3ff199999999999a", "ü": "62c3bc", b"\1\2": "420102", True: "f5", None: "f6"}
+    for value, data in known.items():
+        assert cbor.encode(value).hex() == data and cbor.decode(bytes.fromhex(data)) == value
+    assert cbor.encode([1, [2, 3]]).hex() == "8201820203" and cbor.encode({"a": 1, "b": [2]}).hex() == "a26161016162" + "8102"
+    assert cbor.encode(cbor.Single(100000.0)).hex() == "fa47c35000"
+    assert cbor.decode(bytes.fromhex("9f018202039f0405ffff")) == [1, [2, 3], [4, 5]] and cbor.decode(bytes.fromhex("5f42010243030405ff")) == b"\1\2\3\4\5"
+    assert cbor.decode(bytes.fromhex("f93c00")) == 1.0 and cbor.decode(bytes.fromhex("c11a514b67b0")) == 1363896240
+    for bad in ("", "18", "62c3", "a16161", "ff", "8201", "0000", "1c", "61ff", "bf6161ff", "a18001"):
+        with pytest.raises(cbor.CborError):
+            cbor.decode(bytes.fromhex(bad))
+    with pytest.raises(cbor.CborError):
+        cbor.encode(object())
+
+
+def test_cbor_rows(spark):
+    from vexel.functions import cbor
+
+    df = spark.createDataFrame([("a", [1.5, 2.5], 3, None, ("x", True)), ("b", [], None, "t", ("y", None))], "id string, values array<float>, n long, s string, m struct<k: string, f: boolean>")
+    assert cbor.decode_rows(cbor.encode_rows(df), df.schema).collect() == df.collect()
+    more = cbor.decode_rows(cbor.encode_rows(df), "s string, other double, n double").collect()
+    assert [tuple(r) for r in more] == [(None, None, 3.0), ("t", None, None)]
+
+
+def test_upkeep():
+    called, failing = [], iter([False, True, False])
+    loop = maintenance.Loop(lambda: called.append(1) if not next(failing) else 1 / 0, 0.01)
+    with loop:
+        for _ in range(500):
+            if loop.runs >= 3:
+                break
+            time.sleep(0.01)
+    assert len(called) == 2 and loop.failures >= 1 and loop._thread is None
+    with pytest.raises(ValueError):
+        maintenance.Loop(print, 0)
+    alerts, heard = maintenance.Alerts(), []
+    alerts.on(heard.append)
+    assert [alerts.see({"status": x}) for x in ("ok", "warning", "warning", "ok", "ok")] == [0, 1, 1, 1, 0]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, _):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getConf = staticmethod(Conf)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(store.StoreError):
+        store.shared_folder(Session(), "x")
+
+
+def test_filters_refuse_what_they_do_not_know():
+    for bad in ({"a": {"$near": 1}}, {"$nor": []}, {"a": {}}, {"a": {"$gt": 1, "$gte": 1}}):
+        with pytest.raises(ValueError):
+            compile_filter(bad)

@@ -21,7 +21,7 @@ def test_without_sql(spark, name):
 
 def test_insert_checks_the_whole_corpus(spark):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
-    found = engine.QUERIES["insert_dedup_whole"](spark, SF).toPandas()
+    found = engine.QUERIES["insert_dedup"](spark, SF).toPandas()
     assert len(found) == n and found["status"].value_counts().to_dict() == {"duplicate id": n - n // 2, "ok": n // 2}
 
 

@@ -1,16 +1,20 @@
-"""A k-nearest-neighbour graph as an edge table (src, dst, distance), and its statistics."""
+"""A navigable graph as an edge table: (src, dst, distance), with layers where it is searched; and its statistics."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels, vectors
 from . import knn
 
 
-def knn_graph(corpus: DataFrame, m: int, metric: str = "l2") -> DataFrame:
-    """Edges from every row to its m nearest others."""
-    queries = corpus.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+def knn_graph(corpus: DataFrame, m: int, metric: str = "l2", sources: DataFrame | None = None) -> DataFrame:
+    """Edges from every row, or from those of sources alone, to its m nearest others."""
+    queries = (corpus if sources is None else sources).select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
     found = knn.nearest_batch(corpus, queries, m + 1, metric).where("query_id <> id")
     return knn.top_k_each(found.drop("rank"), "query_id", [F.col("distance"), F.col("id")], m).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "distance")
 
@@ -39,3 +43,90 @@ def graph_stats(edges: DataFrame) -> DataFrame:
 def level_distribution(levels: DataFrame) -> DataFrame:
     """levels (id, level): a node of level L is in the layers 0 to L. (layer, n)."""
     return levels.select(F.explode(F.sequence(F.lit(0), F.col("level"))).alias("layer")).groupBy("layer").agg(F.count("*").alias("n"))
+
+
+def level(id_: str | Column, m: int, seed: int = 0) -> Column:
+    """The highest layer of a row, by a hash of its id: a layer has one row in m of the one below."""
+    share = (F.xxhash64(F.lit(seed), id_) / F.lit(2.0**64)) + 0.5
+    return F.floor(-F.log(F.greatest(share, F.lit(1e-12))) / F.log(F.lit(float(m)))).cast("int")
+
+
+def build(corpus: DataFrame, m: int = 16, metric: str = "l2", seed: int = 0) -> DataFrame:
+    """(layer, src, dst, distance): in each layer every row of it has edges to the m nearest others there (2 m in layer 0), and those
+    rows edges back, cut to twice as many. Layers are few, each m times smaller than the one before; a layer of m rows at most is
+    the last."""
+    rows, out, layer = corpus.select("id", "embedding").withColumn("level", level("id", m, seed)), None, 0
+    while True:
+        here = rows.where(F.col("level") >= layer).select("id", "embedding")
+        n = here.count()
+        if n < 2:
+            break
+        own = min(n - 1, m if layer else 2 * m)
+        edges = knn_graph(here, own, metric)
+        both = prune(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")).distinct(), 2 * own)
+        both = both.select(F.lit(layer).alias("layer"), "src", "dst", "distance")
+        out = both if out is None else out.unionByName(both)
+        if n <= m:
+            break
+        layer += 1
+    if out is None:
+        kind = corpus.schema["id"].dataType.simpleString()
+        out = corpus.sparkSession.createDataFrame([], f"layer int, src {kind}, dst {kind}, distance double")
+    return out
+
+
+def entry_points(edges: DataFrame, n: int) -> list:
+    """Rows of the highest layer, n at most, by id."""
+    top = edges.agg(F.max("layer")).first()[0]
+    return [] if top is None else [r.src for r in edges.where(F.col("layer") == top).select("src").distinct().orderBy("src").limit(n).collect()]
+
+
+def search(edges: DataFrame, corpus: DataFrame, q: list[float], k: int, ef: int = 64, metric: str = "l2", starts: int = 16, most_steps: int = 64) -> DataFrame:
+    """About the k nearest rows (id, distance, score): a beam of the ef nearest rows known goes along the edges, layer by layer, until
+    none of it has a neighbour that is nearer. A step reads the edges and vectors of the ef rows at most that it opens, so no step scans
+    for more than ef times 4 m ids, and the driver holds those it has met. Both tables should be clustered by id (src), so that the scan
+    skips by statistics."""
+    spark, query, ef = corpus.sparkSession, np.array(q, float), max(ef, k)
+    known: dict = {}
+
+    def measure(ids: list) -> None:
+        new = [i for i in ids if i not in known]
+        if new:
+            rows = corpus.where(F.col("id").isin(new)).select("id", "embedding").collect()
+            known.update({r.id: float(kernels.distances(np.array([r.embedding], float), query, metric)[0]) for r in rows})
+
+    beam = entry_points(edges, starts)
+    measure(beam)
+    top = edges.agg(F.max("layer")).first()[0]
+    for layer in range(-1 if top is None else top, -1, -1):
+        width = ef if layer == 0 else min(ef, starts)
+        beam = heapq.nsmallest(width, [i for i in beam if i in known], key=lambda i: (known[i], i))
+        opened: set = set()
+        for _ in range(most_steps):
+            new = [i for i in beam if i not in opened]
+            if not new:
+                break
+            opened.update(new)
+            found = [r.dst for r in edges.where((F.col("layer") == layer) & F.col("src").isin(new)).select("dst").distinct().collect()]
+            measure(found)
+            beam = heapq.nsmallest(width, {*beam, *(i for i in found if i in known)}, key=lambda i: (known[i], i))
+    best = heapq.nsmallest(k, [i for i in beam if i in known], key=lambda i: (known[i], i))
+    kind = corpus.schema["id"].dataType.simpleString()
+    return spark.createDataFrame([(i, known[i]) for i in best], f"id {kind}, distance double").withColumn("score", vectors.score("distance")).orderBy("distance", "id")
+
+
+def insert(edges: DataFrame, corpus: DataFrame, new: DataFrame, m: int, metric: str = "l2") -> DataFrame:
+    """Edges (of one layer) with new rows: each gets edges to its m nearest of the old and new rows, and they edges back; every row
+    keeps its m shortest."""
+    both = corpus.select("id", "embedding").unionByName(new.select("id", "embedding"))
+    queries = new.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    found = knn.nearest_batch(both, queries, m + 1, metric).where("query_id <> id")
+    own = knn.top_k_each(found.drop("rank"), "query_id", [F.col("distance"), F.col("id")], m).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "distance")
+    back = own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")
+    return prune(edges.select("src", "dst", "distance").unionByName(own).unionByName(back).distinct(), m)
+
+
+def remove(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges without those from and to rows that are gone (id)."""
+    ids = gone.select(F.col("id").alias("_gone"))
+    return edges.join(ids, edges["src"] == ids["_gone"], "left_anti").join(ids, F.col("dst") == ids["_gone"], "left_anti")

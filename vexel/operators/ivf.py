@@ -5,6 +5,8 @@ The centroids are the model: k times dimensions numbers, held by the driver and
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,6 +25,10 @@ MODEL_BYTES = 64 << 20
 SAMPLE_EACH, SAMPLE_BYTES = 500, 256 << 20
 
 
+#: How files of centroids begin, and the version that is written.
+MAGIC, FORMAT = b"VXCE", 2
+
+
 class TrainingError(ValueError):
     pass
 
@@ -50,6 +56,28 @@ class Centroids:
     def table(self, spark) -> DataFrame:
         return spark.createDataFrame([(i, v.tolist()) for i, v in zip(self.ids, self.vectors)], "cluster_id int, vector array<double>")
 
+    def to_bytes(self) -> bytes:
+        """A header, ids and elements, little-endian, and a checksum."""
+        k, d = self.vectors.shape
+        head = MAGIC + struct.pack("<HHII", FORMAT, list(vectors.METRICS).index(self.metric), k, d)
+        body = head + np.array(self.ids, "<i4").tobytes() + self.vectors.astype("<f8").tobytes()
+        return body + struct.pack("<I", zlib.crc32(body))
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Centroids:
+        """Reads the present format, and 1, which had no ids and elements of 32 bits."""
+        if len(data) < 20 or data[:4] != MAGIC:
+            raise TrainingError("not centroids")
+        if zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
+            raise TrainingError("centroids that were damaged")
+        version, metric, k, d = struct.unpack_from("<HHII", data, 4)
+        if version not in (1, FORMAT):
+            raise TrainingError(f"centroids of version {version}")
+        name, at = list(vectors.METRICS)[metric], 16
+        ids = np.frombuffer(data, "<i4", k, at).tolist() if version > 1 else list(range(k))
+        at += 4 * k if version > 1 else 0
+        return cls(np.frombuffer(data, "<f8" if version > 1 else "<f4", k * d, at).astype(float).reshape(k, d), name, ids=ids)
+
     @classmethod
     def from_table(cls, df: DataFrame, metric: str = "l2") -> Centroids:
         rows = df.orderBy("cluster_id").collect()
@@ -304,6 +332,29 @@ def pq_train(corpus: DataFrame, subspaces: int, centroids: int, iterations: int
     return book
 
 
+def pq_encode(corpus: DataFrame, book: list[list[list[float]]], embedding: str = "embedding") -> DataFrame:
+    """Adds codes: for each subspace the number of the nearest of its centroids (ties to the smaller). The codebook goes to the tasks
+    once, so a plan doesn't grow with it; no shuffle."""
+    corpus = corpus.drop("codes")
+    names, at = corpus.columns, corpus.columns.index(embedding)
+    centers = [np.array(b, float) for b in book]
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        x, first, codes = kernels.matrix(b.column(at)), 0, []
+        for c in centers:
+            part = x[:, first : first + c.shape[1]]
+            first += c.shape[1]
+            least, which = np.full(len(x), np.inf), np.zeros(len(x), np.int32)
+            for i, q in enumerate(c):
+                d = kernels.distances(part, q, "l2")
+                nearer = d < least
+                least[nearer], which[nearer] = d[nearer], i
+            codes.append(which)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(np.stack(codes, axis=1).tolist(), pa.list_(pa.int32()))], names=[*names, "codes"])
+
+    return kernels.over_batches(corpus, run, T.StructType([*corpus.schema.fields, T.StructField("codes", T.ArrayType(T.IntegerType()))]))
+
+
 def balance_report(assigned: DataFrame, c: Centroids, threshold: float = 0.5) -> DataFrame:
     """One row: the largest and smallest cluster over the mean size, clusters beyond (1 + threshold) times it, and whether
     balancing is called for."""

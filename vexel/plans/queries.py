@@ -70,9 +70,9 @@ def corpus(spark: SparkSession, sf: str, metadata: bool = False, fields: bool =
         return out
     doc = F.struct(
         F.col("event_type").alias("category"), F.col("value").alias("views"), (F.col("value") > 100).alias("featured"),
-        F.array("event_type", F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("tags"), F.struct(F.col("user_id").alias("id"), "k").alias("user"),
+        F.array("event_type", F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("tags"), F.struct(F.col("user_id").alias("id"), F.col("k").cast("long").alias("k")).alias("user"),
     )
-    return out.withColumn("metadata", F.parse_json(F.to_json(doc)))
+    return out.withColumn("metadata", F.to_variant_object(doc))
 
 
 def q_of(spark: SparkSession, sf: str, id_: int = 0) -> list[float]:
@@ -353,12 +353,43 @@ def ivf_train(spark, sf):
     return ivf.cluster_sizes(ivf.assign(c, ivf.train(c, N_CLUSTERS, max_iter=5)))
 
 
-@query("ivf_balance")
+BALANCED = """, z AS (SELECT m.cluster_id, count(a.id) AS n FROM m LEFT JOIN a USING (cluster_id) GROUP BY m.cluster_id),
+o AS (SELECT cluster_id, n - floor(l)::BIGINT AS over FROM z, (SELECT sum(n) / count(*) * 1.1 AS l FROM z) WHERE n > floor(l)),
+t AS (SELECT a.*, row_number() OVER (PARTITION BY cluster_id ORDER BY cd DESC, id) <= over AS moved FROM a LEFT JOIN o USING (cluster_id)),
+s2 AS (SELECT id, cluster_id, row_number() OVER (PARTITION BY id ORDER BY cd, cluster_id) AS n FROM p),
+f AS (SELECT t.id, CASE WHEN moved THEN s2.cluster_id ELSE t.cluster_id END AS cluster_id, coalesce(moved, false) AS moved FROM t JOIN s2 ON t.id = s2.id AND s2.n = 2)
+SELECT cluster_id, count(*) AS n, count(*) FILTER (moved) AS moved FROM f GROUP BY cluster_id"""
+
+
+@query("ivf_balance", IVF + BALANCED)
 def ivf_balance(spark, sf):
     _, centroids, a = clustered(spark, sf)
     return ivf.balance(a, centroids, 0.1).groupBy("cluster_id").agg(F.count("*").alias("n"), F.count_if("moved").alias("moved"))
 
 
+def rounds_sql(distance: str, rounds: int) -> str:
+    """Lloyd's rounds from evenly spaced rows, and the clusters that they give."""
+    d = {"l2": "list_distance(embedding, vector)", "cosine": "1 - list_cosine_similarity(embedding, vector)"}[distance]
+    sql = f", o AS (SELECT id, embedding, row_number() OVER (ORDER BY id) - 1 AS n, count(*) OVER () AS total FROM c), m0 AS (SELECT (n // (total // {N_CLUSTERS}))::INT AS cluster_id, embedding AS vector FROM o WHERE n % (total // {N_CLUSTERS}) = 0 AND n // (total // {N_CLUSTERS}) < {N_CLUSTERS})"
+    for r in range(rounds + 1):
+        sql += f", a{r} AS (SELECT id, embedding, cluster_id FROM (SELECT id, embedding, cluster_id, row_number() OVER (PARTITION BY id ORDER BY {d}, cluster_id) AS n FROM c, m{r}) WHERE n = 1)"
+        if r < rounds:
+            sql += f", m{r + 1} AS (SELECT cluster_id, list(x ORDER BY i) AS vector FROM (SELECT cluster_id, i, avg(embedding[i + 1]) AS x FROM a{r}, range(64) r(i) GROUP BY cluster_id, i) GROUP BY cluster_id)"
+    return sql + f" SELECT cluster_id, count(*) AS n FROM a{rounds} GROUP BY cluster_id"
+
+
+@query("ivf_lloyd", rounds_sql("l2", 3))
+def ivf_lloyd(spark, sf):
+    """Training from a start without chance, three rounds."""
+    c = corpus(spark, sf)
+    return ivf.cluster_sizes(ivf.assign(c, ivf.lloyd(c, ivf.evenly_seeded(c, N_CLUSTERS, "l2"), max_iter=3, tol=0.0)))
+
+
+@query("video_cluster_rounds", rounds_sql("cosine", 3))
+def video_cluster_rounds(spark, sf):
+    return ivf.cluster_sizes(ivf.cluster_evenly(corpus(spark, sf), N_CLUSTERS, max_iter=3)[1])
+
+
 @query("video_cluster")
 def video_cluster(spark, sf):
     return ivf.cluster_sizes(ivf.cluster_evenly(corpus(spark, sf), N_CLUSTERS)[1])
@@ -397,7 +428,7 @@ def codebook(c: DataFrame, subspaces: int = 4, centroids: int = 8) -> list[list[
 @query("pq_encode", ", b AS (SELECT id AS code, embedding AS v FROM c WHERE id < 8), x AS (SELECT c.id, s, code, row_number() OVER (PARTITION BY c.id, s ORDER BY list_distance(c.embedding[s * 16 + 1 : s * 16 + 16], v[s * 16 + 1 : s * 16 + 16]), code) AS n FROM c, b, range(4) r(s)) SELECT id, s::INT AS subspace, code::INT AS code FROM x WHERE n = 1")
 def pq_encode(spark, sf):
     c = corpus(spark, sf)
-    return c.select("id", F.posexplode(vectors.pq_encode("embedding", codebook(c), 64)).alias("subspace", "code"))
+    return ivf.pq_encode(c, codebook(c)).select("id", F.posexplode("codes").alias("subspace", "code"))
 
 
 @query("pq_error", ", b AS (SELECT id AS code, embedding AS v FROM c WHERE id < 8), x AS (SELECT c.id, s, min(list_distance(c.embedding[s * 16 + 1 : s * 16 + 16], v[s * 16 + 1 : s * 16 + 16])) AS e FROM c, b, range(4) r(s) GROUP BY c.id, s) SELECT id, round(sqrt(sum(e * e)), 6) + 0.0 AS err FROM x GROUP BY id")
@@ -552,15 +583,8 @@ def running_means(spark, sf):
 # --- changes
 
 
-@query("insert_dedup", "SELECT id, CASE WHEN id < 100 THEN 'duplicate id' ELSE 'ok' END AS status FROM c WHERE id < 200")
+@query("insert_dedup", "SELECT CASE WHEN id % 2 = 0 THEN id ELSE -1 - id END AS id, CASE WHEN id % 2 = 0 THEN 'duplicate id' ELSE 'ok' END AS status FROM c")
 def insert_dedup(spark, sf):
-    c = corpus(spark, sf).select("id", "embedding")
-    good, bad = dml.split_insert(c.where("id < 100"), c.where("id < 200"), 64)
-    return good.select("id", F.lit("ok").alias("status")).union(bad.select("id", F.col("reason").alias("status")))
-
-
-@query("insert_dedup_whole", "SELECT CASE WHEN id % 2 = 0 THEN id ELSE -1 - id END AS id, CASE WHEN id % 2 = 0 THEN 'duplicate id' ELSE 'ok' END AS status FROM c")
-def insert_dedup_whole(spark, sf):
     """All rows exist; the batch has them again, every other one with an id that is new."""
     c = corpus(spark, sf).select("id", "embedding")
     good, bad = dml.split_insert(c, c.withColumn("id", F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(-1 - F.col("id"))), 64)
@@ -667,8 +691,7 @@ def compact(spark, sf):
 @query("chunk_overlap", ", r AS (SELECT id // 100 AS chunk, min(label) AS a, max(label) AS b FROM c GROUP BY 1) SELECT x.chunk, y.chunk AS other FROM r x JOIN r y ON x.chunk < y.chunk WHERE x.a <= y.b AND y.a <= x.b")
 def chunk_overlap(spark, sf):
     r = corpus(spark, sf).groupBy(F.floor(F.col("id") / 100).alias("chunk")).agg(F.min("label").alias("a"), F.max("label").alias("b"))
-    x, y = r, r.select(F.col("chunk").alias("other"), F.col("a").alias("c"), F.col("b").alias("d"))
-    return x.join(y, (F.col("chunk") < F.col("other")) & store.overlaps(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).select("chunk", "other")
+    return store.overlapping(r, "chunk", "a", "b").select("chunk", "other")
 
 
 @query("backup_increment", f"SELECT id FROM c WHERE ts > TIMESTAMP '{BEFORE}'")
@@ -700,7 +723,8 @@ def graph_stats(spark, sf):
 @query("graph_hop", ", x AS (SELECT a.id AS src, b.id AS dst, list_distance(a.embedding, b.embedding) AS distance FROM c a, c b WHERE a.id <> b.id AND a.id < 5), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS n FROM x) SELECT DISTINCT dst AS id FROM r WHERE n <= 3")
 def graph_hop(spark, sf):
     c = corpus(spark, sf)
-    return graph.neighbours(graph.knn_graph(c, 3), c.where("id < 5").select("id"))
+    seeds = c.where("id < 5")
+    return graph.neighbours(graph.knn_graph(c, 3, sources=seeds), seeds.select("id"))
 
 
 @query("level_distribution", ", l AS (SELECT id, id % 4 AS level FROM c) SELECT i::INT AS layer, count(*) AS n FROM l, range(4) r(i) WHERE i <= level GROUP BY i")
@@ -733,10 +757,39 @@ def stream_retier(spark, sf):
     return spark.read.parquet(f"{path}/out").select("id", "tier")
 
 
-@query("stream_changes", f"SELECT CASE WHEN id < 10 THEN 'deleted' WHEN id >= 490 THEN 'inserted' ELSE 'migrated' END AS type, id FROM c WHERE id < 10 OR id >= 490 OR (ts > TIMESTAMP '{BEFORE}' - INTERVAL 7 DAY AND NOT {RECENT})")
-def stream_changes(spark, sf):
+@query("changes", f"SELECT CASE WHEN id % 50 = 0 THEN 'deleted' WHEN id % 50 = 1 THEN 'inserted' WHEN id % 50 = 2 THEN 'updated' ELSE 'migrated' END AS type, id FROM c WHERE id % 50 < 3 OR (ts > TIMESTAMP '{BEFORE}' - INTERVAL 7 DAY AND NOT {RECENT})")
+def changes(spark, sf):
+    """Two versions of the whole corpus: of 50 rows one is only in the first, one only in the second, and one has another vector there."""
     c = corpus(spark, sf)
-    return streams.changes(c.where("id < 490"), c.where("id >= 10"), BEFORE, AS_OF).select("type", "id")
+    after = c.where("id % 50 <> 0").withColumn("embedding", F.when(F.col("id") % 50 == 2, F.transform("embedding", lambda x: x + 1)).otherwise(F.col("embedding")))
+    return streams.changes(c.where("id % 50 <> 1"), after, BEFORE, AS_OF).select("type", "id")
+
+
+EDITS = "SELECT id, CASE WHEN id % 4 = 0 THEN 'deleted' WHEN id % 4 = 1 THEN 'updated' END AS second FROM c"
+
+
+@query("stream_changes", f", e AS ({EDITS}) SELECT 'inserted' AS type, id, 1::BIGINT AS version FROM e UNION ALL SELECT second, id, 2::BIGINT FROM e WHERE second IS NOT NULL")
+def stream_changes(spark, sf):
+    """A stream of edits: first every row, then of four rows a deletion, a new vector, the same vector and an edit that is late."""
+    c = corpus(spark, sf).select("id", "embedding", "ts")
+    first = c.withColumns({"deleted": F.lit(False), "version": F.lit(1).cast("long")})
+    kind = F.col("id") % 4
+    second = first.withColumns({"deleted": kind == 0, "version": F.when(kind == 3, 0).otherwise(2).cast("long"), "embedding": F.when((kind == 1) | (kind == 3), F.transform("embedding", lambda x: x + 1)).otherwise(F.col("embedding"))})
+    path = streams.scratch(spark)
+    for rows in (first, second):
+        rows.repartition(2, "id").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+        streams.drained(streams.change_feed(stream, path, f"{path}/checkpoint"))
+    return streams.read_feed(spark, path).select("type", "id", "version")
+
+
+@query("stream_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", base=False)
+def stream_windows(spark, sf):
+    """The same counts from a stream; the last state of each window."""
+    stream, path = stream_of(spark, table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp"), "event_type", "value"))
+    name = f"windows_{path[-32:]}"
+    streams.drained(streams.windowed_counts(stream, late="3650 days").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start())
+    return spark.table(name).withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 4)})
 
 
 @query("windowed_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", base=False)
@@ -754,3 +807,6 @@ def filtered_search(spark, sf):
     return out(knn.nearest(c, q_of(spark, sf), K, where=where), "event_type", "k")
 
 
+
+
+from . import session_queries  # noqa: E402, F401  they register themselves

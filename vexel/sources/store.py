@@ -192,6 +192,14 @@ def overlaps(first_a: Column, last_a: Column, first_b: Column, last_b: Column) -
     return (first_a <= last_b) & (first_b <= last_a)
 
 
+def overlapping(ranges: DataFrame, key: str, first: str, last: str) -> DataFrame:
+    """(key, other): pairs of ranges (whole numbers) with a place in common, each once, the smaller key first. Ranges meet at the places
+    that they cover, so nothing is compared with what it has no place in common with."""
+    at = ranges.select(F.col(key).alias("x"), F.explode(F.sequence(F.col(first), F.col(last))).alias("at"))
+    pairs = at.join(at.select(F.col("x").alias("y"), "at"), "at").where("x < y").select("x", "y").distinct()
+    return pairs.select(F.col("x").alias(key), F.col("y").alias("other"))
+
+
 def validate_manifest(text: str) -> dict:
     try:
         m = json.loads(text)
@@ -216,15 +224,16 @@ def content_hash(df: DataFrame) -> tuple[int, int]:
     return int(n), int(h)
 
 
-def save(corpus: DataFrame, path: str, tombstones: DataFrame | None = None, centroids: DataFrame | None = None, schema: dict | None = None, chunk_rows: int = CHUNK_ROWS, partition_by: list[str] | None = None) -> dict:
+def save(corpus: DataFrame, path: str, tombstones: DataFrame | None = None, centroids: DataFrame | None = None, schema: dict | None = None, chunk_rows: int = CHUNK_ROWS, partition_by: list[str] | None = None, single: bool = False) -> dict:
     """Writes a new version of the corpus and then the manifest that names it: until then readers see the old one.
 
-    partition_by: columns such as cluster_id, whose values a search then reads alone. Files have chunk_rows rows at most."""
+    partition_by: columns such as cluster_id, whose values a search then reads alone. Files have chunk_rows rows at most. single: one
+    file of all rows, written by one task, for a corpus that is small enough for it."""
     if chunk_rows < 1:
         raise StoreError("chunk_rows is 1 at least")
     spark, store, version = corpus.sparkSession, BlobStore(corpus.sparkSession, path), uuid.uuid4().hex
     base = f"{path.rstrip('/')}/data-{version}"
-    writer = corpus.write.option("compression", "zstd").option("maxRecordsPerFile", chunk_rows)
+    writer = (corpus.coalesce(1).write if single else corpus.write.option("maxRecordsPerFile", chunk_rows)).option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{base}/vectors")
     if tombstones is not None:
         tombstones.select("id").distinct().write.parquet(f"{base}/tombstones")
