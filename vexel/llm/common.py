@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
@@ -164,11 +165,25 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str
 _STATE: dict = {}
 
 
+def tidy() -> None:
+    """Gives memory that a Python worker no longer uses back to the system; workers live on, and else keep the most they ever had."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def worker_state(key, build=None):
     """What a Python worker keeps from task to task: one thing, that of the operator it works for now. Another operator's is
     dropped, so the memories of a pipeline's stages don't add up. key None: keep nothing."""
     if key not in _STATE:
-        _STATE.clear()
+        if _STATE:
+            _STATE.clear()
+            tidy()
         if key is not None:
             _STATE[key] = build()
     return _STATE.get(key)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import slices
-from .common import release, remember, remembered, shared_dir, sweep, worker_state, written
+from .common import release, remember, remembered, shared_dir, sweep, tidy, worker_state, written
 from .tokens import mix
 
 #: Bytes of text in a pack (a longer text is a pack of its own), and of the packs that share a bucket, about.
@@ -295,6 +295,7 @@ class Packs:
                 for row in batch.to_pylist():
                     replies = [{x["part"]: x["answer"] for x in row[a] or []} for a in answers]
                     yield from fn(from_ipc(row["data"]), row["pack"], *replies)
+            tidy()
 
         return df.mapInArrow(run, schema)
 
