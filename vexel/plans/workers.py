@@ -11,9 +11,17 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Bytes of a batch that goes to a Python worker, where the session doesn't say otherwise: kernels take a megabyte or two at a time,
+#: and what the executor holds of a batch outside its heap is a multiple of it.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+DEFAULT, BATCH_BYTES = "67108864b", "8m"
+
+
 def on_workers(spark: SparkSession) -> None:
     """Sends the package with the context, once, unless the workers find it by themselves: in their folder or on PYTHONPATH."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, DEFAULT) == DEFAULT:
+        spark.conf.set(BATCH, BATCH_BYTES)
     found = [os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
     if ROOT in found or getattr(sc, "_vexel_sent", False):
         return
