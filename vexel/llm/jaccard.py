@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import slices
-from .common import release, salted_join, written
+from .common import release, remembered, salted_join, sweep, written
 from .graph import components
 from .packs import Counts, Messages, Packs, Replies, answers_to, arrays, by_part, columns, distinct, expand, keyed, squeeze
 from .tokens import Words, fits, mix, window_hashes
@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     spark = docs.sparkSession
     docs = docs.drop("n_shingles", "component_id", "n_links", "representative")
     packs = Packs(docs, text, "jaccard")
-    radix = packs.radix
+    radix, before = packs.radix, remembered()
 
     def sets_of(batch: pa.RecordBatch) -> Sets:
         return Sets([x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()], size)
@@ -307,6 +307,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     chosen = ((F.col("pack") == F.col("first_pack")) & (F.col("row") == F.col("first_row"))).alias("chosen")
     answers = written(salted_join(rows, classes, "key", "pack").select("pack", "row", "n", "component", "links", chosen).groupBy("pack").applyInArrow(answer, "pack long, part int, answer binary"), "jaccard-answers")
     release(spark)
+    sweep(spark, before, keep=1)  # what led to the answers
 
     def finish(batch: pa.RecordBatch, reply: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(id_col).to_pylist()
