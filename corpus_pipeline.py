@@ -51,7 +51,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: every copy that the mixture takes is a row, in the order of its training position. A null source is a source;
     repeated rows are taken each by itself; a document without words is taken as often as its whole source is."""
-    return mixing.positions(mixing.mix(docs.select(*COLUMNS))).select(*COLUMNS)
+    # written between the join and the sort, so that the texts are in one shuffle at a time
+    return mixing.positions(written(mixing.mix(docs.select(*COLUMNS)), "mixed")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
