@@ -71,15 +71,47 @@ def remembered() -> int:
 def sweep(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
     """Deletes the tables that this process wrote to the shared folder after the first since, but for the last keep;
     results that read them must have been taken before."""
-    n, last = 0, [_WRITTEN.pop() for _ in range(keep)]
-    while len(_WRITTEN) > since:
-        name, table = _WRITTEN.pop()
-        if table:
-            spark.sql(f"DROP TABLE IF EXISTS {table}")
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    last = [_WRITTEN.pop() for _ in range(keep)]
+    gone = _WRITTEN[since:]
+    del _WRITTEN[since:]
     _WRITTEN.extend(reversed(last))
-    return n
+    return sum(drop(spark, *x) for x in gone)
+
+
+def sweep_unread(spark: SparkSession, tables: list[tuple[str, str | None]], reader: DataFrame) -> list[tuple[str, str | None]]:
+    """Deletes those of the tables (as in written_since()) that reader doesn't read, and returns the others: all, if reader reads
+    anything but files, since what that depends on can't be told."""
+    read = folders_of(reader)
+    stay = [x for x in tables if read is None or os.path.basename(x[0]) in read]
+    for x in tables:
+        if x not in stay and x in _WRITTEN:
+            _WRITTEN.remove(x)
+            drop(spark, *x)
+    return stay
+
+
+def written_since(n: int) -> list[tuple[str, str | None]]:
+    """The tables that this process wrote after the first n."""
+    return _WRITTEN[n:]
+
+
+def drop(spark: SparkSession, folder: str, table: str | None) -> bool:
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+
+
+def folders_of(df: DataFrame) -> set[str] | None:
+    """Last names of the folders and files that df's plan reads; None if it reads something else. Plans are looked at, not files."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            return None
+        roots = leaf.relation().location().rootPaths()
+        out |= {roots.apply(k).getName() for k in range(roots.size())}
+    return out
 
 
 def release(spark: SparkSession) -> None:
