@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vexel.functions.filters import compile_filter
 from vexel.operators import dml, graph, hybrid, ivf, knn, maintenance, rank, stats
 from vexel.plans.session import SearchCache, SessionError, VectorSession
-from vexel.sources import store
+from vexel.sources import bodies, graphs, store
 from vexel.sources.clusters import ClusterCache
 from vexel.streaming import streams
 
@@ -464,3 +464,39 @@ def test_filters_refuse_what_they_do_not_know():
     for bad in ({"a": {"$near": 1}}, {"$nor": []}, {"a": {}}, {"a": {"$gt": 1, "$gte": 1}}):
         with pytest.raises(ValueError):
             compile_filter(bad)
+
+
+def test_bodies_that_are_no_rows(spark):
+    texts = [None, "", "  ", "{", "[1]", "null", '{"vector": [1]}', '{"id": "a", "vector": [1, 2], "metadata": {"k": 1}}', '{"id": "b"}', '{"id": "c", "vector": "x"}', '{"id": "' + "y" * 100 + '"}']
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, body string")
+    rows, refused = bodies.parse(df, most_bytes=80)
+    found = {r.n: (r.id, r.embedding, None if r.metadata is None else r.metadata.toPython()) for r in rows.collect()}
+    assert found == {7: ("a", [1.0, 2.0], {"k": 1}), 8: ("b", None, None)}
+    said = {r.n: r.reason for r in refused.collect()}
+    assert {n: said[n] for n in (0, 1, 2, 3, 4, 6, 9, 10)} == {0: "empty", 1: "empty", 2: "empty", 3: "malformed", 4: "malformed", 6: "no id", 9: "malformed", 10: "too large"}
+    assert said[5] in ("malformed", "no id") and len(said) + len(found) == len(texts)
+
+
+def test_saved_graph(spark, tmp_path):
+    path, kind = f"file://{tmp_path}/graph", "layer int, src string, dst string, distance double"
+    edges = spark.createDataFrame([(0, "a", "b", 1.0), (0, "b", "a", 1.0), (1, "a", "b", 1.0)], kind)
+    with pytest.raises(store.StoreError, match="no graph"):
+        graphs.load(spark, path)
+    graphs.save(edges, path)
+    graphs.save_changes(spark.createDataFrame([(0, "a", "c", 0.5), (0, "b", "c", 9.0)], kind), spark.createDataFrame([("a",)], "id string"), path)
+    want = [(0, "a", "c", 0.5), (0, "b", "a", 1.0)]  # b isn't among the nodes that changed
+    assert sorted(map(tuple, graphs.load(spark, path, verify=True).collect())) == want
+    m = graphs.merge(spark, path)
+    assert m["changes"] == [] and sorted(map(tuple, graphs.load(spark, path).collect())) == want and graphs.verify(spark, path) == {"valid": True, "errors": []}
+    assert {k.split("/")[0] for k in store.BlobStore(spark, path).list() if "/" in k} == {m["base"]["data"]}
+    graphs.save(edges.limit(0), path)
+    assert graphs.load(spark, path, verify=True).count() == 0
+
+
+def test_a_loop_starts_again():
+    ran = []
+    loop = maintenance.Loop(lambda: ran.append(1), 3600)
+    for n in (1, 2):
+        loop.start(now=True)
+        loop.stop()
+        assert loop.runs == len(ran) == n

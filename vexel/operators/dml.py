@@ -23,6 +23,13 @@ def split_insert(existing: DataFrame, batch: DataFrame, dimensions: int | None =
     return rows.where("reason IS NULL").drop("reason"), rows.where("reason IS NOT NULL")
 
 
+def insert_into_chunk(existing: DataFrame, batch: DataFrame, chunk: str, dimensions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """split_insert() of rows that all refer to a chunk: what is appended has its name in chunk, by which the table should be partitioned,
+    so that a chunk is read alone."""
+    rows, refused = split_insert(existing, batch.drop("chunk"), dimensions)
+    return rows.withColumn("chunk", F.lit(chunk)), refused
+
+
 def active(corpus: DataFrame, tombstones: DataFrame) -> DataFrame:
     return corpus.join(tombstones.select("id"), "id", "left_anti")
 

@@ -35,8 +35,12 @@ class Loop:
             except Exception as e:  # the next run may do better
                 self.failures, self.error = self.failures + 1, e
 
-    def start(self) -> Loop:
+    def start(self, now: bool = False) -> Loop:
+        """now: the first step is done before this returns, not when the interval has passed. A loop may be started again."""
         if self._thread is None:
+            self._stop.clear()
+            if now:
+                self.run_once()
             self._thread = threading.Thread(target=self._go, daemon=True)
             self._thread.start()
         return self

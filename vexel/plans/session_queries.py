@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cbor
-from ..operators import graph, hybrid, ivf, knn, maintenance, stats
-from ..sources import store
+from ..operators import dml, graph, hybrid, ivf, knn, maintenance, stats
+from ..sources import bodies, graphs, store
 from ..sources.clusters import ClusterCache
 from ..sources.wrappers import BatchingStore, MemoryStore, RetryingStore, open_store
 from ..streaming import streams
@@ -165,6 +165,23 @@ def suggest_config(spark, sf):
     return spark.createDataFrame([(k, p["n_probe"], p["ef"], p["search_recent"]) for k, p in got], "k int, n_probe int, ef int, search_recent boolean")
 
 
+@query("request_insert", "SELECT CASE id % 10 WHEN 3 THEN 'malformed' WHEN 4 THEN 'too large' WHEN 5 THEN 'no id' WHEN 6 THEN 'invalid vector' ELSE 'added' END AS outcome, count(*) AS n FROM c GROUP BY 1")
+def request_insert(spark, sf):
+    """Request bodies, a line each, some of them broken, too large, without an id or with a vector of another length."""
+    kind, path = F.col("id") % 10, streams.scratch(spark)
+    vector = F.when(kind == 6, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
+    doc = F.struct(F.when(kind != 5, F.concat(F.lit("v"), "id")).alias("id"), vector.alias("vector"), F.struct(F.when(kind == 4, F.repeat(F.lit("x"), 20_000)).alias("note"), kind.alias("kind")).alias("metadata"))
+    body = F.to_json(doc)
+    c = corpus(spark, sf, fields=True)
+    c.select(F.when(kind == 3, F.substring(body, 1, 40)).otherwise(body).alias("value")).write.text(path)
+    found, refused = bodies.parse(bodies.read_lines(spark, path), most_bytes=16_384)
+    s = VectorSession(spark, as_of=AS_OF)
+    done = s.add(found.withColumn("ts", F.lit(AS_OF).cast("timestamp")).where("size(embedding) = 64"))["added"]
+    short = s.add(found.withColumn("ts", F.lit(AS_OF).cast("timestamp")).where("size(embedding) <> 64"))["failures"]
+    said = refused.select(F.col("reason").alias("outcome")).unionByName(short.select(F.col("reason").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("n"))
+    return said.union(spark.createDataFrame([("added", done)], "outcome string, n long"))
+
+
 # --- training
 
 
@@ -391,6 +408,27 @@ def scheduled(spark, sf):
     return spark.createDataFrame([(loop.runs, loop.failures, done)], "runs long, failures long, migrated long")
 
 
+@query("auto_migration", "SELECT 1::BIGINT AS runs, count(*) AS migrated FROM (SELECT id FROM c WHERE ts > TIMESTAMP '" + BEFORE + f"' - INTERVAL 7 DAY AND NOT {RECENT})")
+def auto_migration(spark, sf):
+    """Switched on, aged rows are migrated at once; switched off, no more."""
+    loop = maintenance.Loop(lambda: hybrid.migration(corpus(spark, sf), BEFORE, AS_OF).count(), 3600).start(now=True)
+    loop.stop()
+    return spark.createDataFrame([(loop.runs, loop.last)], "runs long, migrated long")
+
+
+@query("insert_chunk", "SELECT id, 'second' AS chunk, 'added' AS outcome FROM c WHERE id % 2 = 1 UNION ALL SELECT id, 'first', 'duplicate id' FROM c WHERE id % 2 = 0")
+def insert_chunk(spark, sf):
+    """All rows inserted into a chunk, half of them there already in another; the table is read again by chunk."""
+    c, path = corpus(spark, sf), streams.scratch(spark)
+    c.where("id % 2 = 0").withColumn("chunk", F.lit("first")).write.partitionBy("chunk").parquet(path)
+    added, refused = dml.insert_into_chunk(spark.read.parquet(path), c, "second")
+    refused = refused.select("id", "reason").join(spark.read.parquet(path).select("id", "chunk"), "id").select("id", "chunk", F.col("reason").alias("outcome"))
+    refused.write.parquet(f"{path}-refused")
+    added.write.partitionBy("chunk").mode("append").parquet(path)
+    new = spark.read.parquet(path).where("chunk = 'second'").select("id", "chunk", F.lit("added").alias("outcome"))
+    return new.unionByName(spark.read.parquet(f"{path}-refused"))
+
+
 # --- the navigable graph
 
 
@@ -423,3 +461,32 @@ def graph_delete(spark, sf):
     c, path = corpus(spark, sf), streams.scratch(spark)
     graph.knn_graph(c, 3).write.parquet(f"{path}/edges")
     return graph.remove(spark.read.parquet(f"{path}/edges"), c.where(DEAD).select("id")).select("src", "dst")
+
+
+@query("graph_saved", ", x AS (SELECT a.id AS src, b.id AS dst, list_distance(a.embedding, b.embedding) AS distance FROM c a, c b WHERE a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS n FROM x) SELECT 0 AS layer, src, dst FROM r WHERE n <= CASE src % 5 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 3 END")
+def graph_saved(spark, sf):
+    """A graph saved, changed at some nodes (cut, or left without edges), merged, copied, and loaded from the copy."""
+    c, path = corpus(spark, sf), streams.scratch(spark)
+    edges = graph.knn_graph(c, 3)
+    graphs.save(edges, path)
+    graphs.save_changes(graph.prune(graphs.load(spark, path).where("src % 5 = 0"), 2), c.where("id % 5 = 0"), path)
+    graphs.save_changes(edges.limit(0), c.where("id % 5 = 1"), path)
+    graphs.copy(spark, path, f"{path}-copy")
+    graphs.merge(spark, f"{path}-copy")
+    return graphs.load(spark, f"{path}-copy", verify=True).select("layer", "src", "dst")
+
+
+@query("graph_verify", "SELECT true AS whole, false AS cut, true AS refused")
+def graph_verify(spark, sf):
+    """A saved graph, the same without one of its files, and one of a version that isn't known."""
+    c, path = corpus(spark, sf), streams.scratch(spark)
+    m = graphs.save(graph.knn_graph(c, 3), path)
+    whole, blobs = graphs.verify(spark, path)["valid"], store.BlobStore(spark, path)
+    blobs.delete(next(k for k in blobs.list(m["base"]["data"]) if k.endswith(".parquet")))
+    cut = graphs.verify(spark, path)["valid"]
+    blobs.put(graphs.MANIFEST, b'{"version": 2}')
+    try:
+        refused = graphs.load(spark, path) is None
+    except store.StoreError:
+        refused = True
+    return spark.createDataFrame([(whole, cut, refused)], "whole boolean, cut boolean, refused boolean")
