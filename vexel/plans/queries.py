@@ -7,6 +7,7 @@ Queries read whole tables. Query vectors are those of the rows with the smallest
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -33,12 +34,20 @@ d AS (SELECT c.*, list_distance(c.embedding, q0.q) AS distance, list_cosine_simi
 """
 
 
+#: Schemas of the tables that the query at work has opened: their footers are read once in a query.
+_OPENED = threading.local()
+
+
 def query(name: str, sql: str | None = None, base: bool = True):
     def add(fn):
         @wraps(fn)
         def run(spark: SparkSession, sf: str) -> DataFrame:
             on_workers(spark)
-            return fn(spark, sf)
+            _OPENED.schemas = {}
+            try:
+                return fn(spark, sf)
+            finally:
+                _OPENED.schemas = None
 
         QUERIES[name] = run
         if sql is not None:
@@ -53,7 +62,14 @@ def r6(x: Column | str) -> Column:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path, known = f"{sf}/{name}.parquet", getattr(_OPENED, "schemas", None)
+    if known is None:
+        return spark.read.parquet(path)
+    if path in known:
+        return spark.read.schema(known[path]).parquet(path)
+    out = spark.read.parquet(path)
+    known[path] = out.schema
+    return out
 
 
 def corpus(spark: SparkSession, sf: str, metadata: bool = False, fields: bool = False) -> DataFrame:
