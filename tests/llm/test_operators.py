@@ -421,6 +421,59 @@ def test_few_labels_keep_the_fixed_bands(spark):
     assert quality.fit_bands(docs, labels.limit(0), quality.vocabularies()) == (quality.BANDS, {})
 
 
+def test_bands_are_of_all_labelled_rows(spark):
+    """More labelled rows than any sample that was ever drawn, against numpy over all of them; with poor, unlabelled and failing rows,
+    null ids, ids that repeat, and a script with too few."""
+    rnd = random.Random(11)
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("", "n", "lor", "mentation", "qx")]
+    text = lambda n, of: " ".join(rnd.choice(of) for _ in range(n))
+    rows = [(k, text(rnd.choice((55, 60, 90, 300)), rnd.sample(words, rnd.randrange(30, 200))), 1) for k in range(9500)]
+    rows += [(20_000 + k, text(60, words[:9]), 0) for k in range(50)] + [(30_000 + k, text(60, words[:9]), None) for k in range(50)] + [(40_000 + k, "a b c", 1) for k in range(50)]
+    rows += [(50_000 + k, text(60, [f"слово{i}" for i in range(90)]), 1) for k in range(150)] + [(None, text(60, words), 1)] * 2
+    again = [(k, text(70, words), 1) for k in range(30)]
+    docs = spark.createDataFrame([r[:2] for r in rows + again], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] + [(60, 0), (61, 1), (70_000, 1)], "doc_id long, quality int").repartition(3)
+    bands, floors = quality.fit_bands(docs, labels, quality.vocabularies())
+    good = [r for r in rows + again if r[0] is not None and r[0] < 20_000 and r[0] != 60]
+    found = quality.Fertility(quality.vocabularies()).measure([t.encode() for _, t, _ in good])
+    least = {}
+    for i, n, repeated, *m in zip([r[0] for r in good], found[0], found[4], found[5], found[6], found[7], found[8], found[10]):
+        if not (n < 50 or 100 * repeated > 50 * n):
+            least[i] = min(least.get(i, m), m)
+    tokens, chars, share, bits, second = np.array(list(least.values()), float).T
+    x = np.log2(tokens)
+    knots = [k for k in quality.KNOTS if min((x < k).sum(), (x > k).sum()) >= quality.LEAST_BESIDE]
+    basis = lambda v: np.column_stack([np.ones(len(v)), v, *[np.maximum(0.0, v - k) for k in knots]])
+    line = np.linalg.lstsq(basis(x), bits, rcond=None)[0]
+    at = np.array([0.0, *knots, x.max()])
+    floor = basis(at) @ line + np.quantile(bits - basis(x) @ line, quality.TAIL)
+    around = lambda v: [(1 + quality.CHARS_SLACK) * a - quality.CHARS_SLACK * b for a, b in (np.quantile(v, [quality.TAIL, 1 - quality.TAIL]), np.quantile(v, [1 - quality.TAIL, quality.TAIL]))]
+    most = min(quality.BANDS["latin"][2], np.quantile(share, 1 - quality.TAIL) + quality.BYTE_SLACK)
+    assert len(least) > 9000 and knots and set(floors) == {"latin"} and bands["cyrillic"] == quality.BANDS["cyrillic"]
+    assert floors["latin"][0] == pytest.approx(at.tolist()) and floors["latin"][1] == pytest.approx(floor.tolist(), abs=1e-7)
+    assert bands["latin"] == pytest.approx((*around(chars), most, floor[-1], *around(second)), abs=1e-7)
+    assert quality.fit_bands(docs.repartition(7), labels.repartition(2), quality.vocabularies()) == (bands, floors)
+
+
+def test_quantiles_are_exact(spark):
+    rnd = np.random.default_rng(4)
+    data = {("a", "x"): rnd.normal(size=5000), ("a", "y"): np.round(rnd.normal(size=3001), 1), ("b", "x"): np.array([7.0]), ("b", "y"): np.concatenate([[-1e9, 1e9, 5e-324], np.zeros(400), rnd.random(2000)])}
+    shares = {"x": [0.0, 0.001, 0.5, 0.999, 1.0], "y": [0.001, 0.37]}
+    df = spark.createDataFrame([(s, n, float(v)) for (s, n), values in data.items() for v in values], "script string, name string, value double")
+    got = quality.quantiles(df, shares)
+    assert set(got) == set(data) and quality.quantiles(df.limit(0), shares) == {}
+    for (s, n), values in data.items():
+        assert got[s, n] == pytest.approx(np.quantile(values, shares[n]).tolist(), rel=1e-12)
+
+
+def test_quality_query_is_that_of_the_operator(spark):
+    """What is measured once and written gives the verdicts of texts that are scored."""
+    sf = SF.replace("sf0.001", "sf0.1")
+    scored = quality.fitted(spark, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), sf).drop("text")
+    got = quality.op6_quality(spark, sf)
+    assert got.columns == scored.columns and sorted(map(repr, got.collect())) == sorted(map(repr, scored.collect()))
+
+
 # --- 7
 
 

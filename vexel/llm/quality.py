@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations_with_replacement
 from typing import NamedTuple
 
 import numpy as np
@@ -13,7 +16,7 @@ from pyspark.sql import types as T
 
 from .batches import slices
 from .bpe import read_ranks, vocabulary
-from .common import worker_state
+from .common import remembered, salted_join, sweep, worker_state, written
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -49,14 +52,16 @@ BANDS = {
 }
 #: A short text can't show its entropy: the bound is lower by so many bits for each halving of its tokens below FULL_TOKENS.
 FULL_TOKENS, BITS_A_HALVING = 1000, 0.28
-#: Labelled rows that bands are fitted on at most (drawn by a hash of the id), and good ones of a script that it takes at least.
-MAX_LABELLED, LEAST_LABELLED = 8000, 200
+#: Labelled good rows of a script that bands are fitted on at least; at most: all.
+LEAST_LABELLED = 200
 #: Share of a script's good rows that may lie beyond each fitted bound.
 TAIL = 0.001
 #: log2 of the token counts at which the fitted line of entropy against length may bend, where so many rows lie on both sides.
 KNOTS, LEAST_BESIDE = (8.0, 10.0, 12.0), 20
 #: What fitted bounds leave beyond the good rows: a share of their range of characters per token, and a byte-fallback share.
 CHARS_SLACK, BYTE_SLACK = 0.25, 0.05
+#: Cells that a pass of quantiles() cuts an interval into, and the type of which sums are exact, in whatever order.
+CELLS, EXACT = 1024, "decimal(28,15)"
 #: Words whose pieces a worker remembers; emptied when full.
 REMEMBERED = 150_000
 
@@ -209,64 +214,131 @@ Bands = dict[str, tuple[float, float, float, float, float, float]]
 Floors = dict[str, tuple[list[float], list[float]]]
 
 
-def entropy_floor(tokens: np.ndarray, bits: np.ndarray, tail: float = TAIL) -> tuple[list[float], list[float]]:
-    """The line of entropy against log2 of the tokens, with bends, lowered until a share of tail lies below it. It goes on as
-    it begins for texts shorter than all of these, and stays level for longer ones."""
-    x = np.log2(np.maximum(tokens, 1))
-    knots = [k for k in KNOTS if min((x < k).sum(), (x > k).sum()) >= LEAST_BESIDE]
-    basis = lambda v: np.column_stack([np.ones(len(v)), v, *[np.maximum(0.0, v - k) for k in knots]])
-    line = np.linalg.lstsq(basis(x), bits, rcond=None)[0]
-    at = np.array([0.0, *knots, float(x.max())])
-    return at.tolist(), (basis(at) @ line + np.quantile(bits - basis(x) @ line, tail)).tolist()
+def log2_tokens() -> Column:
+    return F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))
+
+
+def fit_lines(good: DataFrame) -> dict[str, tuple[list[float], np.ndarray, float]]:
+    """For each script with rows enough: the bends of its line of entropy against log2 of the tokens, the line's coefficients by least
+    squares, and log2 of the most tokens. All rows count, by sums that are exact, so the line is the same in every run."""
+    x, bits = log2_tokens(), F.col("token_entropy")
+    basis = [F.lit(1.0), x, *[F.greatest(F.lit(0.0), x - k) for k in KNOTS]]
+    pairs = list(combinations_with_replacement(range(len(basis)), 2))
+    total = lambda c: F.sum(c.cast(EXACT)).cast("double")
+    rows = good.groupBy("script").agg(
+        F.count("*").alias("n"),
+        F.max(x).alias("top"),
+        F.array(*[F.least(F.count_if(F.col("n_tokens") < int(2**k)), F.count_if(F.col("n_tokens") > int(2**k))) for k in KNOTS]).alias("beside"),
+        F.array(*[total(basis[i] * basis[j]) for i, j in pairs]).alias("squares"),
+        F.array(*[total(b * bits) for b in basis]).alias("products"),
+    )
+    out = {}
+    for r in rows.where(F.col("n") >= LEAST_LABELLED).collect():
+        own = [0, 1, *[2 + i for i, n in enumerate(r.beside) if n >= LEAST_BESIDE]]
+        at = {p: v for p, v in zip(pairs, r.squares)}
+        squares = np.array([[at[min(i, j), max(i, j)] for j in own] for i in own])
+        line = np.linalg.lstsq(squares, np.array(r.products)[own], rcond=None)[0]
+        out[r.script] = [KNOTS[i - 2] for i in own[2:]], line, r.top
+    return out
+
+
+def quantiles(values: DataFrame, shares: dict[str, list[float]]) -> dict[tuple[str, str], list[float]]:
+    """values (script, name, value): for each script and name the quantiles that shares asks for, between the two values next to each, of all
+    values. They are counted by cells of the interval that holds them, then by cells of those cells that hold a wanted rank, until
+    these have one value. So they are exact, and a pass brings CELLS rows at most for each interval to the driver, whatever the rows."""
+    found, counts = {}, {}
+    todo: dict[tuple, list[tuple[int, int]]] = {}  # script, name, least and greatest value: ranks, in this interval and of all
+    for script, name, n, low, high in values.groupBy("script", "name").agg(F.count("*"), F.min("value"), F.max("value")).collect():
+        counts[script, name] = n
+        ranks = {k for s in shares[name] for k in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))}
+        todo[script, name, low, high] = [(k, k) for k in ranks]
+    while True:
+        for script, name, low, high in [x for x in todo if x[2] == x[3]]:
+            found |= {(script, name, rank): low for _, rank in todo.pop((script, name, low, high))}
+        if not todo:
+            break
+        intervals = list(todo)
+        table = values.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(intervals)], "interval int, script string, name string, low double, high double")
+        inside = values.join(F.broadcast(table), ["script", "name"]).where("value BETWEEN low AND high")
+        cell = F.least(F.lit(CELLS - 1), F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * CELLS))
+        cells = defaultdict(list)
+        for i, *x in inside.groupBy("interval", cell.alias("cell")).agg(F.count("*"), F.min("value"), F.max("value")).collect():
+            cells[i].append(x)
+        narrower = defaultdict(list)
+        for i, (script, name, *_) in enumerate(intervals):
+            own = sorted(cells[i])
+            ends = np.cumsum([n for _, n, *_ in own])
+            for k, rank in todo[intervals[i]]:
+                at = int(np.searchsorted(ends, k, side="right"))
+                narrower[script, name, own[at][2], own[at][3]].append((k - int(ends[at]) + own[at][1], rank))
+        todo = dict(narrower)
+
+    def between(script: str, name: str, share: float) -> float:
+        at = share * (counts[script, name] - 1)
+        low, high = found[script, name, math.floor(at)], found[script, name, math.ceil(at)]
+        return low + (high - low) * (at - math.floor(at))
+
+    return {(script, name): [between(script, name, s) for s in shares[name]] for script, name in counts}
+
+
+def around(low: float, high: float) -> tuple[float, float]:
+    """A band about two quantiles, with some slack."""
+    slack = CHARS_SLACK * (high - low)
+    return low - slack, high + slack
 
 
-def around(values: np.ndarray, tail: float = TAIL) -> tuple[float, float]:
-    """A band that leaves a share of tail on either side, with some slack."""
-    low, high = np.quantile(values, [tail, 1 - tail])
-    slack = CHARS_SLACK * (high - low)
-    return float(low - slack), float(high + slack)
+def good_ids(labels: DataFrame) -> DataFrame:
+    """labels (doc_id, quality): the ids whose lowest label is above 0, once each."""
+    labels = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    return labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality > 0").select("doc_id")
 
 
-def fit_bands(docs: DataFrame, labels: DataFrame, vocabularies: Vocabularies, max_labelled: int = MAX_LABELLED) -> tuple[Bands, Floors]:
-    """docs (doc_id, text) and labels (doc_id, quality): bands, and entropy floors, for score_quality().
+def bands_of(rows: DataFrame, labels: DataFrame) -> tuple[Bands, Floors]:
+    """rows of measured(), with doc_id, and labels (doc_id, quality): bands, and entropy floors, for verdicts().
 
-    About max_labelled labelled rows at most take part, drawn by a hash of the id; an id's lowest label and one of its rows
-    count. Bounds are quantiles of the good rows (quality above 0) that pass the base rules, by script; scripts with fewer
-    than LEAST_LABELLED of them keep the fixed bands."""
-    labels = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n = labels.count()
-    if n > max_labelled:
-        share = 1 << 20
-        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) < int(share * max_labelled / n))
-    good = docs.select("doc_id", "text").join(F.broadcast(labels.where("quality > 0").select("doc_id")), "doc_id")
+    All labelled rows take part; an id's lowest label and one of its rows count. Bounds are quantiles of the good rows
+    (quality above 0) that pass the base rules, by script; scripts with fewer than LEAST_LABELLED of them keep the fixed
+    bands. Entropy has a line with bends against log2 of the tokens instead, lowered until a share of TAIL lies below it; it goes on
+    as it begins for texts shorter than all of these, and stays level for longer ones."""
+    spark, before = rows.sparkSession, remembered()
     measures = "script", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "chars_per_bpe_token"
-    rows = score_quality(good, vocabularies).where("NOT base_failed").groupBy("doc_id").agg(F.min(F.struct(*measures)).alias("m")).select("m.*").collect()
+    own = rows.where("NOT base_failed AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*measures)).alias("m"))
+    good = written(own.join(good_ids(labels), "doc_id").select("m.*"), "quality-good")
+    lines = fit_lines(good)
     bands, floors = dict(BANDS), {}
-    for script in sorted({r.script for r in rows}):
-        own = [r[1:] for r in rows if r.script == script]
-        if len(own) < LEAST_LABELLED:
-            continue
-        tokens, chars, share, bits, second = np.array(own, float).T
-        floors[script] = entropy_floor(tokens, bits)
-        bands[script] = (*around(chars), min(BANDS[script][2], float(np.quantile(share, 1 - TAIL)) + BYTE_SLACK), floors[script][1][-1], *around(second))
+    if lines:
+        x, above = log2_tokens(), F.lit(None).cast("double")
+        for script, (knots, line, _) in lines.items():
+            height = sum((F.greatest(F.lit(0.0), x - k) * float(c) for k, c in zip(knots, line[2:])), x * float(line[1]) + float(line[0]))
+            above = F.when(F.col("script") == script, F.col("token_entropy") - height).otherwise(above)
+        named = {"chars": F.col("chars_per_token"), "bytes": F.col("byte_share"), "second": F.col("chars_per_bpe_token"), "above": above}
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), c.alias("value")) for k, c in named.items()])).alias("v")
+        found = quantiles(
+            good.where(F.col("script").isin(*lines)).select("script", each).select("script", "v.*"),
+            {"chars": [TAIL, 1 - TAIL], "bytes": [1 - TAIL], "second": [TAIL, 1 - TAIL], "above": [TAIL]},
+        )
+        for script, (knots, line, top) in lines.items():
+            at = np.array([0.0, *knots, top])
+            height = np.column_stack([np.ones(len(at)), at, *[np.maximum(0.0, at - k) for k in knots]]) @ line
+            floors[script] = at.tolist(), (height + found[script, "above"][0]).tolist()
+            most = min(BANDS[script][2], found[script, "bytes"][0] + BYTE_SLACK)
+            bands[script] = (*around(*found[script, "chars"]), most, floors[script][1][-1], *around(*found[script, "second"]))
+    sweep(spark, before)
     return bands, floors
 
 
-def score_quality(
-    docs: DataFrame, vocabularies: Vocabularies, column: str = "text", bands: Bands = BANDS, floors: Floors | None = None
-) -> DataFrame:
-    """Adds the columns of FIELDS to every row: counts, what the tokeniser measures, base_failed and kept.
+def fit_bands(docs: DataFrame, labels: DataFrame, vocabularies: Vocabularies) -> tuple[Bands, Floors]:
+    """docs (doc_id, text) and labels (doc_id, quality): bands, and entropy floors, for score_quality(), of all labelled rows
+    (see bands_of()). The texts meet the labels in a shuffle, at any size; those that none calls good are not measured."""
+    good = salted_join(docs.select("doc_id", "text"), good_ids(labels).hint("merge"), "doc_id", "text")
+    return bands_of(measured(good, vocabularies), labels)
 
-    Words are encoded one by one, by both vocabularies. A document is kept if it passes the base rules (words enough,
-    repeats not too many) and its script's bands for characters per token of either, byte-fallback share and token entropy
-    of the first (see BITS_A_HALVING; floors of a script take its place). Its script is the one with most letters (by the words' first letters),
-    "other" if it has none. Null and empty texts have no words and fail the base rules. Whole texts are measured,
-    however long; rows are independent: repeated ones get the same result; an empty table gives an empty one. Other
-    columns stay; those named like the added ones are replaced. No shuffle.
-    """
+
+def measured(docs: DataFrame, vocabularies: Vocabularies, column: str = "text") -> DataFrame:
+    """Adds the columns of FIELDS but the last, kept, to every row; see score_quality()."""
     docs = docs.drop(*[n for n, _ in FIELDS])
-    names, limits = docs.columns, np.array([bands[s] for s in NAMES])
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t, False) for n, t in FIELDS]])
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t, False) for n, t in FIELDS[:-1]]])
     added = pa.schema([("n", pa.int64())] * 6 + [("x", pa.float64())] * 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,19 +348,51 @@ def score_quality(
             found = fertility.measure(texts)
             n_words, again, script = found[0], found[4], found[9]
             failed = (n_words < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n_words)
-            low, high, most_bytes, least_bits, low2, high2 = limits[script].T
-            least_bits = least_bits - BITS_A_HALVING * np.maximum(0.0, np.log2(FULL_TOKENS / np.maximum(found[5], 1)))
-            for name, (at, bits) in (floors or {}).items():
-                own = script == NAMES.index(name)
-                least_bits[own] = np.interp(np.log2(np.maximum(found[5][own], 1)), at, bits)
-            fine = (found[6] >= low) & (found[6] <= high) & (found[7] <= most_bytes) & (found[8] >= least_bits) & (found[10] >= low2) & (found[10] <= high2)
             own = [pa.array(x, t) for x, t in zip([*found[:9], found[10]], added.types)]
-            own += [pa.array([NAMES[k] for k in script], pa.string()), pa.array(failed), pa.array(~failed & fine)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*names, *[n for n, _ in FIELDS]])
+            own += [pa.array([NAMES[k] for k in script], pa.string()), pa.array(failed)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*names, *[n for n, _ in FIELDS[:-1]]])
 
     return docs.mapInArrow(run, schema)
 
 
+def entropy_floor(script: str, bands: Bands, floors: Floors) -> Column:
+    """The least token entropy of a text of the script, by its tokens."""
+    x = log2_tokens()
+    if script not in floors:
+        return bands[script][3] - BITS_A_HALVING * F.greatest(F.lit(0.0), math.log2(FULL_TOKENS) - x)
+    at, bits = floors[script]
+    out = F.lit(bits[-1])
+    for k in reversed(range(len(at) - 1)):
+        if at[k] < at[k + 1]:
+            out = F.when(x < at[k + 1], (x - at[k]) * ((bits[k + 1] - bits[k]) / (at[k + 1] - at[k])) + bits[k]).otherwise(out)
+    return out
+
+
+def verdicts(rows: DataFrame, bands: Bands = BANDS, floors: Floors | None = None) -> DataFrame:
+    """Adds kept to rows of measured()."""
+    fine = F.lit(False)
+    for script in NAMES:
+        low, high, most, _, low2, high2 = bands[script]
+        own = F.col("chars_per_token").between(low, high) & (F.col("byte_share") <= most) & F.col("chars_per_bpe_token").between(low2, high2)
+        fine = F.when(F.col("script") == script, own & (F.col("token_entropy") >= entropy_floor(script, bands, floors or {}))).otherwise(fine)
+    return rows.select("*", (~F.col("base_failed") & fine).alias("kept"))
+
+
+def score_quality(
+    docs: DataFrame, vocabularies: Vocabularies, column: str = "text", bands: Bands = BANDS, floors: Floors | None = None
+) -> DataFrame:
+    """Adds the columns of FIELDS to every row: counts, what the tokeniser measures, base_failed and kept.
+
+    Words are encoded one by one, by both vocabularies. A document is kept if it passes the base rules (words enough,
+    repeats not too many) and its script's bands for characters per token of either, byte-fallback share and token entropy
+    of the first (see BITS_A_HALVING; floors of a script take its place). Its script is the one with most letters (by the words' first letters),
+    "other" if it has none. Null and empty texts have no words and fail the base rules. Whole texts are measured,
+    however long; rows are independent: repeated ones get the same result; an empty table gives an empty one. Other
+    columns stay; those named like the added ones are replaced. No shuffle.
+    """
+    return verdicts(measured(docs, vocabularies, column), bands, floors)
+
+
 def vocabularies() -> Vocabularies:
     import public_tokenizers
 
@@ -296,18 +400,24 @@ def vocabularies() -> Vocabularies:
 
 
 def held_out() -> Column:
-    """Rows that fitted() doesn't use."""
+    """Rows that no bands of labelled() are fitted on."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labels (doc_id, quality), but for a fifth that is held out."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(~held_out())
+
+
 def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs scored by bands that are fitted on their labelled rows, but for a fifth that is held out."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    """docs scored by bands that are fitted on their labelled rows. Texts that a label calls good are measured twice, and none are written."""
     models = vocabularies()
-    bands, floors = fit_bands(docs, labels.where(~held_out()), models)
+    bands, floors = fit_bands(docs, labelled(spark, sf_dir), models)
     return score_quality(docs, models, bands=bands, floors=floors)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As fitted(), without texts: what each row measures is written once, and bands and verdicts come from that."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return fitted(spark, docs, sf_dir).drop("text")
+    rows = written(measured(docs, vocabularies()).drop("text"), "quality-measured")
+    return verdicts(rows, *bands_of(rows, labelled(spark, sf_dir)))
