@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vexel.functions import kernels
 from vexel.functions.filters import compile_filter
 from vexel.operators import dml, graph, hybrid, ivf, knn, maintenance, rank, stats
 from vexel.plans.session import SearchCache, SessionError, VectorSession
@@ -387,6 +388,69 @@ def test_ranges_of_strings_and_of_many_cuts(spark):
     assert len(parts) == 8 and max(r["count"] for r in parts) < 1200
 
 
+def plain_ranks(ids, x, query_ids, queries, k, metric):
+    """Every pair measured and sorted."""
+    out = []
+    for i, q in zip(query_ids.tolist(), queries):
+        d = kernels.distances(x, q, metric)
+        out += [(i, r, e) for e, r in sorted(zip(d.tolist(), ids.tolist()))[:k]]
+    return out
+
+
+@pytest.mark.parametrize("made", ["apart", "copies", "grid", "far", "tiny", "huge", "lone", "text"])
+def test_products_leave_the_nearest(made, monkeypatch):
+    rnd, k = np.random.default_rng(3), 5
+    x, q, ids = rnd.normal(size=(700, 6)), rnd.normal(size=(40, 6)), rnd.permutation(700)
+    if made == "copies":
+        x[:500] = x[0]
+        q[:30] = x[0]
+    elif made == "grid":
+        x, q = np.round(x), np.round(q)
+    elif made == "far":
+        x, q = x + 1e6, q + 1e6
+    elif made in ("tiny", "huge"):
+        x, q = (v * {"tiny": 1e-25, "huge": 1e25}[made] for v in (x, q))
+    elif made == "lone":
+        x, ids = x[:1], ids[:1]
+    elif made == "text":
+        ids = ids.astype(str)
+    monkeypatch.setattr(kernels, "TILE_QUERIES", 16)
+    monkeypatch.setattr(kernels, "TILE_ROWS", 128)
+    monkeypatch.setattr(kernels, "MOST_PAIRS", 300)
+    got = kernels.rank_batch(ids, x, np.arange(40), q, k, "l2")
+    assert [tuple(r.values()) for r in got.to_pylist()] == plain_ranks(ids, x, np.arange(40), q, k, "l2")
+    if made not in ("copies", "grid", "lone"):
+        got = kernels.rank_batch(ids, x, np.arange(40), q, k, "cosine").to_pylist()
+        want = plain_ranks(ids, x, np.arange(40), q, k, "cosine")
+        assert [r["distance"] for r in got] == pytest.approx([w[2] for w in want], abs=1e-12) and [r["query_id"] for r in got] == [w[0] for w in want]
+
+
+def test_few_pairs_are_measured(monkeypatch):
+    """Products leave a few rows a query, of copies too; numbers that aren't finite are measured all."""
+    rnd, pairs = np.random.default_rng(5), []
+    x = rnd.normal(size=(2000, 16))
+    x[:600] = x[0]
+    one = kernels.measured
+    monkeypatch.setattr(kernels, "measured", lambda a, b, metric: pairs.append(len(a)) or one(a, b, metric))
+    assert kernels.rank_batch(np.arange(2000), x, np.arange(2000), x, 4, "l2").num_rows == 8000
+    assert 8000 <= sum(pairs) < 40_000
+    x[0, 0] = np.inf
+    assert kernels.rank_batch(np.arange(2000), x, np.arange(10), x[1:11], 4, "l2").num_rows == 40
+
+
+def test_blocks_of_any_numbers(spark, monkeypatch):
+    """Vectors of 32 bits are sent as such, others whole; few rows a block."""
+    monkeypatch.setattr(knn, "BATCH_QUERIES", 4)
+    monkeypatch.setattr(knn, "PRODUCT_ROWS", 40)
+    rnd = np.random.default_rng(11)
+    for x in (rnd.normal(size=(150, 3)), rnd.normal(size=(150, 3)).astype(np.float32).astype(float)):
+        c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+        monkeypatch.setattr(knn, "collect_queries", lambda q: None)
+        got = knn.nearest_batch(c, c.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), 3)
+        want = plain_ranks(np.arange(150), x, np.arange(150), x, 3, "l2")
+        assert sorted((r.query_id, r.id, r.distance) for r in got.collect()) == sorted(want)
+
+
 def test_graph_search_and_insert(spark):
     rnd = np.random.default_rng(7)
     x = rnd.normal(size=(400, 8))
