@@ -462,6 +462,15 @@ def test_graph_search_and_insert(spark):
         want = np.argsort(((x - q) ** 2).sum(axis=1), kind="stable")[:10].tolist()
         hits += len(set(want) & set(ids(graph.search(edges, corpus, q.tolist(), 10, ef=48))))
     assert hits >= 45
+    some = {i: q.tolist() for i, q in enumerate(rnd.normal(size=(3, 8)))}
+    tables, where = [], type(corpus).where
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(corpus), "where", lambda self, *a: tables.append(1) or where(self, *a))
+        one = {i: ids(graph.search(edges, corpus, q, 10)) for i, q in some.items()}
+        alone = len(tables)
+        together = graph.search_batch(edges, corpus, some, 10).orderBy("query_id", "distance", "id").collect()
+    assert {i: [r.id for r in together if r.query_id == i] for i in some} == one
+    assert len(tables) - alone < 0.7 * alone  # the beams share reads
     assert graph.search(edges.limit(0), corpus, [0.0] * 8, 3).count() == 0 and graph.build(corpus.limit(1)).count() == 0
 
 

@@ -82,37 +82,55 @@ def entry_points(edges: DataFrame, n: int) -> list:
 
 
 def search(edges: DataFrame, corpus: DataFrame, q: list[float], k: int, ef: int = 64, metric: str = "l2", starts: int = 16, most_steps: int = 64) -> DataFrame:
-    """About the k nearest rows (id, distance, score): a beam of the ef nearest rows known goes along the edges, layer by layer, until
-    none of it has a neighbour that is nearer. A step reads the edges and vectors of the ef rows at most that it opens, so no step scans
-    for more than ef times 4 m ids, and the driver holds those it has met. Both tables should be clustered by id (src), so that the scan
-    skips by statistics."""
-    spark, query, ef = corpus.sparkSession, np.array(q, float), max(ef, k)
-    known: dict = {}
-
-    def measure(ids: list) -> None:
+    """About the k nearest rows (id, distance, score) to one vector, as search_batch() finds them."""
+    return search_batch(edges, corpus, {0: q}, k, ef, metric, starts, most_steps).drop("query_id").orderBy("distance", "id")
+
+
+def search_batch(edges: DataFrame, corpus: DataFrame, queries: dict[int, list[float]], k: int, ef: int = 64, metric: str = "l2", starts: int = 16, most_steps: int = 64) -> DataFrame:
+    """About the k nearest rows (query_id, id, distance, score) to each of some queries: a beam of the ef nearest rows known goes along
+    the edges, layer by layer, until none of it has a neighbour that is nearer. The beams go in step: a step reads once the edges, and
+    once the vectors, of the ef rows a query at most that it opens, so no step scans for more than ef times 4 m ids a query, and the
+    driver holds those it has met. Both tables should be clustered by id (src), so that the scan skips by statistics."""
+    spark, names, ef = corpus.sparkSession, [*queries], max(ef, k)
+    vectors_of = [np.array(q, float) for q in queries.values()]
+    known: dict = {}  # distances of a row to all queries
+
+    def measure(ids: set) -> None:
         new = [i for i in ids if i not in known]
         if new:
             rows = corpus.where(F.col("id").isin(new)).select("id", "embedding").collect()
-            known.update({r.id: float(kernels.distances(np.array([r.embedding], float), query, metric)[0]) for r in rows})
+            x = np.array([r.embedding for r in rows], float)
+            known.update(zip([r.id for r in rows], np.array([kernels.distances(x, q, metric) for q in vectors_of]).T.tolist() if rows else []))
+
+    def nearest(n: int, ids, j: int) -> list:
+        return heapq.nsmallest(n, [i for i in ids if i in known], key=lambda i: (known[i][j], i))
 
-    beam = entry_points(edges, starts)
-    measure(beam)
     top = edges.agg(F.max("layer")).first()[0]
+    first = entry_points(edges, starts)
+    measure({*first})
+    beams = [first for _ in names]
     for layer in range(-1 if top is None else top, -1, -1):
-        width = ef if layer == 0 else min(ef, starts)
-        beam = heapq.nsmallest(width, [i for i in beam if i in known], key=lambda i: (known[i], i))
-        opened: set = set()
+        width, links = ef if layer == 0 else min(ef, starts), {}
+        beams = [nearest(width, b, j) for j, b in enumerate(beams)]
+        opened: list[set] = [set() for _ in names]
         for _ in range(most_steps):
-            new = [i for i in beam if i not in opened]
-            if not new:
+            new = [[i for i in b if i not in o] for b, o in zip(beams, opened)]
+            unread = {i for n in new for i in n if i not in links}
+            if not any(new):
                 break
-            opened.update(new)
-            found = [r.dst for r in edges.where((F.col("layer") == layer) & F.col("src").isin(new)).select("dst").distinct().collect()]
-            measure(found)
-            beam = heapq.nsmallest(width, {*beam, *(i for i in found if i in known)}, key=lambda i: (known[i], i))
-    best = heapq.nsmallest(k, [i for i in beam if i in known], key=lambda i: (known[i], i))
+            if unread:
+                links.update({i: [] for i in unread})
+                for r in edges.where((F.col("layer") == layer) & F.col("src").isin([*unread])).select("src", "dst").collect():
+                    links[r.src].append(r.dst)
+            found = [{d for i in n for d in links[i]} for n in new]
+            measure(set().union(*found))
+            for j, n in enumerate(new):
+                if n:
+                    opened[j].update(n)
+                    beams[j] = nearest(width, {*beams[j], *found[j]}, j)
+    best = [(name, i, known[i][j]) for j, name in enumerate(names) for i in nearest(k, beams[j], j)]
     kind = corpus.schema["id"].dataType.simpleString()
-    return spark.createDataFrame([(i, known[i]) for i in best], f"id {kind}, distance double").withColumn("score", vectors.score("distance")).orderBy("distance", "id")
+    return spark.createDataFrame(best, f"query_id {'string' if names and isinstance(names[0], str) else 'long'}, id {kind}, distance double").withColumn("score", vectors.score("distance"))
 
 
 def insert(edges: DataFrame, corpus: DataFrame, new: DataFrame, m: int, metric: str = "l2") -> DataFrame:
