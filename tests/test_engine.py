@@ -388,6 +388,14 @@ def test_ranges_of_strings_and_of_many_cuts(spark):
     assert len(parts) == 8 and max(r["count"] for r in parts) < 1200
 
 
+def test_a_round_has_one_worker_a_task(blobs):
+    """Assigning and summing are one kernel, with the sums of both one after the other."""
+    c = ivf.Centroids(np.array([[0.0, 0.0], [5.0, 5.0]]), ids=[4, 7])
+    one, two = ivf.nearest_sums(blobs, c), ivf.cluster_sums(ivf.assign(blobs, c))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def plain_ranks(ids, x, query_ids, queries, k, metric):
     """Every pair measured and sorted."""
     out = []
